@@ -1,0 +1,98 @@
+"""Service requests derived from the order tables in FIXTURES.md.
+
+One line item becomes one request. Faults follow from key arithmetic, so any
+engine that reads the same files produces the same rows.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dueward.schemas import RAW_COLUMNS, ROW_ID
+from dueward.session import use_utc
+
+
+def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def _iso(day):
+    return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00.000"))
+
+
+def service_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """The 18 raw text columns, a stable row identity and the order key.
+
+    Join strategies are left to the optimizer: the fixed five- and 25-row tables
+    and whatever fits its size check are broadcast, the rest is sort-merged.
+    """
+    use_utc(spark)
+    line = _table(spark, folder, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
+        F.col("l_quantity").cast("int").alias("days"), "l_returnflag", "l_linestatus",
+    )
+    order = _table(spark, folder, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+        F.col("o_orderdate").cast("date").alias("day"),
+    )
+    customer = _table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
+    part = _table(spark, folder, "part").select("p_partkey", "p_type", "p_brand", "p_name")
+    supplier = _table(spark, folder, "supplier").select("s_suppkey", "s_nationkey")
+    nation = _table(spark, folder, "nation").select("n_nationkey", "n_regionkey")
+    region = _table(spark, folder, "region").select("r_regionkey", "r_name")
+    joined = (
+        line.join(order, line.l_orderkey == order.o_orderkey)
+        .join(customer, F.col("o_custkey") == customer.c_custkey)
+        .join(part, line.l_partkey == part.p_partkey)
+        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .join(nation, F.col("s_nationkey") == nation.n_nationkey)
+        .join(region, F.col("n_regionkey") == region.r_regionkey)
+        # An exact copy is a second element, not a second scan.
+        .withColumn("copy", F.explode(F.when(F.col("l_orderkey") % 97 == 0, F.array(F.lit(0), F.lit(1)))
+                                      .otherwise(F.array(F.lit(0)))))
+    )
+    part_key, cust_key = F.col("l_partkey"), F.col("c_custkey")
+    status = (
+        F.when((F.col("l_linestatus") == "F") & (part_key % 50 == 0), " CLOSED ")
+        .when(F.col("l_linestatus") == "F", "Closed")
+        .when(F.col("l_returnflag") == "N", "Open")
+        .when(F.col("l_returnflag") == "A", "Cancelled")
+        .when(part_key % 7 == 0, "Pending")
+        .otherwise("Started")
+    )
+    closed_day = F.date_add("day", F.col("days") - F.when(part_key % 149 == 0, 60).otherwise(0))
+    due_day = F.date_add("day", (F.lit(10) + F.col("l_suppkey") % 15
+                                 - F.when(part_key % 157 == 0, 60).otherwise(0)).cast("int"))
+    nothing = F.lit(None).cast("string")
+    columns = {
+        "unique_key": F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")),
+        "created_date": F.when(part_key % 211 == 0, "not-a-date").when(part_key % 199 == 0, nothing)
+                         .otherwise(_iso(F.col("day"))),
+        "closed_date": F.when((status == "Open") | (part_key % 61 == 0), nothing).otherwise(_iso(closed_day)),
+        "due_date": F.when(F.col("l_suppkey") % 10 == 0, nothing).otherwise(_iso(due_day)),
+        "agency": F.col("r_name"),
+        "agency_name": F.concat(F.lit("Department of "), F.col("r_name")),
+        "complaint_type": F.col("p_type"),
+        "descriptor": F.col("p_brand"),
+        "descriptor_2": nothing,
+        "status": status,
+        "borough": F.when(cust_key % 37 == 0, "Unspecified").when(cust_key % 41 == 0, nothing)
+                    .otherwise(F.col("c_mktsegment")),
+        "incident_zip": F.when(cust_key % 53 == 0, "12345.0").when(cust_key % 59 == 0, "123")
+                         .when(cust_key % 67 == 0, nothing).otherwise(F.lpad(cust_key.cast("string"), 5, "0")),
+        "latitude": F.when(cust_key % 83 == 0, "bad").when(cust_key % 89 == 0, "95.0")
+                     .when(cust_key % 71 == 0, nothing).when(cust_key % 73 == 0, "35.0").otherwise("40.75"),
+        "longitude": F.when(cust_key % 71 == 0, nothing).when(cust_key % 79 == 0, "-200.0").otherwise("-73.9"),
+        "location_type": F.col("p_name"),
+        "open_data_channel_type": F.col("o_orderpriority"),
+        "resolution_description": F.col("o_orderstatus"),
+        "resolution_action_updated_date": nothing,
+    }
+    row_id = F.concat_ws("-", *[F.col(c).cast("string") for c in
+                                ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "copy")])
+    return joined.select(
+        *[columns[c].alias(c) for c in RAW_COLUMNS],
+        row_id.alias(ROW_ID),
+        F.col("l_orderkey").alias("order_key"),
+    )
