@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dueward.config import (
@@ -35,6 +35,15 @@ def latest_complete_month_end(extracted_at: datetime) -> date:
     return month_start(extracted_at.date()) - timedelta(days=1)
 
 
+def recent_cutoff(extracted_at: datetime, months: int = 12) -> date:
+    """First day counted as recent: the day after the last complete month's end, shifted back."""
+    end = latest_complete_month_end(extracted_at)
+    first = _months_back(end, months)
+    following = _months_back(first, -1)
+    return min(first.replace(day=min(end.day, 28)) if end.day <= 28 else
+               first + timedelta(days=end.day - 1), following - timedelta(days=1)) + timedelta(days=1)
+
+
 def up_to_latest(typed: DataFrame) -> DataFrame:
     """Rows no newer than the newest creation time, read first as a one-row scalar."""
     newest = typed.agg(F.max("created_ts").alias("newest"))
