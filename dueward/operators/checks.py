@@ -24,31 +24,36 @@ from dueward.schemas import CHECK_COLUMNS, RAW_COLUMNS
 
 OPTIONAL_CHRONOLOGY = ("closed_present_created_invalid", "due_present_created_invalid")
 TYPES = {
-    "severity": "string", "status": "string", "observed_value": "string", "expected_value": "string",
-    "affected_rows": "bigint", "affected_rate": "double", "recommended_step_7_action": "string",
+    "severity": "string", "passed": "boolean", "observed_value": "string", "expected_value": "string",
+    "affected_rows": "bigint", "all_rows": "bigint", "recommended_step_7_action": "string",
 }
 
 
-def _lit(value) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)
-
-
 def check(check_id: str, area: str, name: str, severity, passed, observed, expected, affected, rows: Column,
           message: str, action) -> dict[str, object]:
-    """One check record; a failed CRITICAL or ERROR is FAIL, a failed WARNING is WARN."""
-    severity, passed = _lit(severity), _lit(passed)
-    status = (
-        F.when(passed, "PASS").when(severity.isin("CRITICAL", "ERROR"), "FAIL")
-        .when(severity == "WARNING", "WARN").otherwise("INFO")
-    )
+    """One raw check record; :func:`finished` turns its outcome into a status and a rate."""
     return {
-        "check_id": check_id, "area": area, "check_name": name, "severity": severity, "status": status,
-        "observed_value": _lit(observed).cast("string"), "expected_value": _lit(expected).cast("string"),
-        "affected_rows": _lit(affected), "affected_rate": ratio(_lit(affected), rows),
+        "check_id": check_id, "area": area, "check_name": name, "severity": severity, "passed": passed,
+        "observed_value": observed, "expected_value": expected, "affected_rows": affected, "all_rows": rows,
         "message": message, "recommended_step_7_action": action,
     }
 
 
+def finished(records: DataFrame) -> DataFrame:
+    """A failed CRITICAL or ERROR is FAIL, a failed WARNING is WARN, a failed INFO is INFO."""
+    severity = F.col("severity")
+    status = (
+        F.when(F.col("passed"), "PASS").when(severity.isin("CRITICAL", "ERROR"), "FAIL")
+        .when(severity == "WARNING", "WARN").otherwise("INFO")
+    )
+    return records.withColumn("status", status).withColumn(
+        "affected_rate", ratio(F.col("affected_rows"), F.col("all_rows"))).select(*CHECK_COLUMNS)
+
+
+def check_rows(one_row: DataFrame, records: Sequence[Mapping[str, object]]) -> DataFrame:
+    return finished(rows_from(one_row, records, TYPES))
+
+
 def _title(name: str) -> str:
     return name.replace("_", " ").title()
 
@@ -127,7 +132,7 @@ def schema_check_table(raw: DataFrame, expected_rows: int, columns: Sequence[str
     one = raw.agg(F.count(F.lit(1)).alias("all_rows"))
     names = [c for c in raw.columns if c in columns]
     is_text = raw.schema[KEY].dataType.simpleString() == "string"
-    return rows_from(one, schema_checks(names, is_text, F.col("all_rows"), expected_rows), TYPES)
+    return check_rows(one, schema_checks(names, is_text, F.col("all_rows"), expected_rows))
 
 
 def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, object], *,
@@ -184,7 +189,7 @@ def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, obj
             "unchanged" if unchanged else "changed", "unchanged", F.lit(0) if unchanged else rows, rows,
             "Validation leaves the raw run as it was.",
             "Restore or recreate the immutable raw run before proceeding."))
-    tables = [rows_from(one, records, TYPES), _key_checks(typed), _value_checks(typed, rules)]
+    tables = [check_rows(one, records), _key_checks(typed), _value_checks(typed, rules)]
     result = tables[0]
     for t in tables[1:]:
         result = result.unionByName(t)
@@ -226,7 +231,7 @@ def _key_checks(typed: DataFrame) -> DataFrame:
             "Timestamps follow the governed order.",
             F.when(seen == 0, "No chronology action required.").otherwise(action)))
     optional = [f"chronology.{n}" for n in OPTIONAL_CHRONOLOGY]
-    return rows_from(one, records, TYPES).where(~(F.col("check_id").isin(optional) & (F.col("status") == "PASS")))
+    return check_rows(one, records).where(~(F.col("check_id").isin(optional) & (F.col("status") == "PASS")))
 
 
 def _value_checks(typed: DataFrame, rules: ValidationRules) -> DataFrame:
@@ -243,7 +248,7 @@ def _value_checks(typed: DataFrame, rules: ValidationRules) -> DataFrame:
         F.count(F.lit(1)).alias("groups"), total("row_count").alias("variant_rows")).withColumn("_one", F.lit(1))
     one = statuses.join(F.broadcast(variants), "_one")
     rows = F.col("all_rows")
-    return rows_from(one, [
+    return check_rows(one, [
         check("category.formatting_variants", "category", "Formatting variant groups", "WARNING",
               F.col("groups") == 0, F.col("groups"), "0", F.col("variant_rows"), rows,
               "Some values differ only in case or whitespace.",
@@ -251,7 +256,7 @@ def _value_checks(typed: DataFrame, rules: ValidationRules) -> DataFrame:
         zero_check("status.unexpected", "status", "Unexpected statuses", "ERROR", F.col("status_rows"), rows,
                    "Statuses belong to the allowed or the excluded policy.",
                    "Obtain a governance decision; do not silently map the status."),
-    ], TYPES)
+    ])
 
 
 def ordered_checks(checks: DataFrame) -> DataFrame:
