@@ -47,6 +47,16 @@ def evidence(df: DataFrame, keep: Sequence[Column | str], rules: Sequence[tuple[
     return df.select(*keep, F.inline(found))
 
 
+def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
+    """Add columns that everything downstream reads as plain values.
+
+    The optimizer copies a projected expression into each filter and join
+    condition above it. It does not look through a generator, so an expensive
+    expression placed in a one-element generator runs once per row.
+    """
+    return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def whole_table():
     """A window over every row, for tables whose row count is fixed by a calendar or a list."""
     return Window.partitionBy()

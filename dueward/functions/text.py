@@ -8,9 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# The characters a Unicode-aware strip removes.
+WHITESPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+    "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip(text: Column) -> Column:
-    """Trim Unicode whitespace, not only blanks."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Trim Unicode whitespace with the native trim, which stops at the first other character."""
+    return F.trim(text, F.lit(WHITESPACE))
 
 
 def fold(text: Column) -> Column:
@@ -20,7 +27,7 @@ def fold(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Trim and turn inner whitespace runs into one blank, keeping case."""
-    return F.regexp_replace(strip(text), r"(?U)\s+", " ")
+    return F.regexp_replace(strip(text), f"[{WHITESPACE}]+", " ")
 
 
 def comparison_form(text: Column) -> Column:
@@ -29,7 +36,7 @@ def comparison_form(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """Non-empty text made only of whitespace."""
-    return (text != "") & text.rlike(r"(?U)^\s+$")
+    return (text != "") & (strip(text) == "")
 
 
 def is_null_like(text: Column, words: Iterable[str]) -> Column:
@@ -37,11 +44,11 @@ def is_null_like(text: Column, words: Iterable[str]) -> Column:
 
 
 def has_leading_space(text: Column) -> Column:
-    return text.rlike(r"(?U)^\s")
+    return text != F.ltrim(text, F.lit(WHITESPACE))
 
 
 def has_trailing_space(text: Column) -> Column:
-    return text.rlike(r"(?U)\s$")
+    return text != F.rtrim(text, F.lit(WHITESPACE))
 
 
 def joined_reasons(pairs: Iterable[tuple[Column, str]], separator: str = " | ") -> Column:

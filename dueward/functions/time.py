@@ -7,24 +7,32 @@ from datetime import date, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Text forms accepted besides ISO.
+# Text forms accepted besides ISO, each with the shape that selects it.
 FALLBACK_FORMATS = (
-    "MM/dd/yyyy", "MM/dd/yyyy HH:mm", "MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy hh:mm:ss a",
-    "MM-dd-yyyy", "MM-dd-yyyy HH:mm:ss", "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "yyyy/MM/dd",
-    "yyyy/MM/dd HH:mm:ss", "yyyyMMdd",
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}(:[0-9]{2})?$", "M/d/yyyy H:mm[:ss]"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2} [AP]M$", "M/d/yyyy h:mm:ss a"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$", "M-d-yyyy"),
+    (r"^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M-d-yyyy H:mm:ss"),
+    (r"^[A-Za-z]{3} [0-9]{1,2},? [0-9]{4}$", "MMM d[,] yyyy"),
+    (r"^[A-Za-z]{4,9} [0-9]{1,2},? [0-9]{4}$", "MMMM d[,] yyyy"),
+    (r"^[0-9]{1,2} [A-Za-z]{3} [0-9]{4}$", "d MMM yyyy"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}$", "yyyy/M/d"),
+    (r"^[0-9]{4}/[0-9]{1,2}/[0-9]{1,2} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "yyyy/M/d H:mm:ss"),
+    (r"^[0-9]{8}$", "yyyyMMdd"),
 )
-_LOOKS_LIKE_DATE = r"^\s*(?:[0-9]{1,4}[-/ ]|[0-9]{8}\s*$|[A-Za-z]{3,9} [0-9])"
 
 
 def parse_timestamp(text: Column) -> Column:
     """Mixed-format text to a UTC timestamp; anything unreadable is NULL.
 
-    ISO text takes the first branch. The formatter chain runs only on text that
-    failed there and begins like a date, so bad values cost one regex.
+    ISO text takes the first branch. What is left gets a format by its shape, or
+    none, so one formatter call covers every other form.
     """
-    iso = F.try_to_timestamp(text)
-    others = F.coalesce(*[F.try_to_timestamp(text, F.lit(fmt)) for fmt in FALLBACK_FORMATS])
-    return F.coalesce(iso, F.when(text.rlike(_LOOKS_LIKE_DATE), others))
+    shape = None
+    for pattern, fmt in FALLBACK_FORMATS:
+        shape = F.when(text.rlike(pattern), fmt) if shape is None else shape.when(text.rlike(pattern), fmt)
+    return F.coalesce(text.try_cast("timestamp"), F.try_to_timestamp(text, shape))
 
 
 def is_zoned(text: Column) -> Column:

@@ -113,7 +113,7 @@ def sample_columns(sample: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> D
 
 def seeded_preview(df: DataFrame, rows: int = 5, seed: int = 42) -> DataFrame:
     """A repeatable handful of example rows."""
-    return df.orderBy(F.xxhash64(F.col(ROW_ID), F.lit(seed)), ROW_ID).limit(rows)
+    return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), ROW_ID)), ROW_ID).limit(rows)
 
 
 def head_preview(df: DataFrame, rows: int = 10) -> DataFrame:

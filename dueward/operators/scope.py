@@ -19,6 +19,7 @@ from dueward.functions.shape import rows_from, whole_table
 from dueward.functions.text import joined_reasons, strip
 from dueward.functions.time import in_days, month_of, month_start
 from dueward.operators.keyed import KEY, differs, repeated_keys, text_hash
+from dueward.operators.silver import in_months
 from dueward.schemas import require_columns
 
 AGENCY = ("agency", "agency_name")
@@ -330,7 +331,7 @@ def _period_table(spark, periods: Sequence[Period]) -> DataFrame:
 def date_range_summary(typed: DataFrame, periods: Sequence[Period]) -> DataFrame:
     """Counts per inclusive range, from one count per (day, type); empty ranges keep a row."""
     first, last = min(p.start for p in periods), max(p.end for p in periods)
-    daily = typed.where(in_days(F.col("created_ts"), first, last + timedelta(days=1))).groupBy(
+    daily = in_months(typed, first, last).where(in_days(F.col("created_ts"), first, last + timedelta(days=1))).groupBy(
         F.col("created_ts").cast("date").alias("day"), "complaint_type").agg(*partial_counts())
     days = _period_table(typed.sparkSession, periods).withColumn(
         "day", F.explode(F.sequence("start_date", "end_date")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dueward.config import TIMESTAMP_COLUMNS
-from dueward.functions.time import month_of, parse_timestamp
+from dueward.functions.shape import computed_once
+from dueward.functions.time import month_of, month_start, parse_timestamp
 from dueward.schemas import ROW_ID
 
 TYPED = {
@@ -23,7 +26,7 @@ def typed_requests(raw: DataFrame) -> DataFrame:
     Parsing text cannot be pushed into a Parquet scan, so a run is written once
     in this form and later filters work on the typed columns.
     """
-    return raw.withColumns({
+    return computed_once(raw, {
         TYPED[c]: parse_timestamp(F.col(c)) for c in TIMESTAMP_COLUMNS if c in raw.columns
     })
 
@@ -38,6 +41,13 @@ def read_silver(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def in_months(rows: DataFrame, first: date, last: date) -> DataFrame:
+    """Prune stored creation months; a table without that column passes unchanged."""
+    if "created_month" not in rows.columns:
+        return rows
+    return rows.where(F.col("created_month").between(F.lit(month_start(first)), F.lit(last)))
+
+
 def with_row_id(df: DataFrame) -> DataFrame:
     """Name each stored row by file and position, which a re-run reproduces."""
     if ROW_ID in df.columns:

@@ -17,6 +17,7 @@ from dueward.functions.numbers import all_hold, clip01, holds, ratio, ratio_or_n
 from dueward.functions.shape import whole_table
 from dueward.functions.text import joined_reasons
 from dueward.functions.time import at, in_days
+from dueward.operators.silver import in_months
 from dueward.schemas import require_columns
 
 COUNTS = (
@@ -50,9 +51,8 @@ def scope_rows(typed: DataFrame, agency: str | None = None, complaint_type: str
 def daily_counts(typed: DataFrame, periods: Sequence[Period], extracted_at: datetime) -> DataFrame:
     """Counts per creation day inside the union of the ranges."""
     first, last = min(p.start for p in periods), max(p.end for p in periods)
-    rows = outcome_maturity(
-        typed.where(in_days(F.col("created_ts"), first, last + timedelta(days=1))), extracted_at
-    )
+    pruned = in_months(typed, first, last).where(in_days(F.col("created_ts"), first, last + timedelta(days=1)))
+    rows = outcome_maturity(pruned, extracted_at)
     created, due, closed = F.col("created_ts"), F.col("due_ts"), F.col("closed_ts")
     return rows.groupBy(created.cast("date").alias("day")).agg(
         F.count(F.lit(1)).alias("total_records"),

@@ -234,7 +234,9 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "seeded_preview": lambda s, d: overview.seeded_preview(raw(s, d)).select(ROW_ID, "unique_key", "agency", "status"),
     "head_preview": lambda s, d: overview.head_preview(raw(s, d)).select(ROW_ID, "unique_key", "agency", "status"),
     # source audit
-    "column_requirements": lambda s, d: quality.column_requirements(raw(s, d)),
+    # presence, beside what the table holds in each required column
+    "column_requirements": lambda s, d: quality.column_requirements(raw(s, d)).join(
+        quality.missing_values(counters(s, d)).select("column_name", "non_null_count"), "column_name"),
     "missing_values": lambda s, d: quality.missing_values(counters(s, d)),
     "missing_patterns": lambda s, d: quality.missing_patterns(counters(s, d)),
     "timestamp_consistency": lambda s, d: quality.timestamp_consistency(counters(s, d)),
@@ -242,7 +244,7 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "geo_quality": lambda s, d: quality.geo_quality(counters(s, d)),
     "status_categories": lambda s, d: quality.status_categories(raw(s, d)),
     "categorical_checks": lambda s, d: quality.categorical_checks(raw(s, d)),
-    "case_collisions": lambda s, d: quality.case_collisions(raw(s, d)),
+    "case_collisions": lambda s, d: quality.case_collisions(raw(s, d).withColumn("status", F.trim("status"))),
     "agency_name_mapping": lambda s, d: quality.agency_name_mapping(
         raw(s, d).withColumn("agency_name", F.concat_ws(" ", "agency_name", "status"))),
     "duplicate_groups": lambda s, d: duplicates.duplicate_groups(raw(s, d)),

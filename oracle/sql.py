@@ -483,14 +483,14 @@ _TEMPORAL_GATES = {
     "passes_complete_calendar_years": "complete_calendar_years >= 2",
 }
 _STEP, _DEV = "largest_absolute_month_to_month_target_rate_change", "monthly_target_rate_standard_deviation"
-_SEVERE = (f"monthly_target_rate_range >= 0.5 OR {_DEV} >= 0.15 OR {_STEP} >= 0.25 "
+_SEVERE = (f"monthly_target_rate_range >= 0.5 OR {_DEV} >= 0.15 OR {_STEP} >= {T.severe_month_to_month_change} "
            "OR monthly_volume_coefficient_of_variation >= 0.6")
 CTES["evaluated"] = f"""
   SELECT *, CASE WHEN NOT core_data_feasibility THEN 'NOT_FEASIBLE' WHEN temporal_volatility_warning
       THEN 'APPROVED_WITH_LIMITATIONS' ELSE 'APPROVED' END AS decision_status,
     {reasons([(f"NOT {g}", g) for g in _TEMPORAL_GATES])} AS decision_reasons
   FROM (SELECT *, {" AND ".join(_TEMPORAL_GATES)} AS core_data_feasibility, ({_SEVERE}) AS severe_temporal_volatility,
-      ({_SEVERE} OR monthly_target_rate_range >= 0.3 OR {_DEV} >= 0.1 OR {_STEP} >= 0.2) AS temporal_volatility_warning
+      ({_SEVERE} OR monthly_target_rate_range >= 0.3 OR {_DEV} >= 0.1 OR {_STEP} >= {T.warning_month_to_month_change}) AS temporal_volatility_warning
     FROM (SELECT *, {", ".join(f"({v}) AS {k}" for k, v in _TEMPORAL_GATES.items())} FROM stability))"""
 CTES["narrower"] = """
   SELECT candidate_name FROM evaluated wide WHERE severe_temporal_volatility AND EXISTS (
@@ -865,7 +865,11 @@ def _queries() -> dict[str, str]:
       ceil(count(*) / {S.PAGE_LIMIT}.0)::BIGINT AS page_count FROM typed"""
     q["scope_filter"] = f"SELECT source_row_index, {', '.join(RAW_COLUMNS)} FROM flags WHERE within_selected_scope"
     q["head_preview"] = "SELECT source_row_index, unique_key, agency, status FROM requests ORDER BY created_date NULLS FIRST, unique_key, source_row_index LIMIT 10"
+    q["seeded_preview"] = "SELECT source_row_index, unique_key, agency, status FROM requests ORDER BY md5('42:' || source_row_index), source_row_index LIMIT 5"
     # source audit
+    q["column_requirements"] = union(
+        f"SELECT '{c}' AS column_name, '{group}' AS column_group, TRUE AS is_present, '{sev}' AS severity_if_missing, "
+        f"count({c})::BIGINT AS non_null_count FROM requests" for group, columns, sev in quality.COLUMN_GROUPS for c in columns)
     q["missing_values"] = union(
         f"SELECT '{c}' AS column_name, all_rows::BIGINT AS total_rows, (all_rows - missing__{c})::BIGINT AS non_null_count, "
         f"missing__{c}::BIGINT AS missing_count, {pct_null(f'missing__{c}', 'all_rows')} AS missing_percentage, "
@@ -882,8 +886,9 @@ def _queries() -> dict[str, str]:
       FROM (SELECT status, count(*) AS n FROM requests WHERE status IS NOT NULL GROUP BY 1) GROUP BY 1"""
     q["categorical_checks"] = f"SELECT column_name, check_name, 'computed' AS status, affected_count, {pct_null('affected_count', _ROWS)} AS affected_percentage FROM audit_checks"
     q["case_collisions"] = """SELECT column_name, lower(value) AS normalized_value, count(*)::BIGINT AS raw_variant_count,
-      string_agg(value, ' | ' ORDER BY value) AS raw_variants, sum(row_count)::BIGINT AS affected_count
-      FROM audit_counts WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"""
+      string_agg(value, ' | ' ORDER BY value) AS raw_variants, sum(n)::BIGINT AS affected_count
+      FROM (SELECT column_name, CASE WHEN column_name = 'status' THEN trim(value) ELSE value END AS value, sum(row_count) AS n
+        FROM audit_counts WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(*) > 1"""
     q["agency_name_mapping"] = """SELECT agency, count(*)::BIGINT AS agency_name_variant_count,
       string_agg(name, ' | ' ORDER BY name) AS agency_names, sum(n)::BIGINT AS affected_count
       FROM (SELECT agency, agency_name || ' ' || status AS name, count(*) AS n FROM requests GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1"""
