@@ -55,25 +55,25 @@ def category_profile(df: DataFrame, rules: ValidationRules = ValidationRules())
 
 
 def variants_of(counts: DataFrame) -> DataFrame:
-    """Groups of two or more raw spellings behind one comparison form.
+    """Groups of two or more raw spellings behind one comparison form, in one grouping of the counts.
 
-    Groups of one are dropped on counts before any spelling is gathered.
+    The gathered spellings are distinct and appear in the result as they are.
     """
-    forms = counts.where(F.col("value").isNotNull()).withColumn("form", comparison_form(F.col("value")))
-    several = forms.groupBy("column_name", "form").agg(
+    value = F.col("value")
+    forms = counts.where(value.isNotNull()).groupBy("column_name", comparison_form(value).alias("form")).agg(
         F.count(F.lit(1)).alias("raw_variant_count"), total("row_count").alias("row_count"),
-        F.min(strip(F.col("value"))).alias("s_lo"), F.max(strip(F.col("value"))).alias("s_hi"),
-        F.min(collapse(F.col("value"))).alias("c_lo"), F.max(collapse(F.col("value"))).alias("c_hi"),
+        (F.min(strip(value)) == F.max(strip(value))).alias("one_stripped"),
+        (F.min(collapse(value)) == F.max(collapse(value))).alias("one_collapsed"),
+        F.collect_list("value").alias("spellings"),
     ).where("raw_variant_count > 1")
-    spellings = forms.join(several.select("column_name", "form"), ["column_name", "form"], "left_semi").groupBy(
-        "column_name", "form").agg(F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("raw_variants"))
     kind = (
-        F.when(F.col("s_lo") == F.col("s_hi"), "whitespace")
-        .when(F.col("c_lo") == F.col("c_hi"), "repeated_whitespace").otherwise("case")
+        F.when(F.col("one_stripped"), "whitespace").when(F.col("one_collapsed"), "repeated_whitespace")
+        .otherwise("case")
     )
-    return several.withColumn("variant_type", kind).join(spellings, ["column_name", "form"]).select(
+    return forms.select(
         "column_name", F.col("form").alias("normalised_comparison_value"), "raw_variant_count",
-        "raw_variants", "row_count", "variant_type")
+        F.array_join(F.array_sort("spellings"), " | ").alias("raw_variants"), "row_count",
+        kind.alias("variant_type"))
 
 
 def category_variants(df: DataFrame, columns: Sequence[str] = PROFILE_CATEGORY_COLUMNS) -> DataFrame:

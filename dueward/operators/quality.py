@@ -222,16 +222,13 @@ def status_categories(df: DataFrame) -> DataFrame:
 
 def case_collisions_of(counts: DataFrame) -> DataFrame:
     """Lower-cased values with more than one raw spelling."""
-    forms = counts.where(F.col("value").isNotNull()).withColumn("normalized_value", F.lower("value"))
-    several = forms.groupBy("column_name", "normalized_value").agg(
-        F.count(F.lit(1)).alias("raw_variant_count"), total("row_count").alias("affected_count")
-    ).where("raw_variant_count > 1")
-    spellings = forms.join(
-        several.select("column_name", "normalized_value"), ["column_name", "normalized_value"], "left_semi"
-    ).groupBy("column_name", "normalized_value").agg(
-        F.array_join(F.array_sort(F.collect_list("value")), " | ").alias("raw_variants"))
-    return several.join(spellings, ["column_name", "normalized_value"]).select(
-        "column_name", "normalized_value", "raw_variant_count", "raw_variants", "affected_count")
+    forms = counts.where(F.col("value").isNotNull()).groupBy(
+        "column_name", F.lower("value").alias("normalized_value")
+    ).agg(F.count(F.lit(1)).alias("raw_variant_count"), total("row_count").alias("affected_count"),
+          F.collect_list("value").alias("spellings")).where("raw_variant_count > 1")
+    return forms.select(
+        "column_name", "normalized_value", "raw_variant_count",
+        F.array_join(F.array_sort("spellings"), " | ").alias("raw_variants"), "affected_count")
 
 
 def case_collisions(df: DataFrame, columns: Sequence[str] = QUALITY_CATEGORY_COLUMNS) -> DataFrame:

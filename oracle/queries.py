@@ -16,6 +16,7 @@ from dueward.operators import (
 )
 from dueward.operators.silver import typed_requests
 from dueward.schemas import RAW_COLUMNS, ROW_ID
+from dueward.session import use_utc
 from dueward.sources import runs
 from dueward.sources.landing import as_landed
 from dueward.sources.sample_tables import service_requests
@@ -39,16 +40,28 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*columns)
 
 
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _plan(kind: str, spark: SparkSession, folder: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Reuse an unexecuted plan inside one application; no data is kept."""
+    use_utc(spark)
+    key = (kind, spark.sparkContext.applicationId, folder)
+    if key not in _PLANS:
+        _PLANS[key] = make()
+    return _PLANS[key]
+
+
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return service_requests(spark, folder)
+    return _plan("raw", spark, folder, lambda: service_requests(spark, folder))
 
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:
-    return typed_requests(service_requests(spark, folder))
+    return _plan("typed", spark, folder, lambda: typed_requests(raw(spark, folder)))
 
 
 def landed(spark: SparkSession, folder: str) -> DataFrame:
-    return as_landed(service_requests(spark, folder), orders_per_page=S.ORDERS_PER_PAGE, limit=S.PAGE_LIMIT)
+    return as_landed(raw(spark, folder), orders_per_page=S.ORDERS_PER_PAGE, limit=S.PAGE_LIMIT)
 
 
 def line_count(spark: SparkSession, folder: str) -> int:
