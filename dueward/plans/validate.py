@@ -21,12 +21,10 @@ class ValidationResult:
     verdict: DataFrame
 
 
-def validation_tables(typed: DataFrame, scope: Scope, check_table: DataFrame,
-                      rules: ValidationRules = ValidationRules()) -> dict[str, DataFrame]:
-    """The full table set; each is a lazy plan over the same typed rows."""
+def evidence_tables(typed: DataFrame, scope: Scope, rules: ValidationRules = ValidationRules()) -> dict[str, DataFrame]:
+    """Every table but the checks and the actions; each is a lazy plan over the same typed rows."""
     cube = readiness.readiness_cube(typed, scope)
     return {
-        "validation_checks": checks.ordered_checks(check_table),
         "schema_validation": profile.schema_table(typed.select(*[c for c in RAW_COLUMNS if c in typed.columns])),
         "scope_validation": profile.scope_validation(typed, scope),
         "column_profile": profile.column_profile(typed),
@@ -43,7 +41,6 @@ def validation_tables(typed: DataFrame, scope: Scope, check_table: DataFrame,
         "geographic_outliers": geography.geo_outliers(typed, rules),
         "target_readiness_summary": readiness.target_readiness(cube),
         "candidate_exclusion_reason_summary": readiness.candidate_exclusions(cube),
-        "proposed_cleaning_actions": checks.proposed_actions(check_table),
     }
 
 
@@ -62,17 +59,16 @@ def validate(spark: SparkSession, root: str, scope: Scope, report_root: str, *,
         run_id, extraction_date = newest["folder_run_id"], newest["extraction_date"]
     raw, manifest = runs.read_run(spark, root, extraction_date, run_id)
     before = runs.content_fingerprint(raw).first()
-    typed = typed_requests(raw)
+    # Parsed once and stored, so that each table below scans only its typed columns.
+    typed_requests(raw).write.mode("overwrite").parquet(f"{report_root}/typed")
+    typed = spark.read.parquet(f"{report_root}/typed")
     observed = Scope.of(scope.agency, scope.complaint_type, scope.start, scope.end,
                         manifest["extraction_completion_utc"], scope.decision_status)
-    tables = validation_tables(typed, observed, checks.validation_checks(
-        typed, observed, manifest, rules=rules, authority_path=authority_path), rules)
-    late = {"validation_checks", "proposed_cleaning_actions"}
-    write_tables({k: v for k, v in tables.items() if k not in late}, (), report_root)
+    write_tables(evidence_tables(typed, observed, rules), (), report_root)
     unchanged = runs.content_fingerprint(spark.read.parquet(manifest["raw_file_path"])).first() == before
-    final = checks.validation_checks(
+    found = checks.validation_checks(
         typed, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged)
-    write_tables({"validation_checks": checks.ordered_checks(final)}, (), report_root)
+    write_tables({"validation_checks": checks.ordered_checks(found)}, (), report_root)
     stored = spark.read.parquet(f"{report_root}/parquet/validation_checks")
     write_tables({"proposed_cleaning_actions": checks.proposed_actions(stored)}, (), report_root)
     written = {name: spark.read.parquet(f"{report_root}/parquet/{name}") for name in VALIDATION_TABLES}
