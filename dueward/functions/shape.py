@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,21 +13,37 @@ def _as_column(value) -> Column:
     return value if isinstance(value, Column) else F.lit(value)
 
 
+_STATIC_TYPES = {str: "string", bool: "boolean", int: "int", float: "double"}
+
+
 def rows_from(one_row: DataFrame, rows: Sequence[Mapping[str, object]], types: Mapping[str, str] | None = None) -> DataFrame:
     """Fan a one-row aggregate out to a long table.
 
     Each entry of ``rows`` maps output names to literals or to expressions over
-    the aggregate's columns, so many counters cost one scan.
+    the aggregate's columns, so many counters cost one scan. Fields that hold
+    plain values in every entry travel as one constant array, which keeps the
+    plan and its generated code small.
     """
     types = types or {}
-    structs = [
-        F.struct(*[
-            (_as_column(v).cast(types[k]) if k in types else _as_column(v)).alias(k)
-            for k, v in row.items()
-        ])
-        for row in rows
-    ]
-    return one_row.select(F.inline(F.array(*structs)))
+    names = list(rows[0])
+    fixed = {
+        k: types.get(k, _STATIC_TYPES[type(rows[0][k])]) for k in names
+        if len({type(row[k]) for row in rows}) == 1 and type(rows[0][k]) in _STATIC_TYPES
+    }
+    moving = [k for k in names if k not in fixed]
+
+    def value(row: Mapping[str, object], k: str) -> Column:
+        plain_text = isinstance(row[k], str) and types.get(k) == "string"
+        return (_as_column(row[k]).cast(types[k]) if k in types and not plain_text else _as_column(row[k])).alias(k)
+
+    measured = F.array(*[F.struct(*[value(row, k) for k in moving]) for row in rows])
+    if not fixed:
+        return one_row.select(F.inline(measured))
+    text = json.dumps([{k: row[k] for k in fixed} for row in rows])
+    schema = "array<struct<" + ", ".join(f"`{k}`: {t}" for k, t in fixed.items()) + ">>"
+    constants = F.from_json(F.lit(text), schema)
+    paired = one_row.select(F.inline(F.arrays_zip(constants.alias("c"), measured.alias("m"))).alias("c", "m"))
+    return paired.select(*[F.col(f"{'c' if k in fixed else 'm'}.`{k}`").alias(k) for k in names])
 
 
 def column_values(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:

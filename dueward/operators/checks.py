@@ -23,10 +23,7 @@ from dueward.operators.silver import TYPED
 from dueward.schemas import CHECK_COLUMNS, RAW_COLUMNS
 
 OPTIONAL_CHRONOLOGY = ("closed_present_created_invalid", "due_present_created_invalid")
-TYPES = {
-    "severity": "string", "passed": "boolean", "observed_value": "string", "expected_value": "string",
-    "affected_rows": "bigint", "all_rows": "bigint", "recommended_step_7_action": "string",
-}
+TYPES = {"observed_value": "string", "expected_value": "string"}
 
 
 def check(check_id: str, area: str, name: str, severity, passed, observed, expected, affected, rows: Column,
@@ -46,8 +43,10 @@ def finished(records: DataFrame) -> DataFrame:
         F.when(F.col("passed"), "PASS").when(severity.isin("CRITICAL", "ERROR"), "FAIL")
         .when(severity == "WARNING", "WARN").otherwise("INFO")
     )
-    return records.withColumn("status", status).withColumn(
-        "affected_rate", ratio(F.col("affected_rows"), F.col("all_rows"))).select(*CHECK_COLUMNS)
+    return records.withColumns({
+        "status": status, "affected_rows": F.col("affected_rows").cast("bigint"),
+        "affected_rate": ratio(F.col("affected_rows"), F.col("all_rows")),
+    }).select(*CHECK_COLUMNS)
 
 
 def check_rows(one_row: DataFrame, records: Sequence[Mapping[str, object]]) -> DataFrame:
