@@ -22,6 +22,7 @@ from dueward.operators.profile import (
 from dueward.operators.silver import TYPED
 from dueward.schemas import CHECK_COLUMNS, RAW_COLUMNS
 
+# Check ids, severities and action texts below are fixed values of the report contract.
 OPTIONAL_CHRONOLOGY = ("closed_present_created_invalid", "due_present_created_invalid")
 TYPES = {"observed_value": "string", "expected_value": "string"}
 

@@ -123,6 +123,7 @@ def missing_counters(columns: Sequence[str], words: Sequence[str]) -> dict[str,
 def missing_policy(column: str, nulls: Column) -> tuple[Column, Column]:
     """Severity and recommended action, by column and role."""
     role = role_of(column)
+    # Severities and action texts of the report contract.
     if column in ("unique_key", "created_date"):
         found = "CRITICAL", "Quarantine affected rows; do not synthesize identifiers or creation time."
     elif column == "due_date":
