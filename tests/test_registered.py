@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as registered
 from oracle import queries as built
-from oracle import settings
+from oracle import settings, sql
 from dueward.operators import eligibility, scope
 from tests.conftest import SAMPLE
 
@@ -27,7 +27,7 @@ def duck():
 
 
 def test_every_query_has_a_twin():
-    assert set(registered.queries()) == set(registered.oracle_sql())
+    assert set(built.build()) == set(sql.build())
 
 
 @pytest.mark.parametrize("name", COMPARED)
