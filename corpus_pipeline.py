@@ -1,27 +1,56 @@
-"""The corpus pipeline: each stage applies one operator of ``dueward.llm`` to all that the stage before kept."""
+"""The corpus pipeline: each stage applies one operator of ``dueward.llm`` to all that the stage before kept.
+
+Stages take and return the columns of documents; the last adds the mix. Ids are matched null-safe, so a row without an
+id goes through. Rows that repeat an id share the decision of that id in the dedup and decontamination stages.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dueward.llm import exact, simhash
+from dueward.llm import decontaminate, exact, mixing, simhash, toxicity
 from dueward.llm.common import stored, table
 
 
+def _matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    named = ids.select(F.col("doc_id").alias("_matched"))
+    return docs.join(named, docs["doc_id"].eqNullSafe(named["_matched"]), how)
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain scores at one half or more go; it is trained on the labelled rows among ``docs``."""
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model, score_name="_toxicity", spans_name="_toxic_spans")
+    return scored.where("_toxicity < 0.5").drop("_toxicity", "_toxic_spans")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the smallest id stays."""
-    kept = exact.exact_groups(docs).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi")
+    return _matching(docs, exact.exact_groups(docs).where("kept"), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: the smallest id."""
     groups = simhash.near_duplicates(docs)
-    return docs.join(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id"), "doc_id", "left_semi")
+    return _matching(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))), "left_semi")
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, re-parameterised or not, go."""
+    return _matching(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")), "left_anti")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it, repeats counted, and the shards that hold them."""
+    taken = mixing.mixed(docs).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_matched")
+    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_matched"])).drop("_matched")
 
 
-STAGES = [("exact dedup", exact_dedup), ("near dedup", near_dedup)]
+STAGES = [
+    ("toxicity", drop_toxic), ("exact dedup", exact_dedup), ("SimHash near-dedup", near_dedup),
+    ("benchmark decontamination", drop_contaminated), ("mixing to target weights", mix),
+]
 #: A conditional random field cannot be written in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 

@@ -11,5 +11,52 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+# The same derived list as the query's; a key's interval ends with its next entry.
+URL_FILTERS = r"""
+WITH p AS (
+  SELECT page_id, url, (page_id * 37 % 365)::INT AS day,
+    regexp_replace(lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^/?#]*)?', 1)), '^www\.', '') AS host,
+    regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)(?::[0-9]*)?(/[^/?#]*)?', 2) AS seg
+  FROM pages
+), k AS (
+  SELECT page_id, url, day, 0 AS rank, 'domain' AS kind, array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 2, 1), len(string_split(host, '.'))), '.') AS key FROM p
+  UNION ALL SELECT page_id, url, day, 1, 'host', host FROM p
+  UNION ALL SELECT page_id, url, day, 2, 'path', host || seg FROM p
+), d AS (
+  SELECT kind, key, ('0x' || substr(md5(kind || ':' || key), 1, 4))::INT AS v FROM (SELECT DISTINCT kind, key FROM k WHERE key <> '')
+), e AS (
+  SELECT kind, key, v % 300 AS day, CASE WHEN v % 3 = 0 THEN 'block' ELSE 'allow' END AS action FROM d
+  UNION ALL SELECT kind, key, v % 300 + 20 + v % 50, 'remove' FROM d
+  UNION ALL SELECT kind, key, v % 300 + 90 + v % 70, CASE WHEN v % 5 = 0 THEN 'block' ELSE 'allow' END FROM d
+), f AS (
+  SELECT kind, key, day, max(action) AS action FROM e GROUP BY ALL
+), i AS (
+  SELECT kind, key, action, day AS first_day, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS next_day FROM f
+), a AS (
+  SELECT k.page_id, k.rank, k.kind, k.key, i.action,
+    row_number() OVER (PARTITION BY k.page_id ORDER BY k.rank DESC) AS n, count(*) OVER (PARTITION BY k.page_id) AS n_active
+  FROM k JOIN i ON k.kind = i.kind AND k.key = i.key
+  WHERE i.action <> 'remove' AND i.first_day <= k.day AND (i.next_day IS NULL OR k.day < i.next_day)
+)
+SELECT p.page_id, p.url, p.day, coalesce(a.n_active, 0) AS n_active, coalesce(a.action = 'block', false) AS blocked,
+  a.kind AS rule_kind, a.key AS rule_key
+FROM p LEFT JOIN a ON p.page_id = a.page_id AND a.n = 1
+"""
+
+LINE_DEDUP = r"""
+WITH l AS (
+  SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents
+), t AS (
+  SELECT doc_id, source, n, line, trim(regexp_replace(line, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') AS tidy FROM l
+), g AS (
+  SELECT tidy FROM t WHERE tidy <> '' GROUP BY tidy HAVING count(DISTINCT coalesce('s' || source, 'null')) >= 5
+)
+SELECT doc_id, count(*) AS n_lines, count(g.tidy) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (g.tidy IS NULL), '')) AS kept_sha256
+FROM t LEFT JOIN g ON t.tidy = g.tidy GROUP BY doc_id
+"""
+
+
 def build() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP}
+    return {"op2_exact_dedup": EXACT_DEDUP, "op4_url_filters": URL_FILTERS, "op7_line_dedup": LINE_DEDUP}

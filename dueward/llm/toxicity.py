@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from dueward.llm.common import documents_of, text_or_empty
 
@@ -38,7 +39,6 @@ ROUNDS = 60
 TOKENS_AT_ONCE = 1 << 18
 CACHE = 200_000
 _OUTSIDE = re.compile(r"^[\W_]+|[\W_]+$")
-_SPAN = "start int, end int, marginal double"
 
 
 def forms(word: str) -> list[str]:
@@ -246,9 +246,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     return sample
 
 
-def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``(id, score, spans)`` of every whole text; spans are (start, end, marginal) in code points."""
-    kind = docs.schema[id_column].dataType.simpleString()
+def score(docs: DataFrame, model: Model, text_column: str = "text", score_name: str = "score", spans_name: str = "spans") -> DataFrame:
+    """``docs`` with the score and the spans of every whole text; spans are (start, end, marginal) in code points."""
+    text_at = docs.columns.index(text_column)
+    schema = StructType([*docs.schema.fields, StructField(score_name, DoubleType()), StructField(spans_name, ArrayType(StructType([
+        StructField("start", IntegerType()), StructField("end", IntegerType()), StructField("marginal", DoubleType())])))])
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,7 +289,7 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
             return list(_scores(np.array(x), model.calibration)), spans
 
         for batch in batches:
-            column, scores, spans, at = batch.column(1), [], [], 0
+            column, scores, spans, at = batch.column(text_at), [], [], 0
             while at < batch.num_rows:
                 texts, size = [], 0
                 while at < batch.num_rows and size < 6 * TOKENS_AT_ONCE:
@@ -301,15 +303,14 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
                 scores += s
                 spans += found
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, type=pa.float64()), pa.array(spans, type=span_type)], names=[id_column, "score", "spans"])
+                [*batch.columns, pa.array(scores, type=pa.float64()), pa.array(spans, type=span_type)], names=schema.names)
 
-    chosen = documents_of(docs, id_column, text_column)
-    return chosen.mapInArrow(scored, f"`{id_column}` {kind}, score double, spans array<struct<{_SPAN.replace(' ', ':').replace(',:', ',')}>>")
+    return docs.mapInArrow(scored, schema)
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``(id, held_out, score, predicted, n_spans, spans)``, trained on the labelled rows that are not held out."""
     model = fit(training_rows(docs, labels, id_column, text_column))
-    return score(docs, model, id_column, text_column).select(
+    return score(documents_of(docs, id_column, text_column), model, text_column).select(
         id_column, held_out(id_column).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.size("spans").cast("long").alias("n_spans"), "spans")
