@@ -192,22 +192,22 @@ class ValidationRules:
     category_columns: tuple[str, ...] = PROFILE_CATEGORY_COLUMNS
     rare_category_max_rows: int = 10
     high_cardinality_threshold: int = 1000
-    maximum_profile_values_per_column: int = 5000
+    #: None profiles every value of a column.
+    maximum_profile_values_per_column: int | None = None
     null_like: tuple[str, ...] = NULL_LIKE
     latitude_range: tuple[float, float] = (-90.0, 90.0)
     longitude_range: tuple[float, float] = (-180.0, 180.0)
     box: BoundingBox = field(default_factory=lambda: BoundingBox(40.40, 41.00, -74.30, -73.60))
 
 
-# The source audit uses a tighter box than the validation suite.
+# Fixed value: the source audit uses a tighter box than the validation suite.
 AUDIT_BOX = BoundingBox(40.45, 40.95, -74.30, -73.65)
 
-# Dataset identity and paging contract.
+# Dataset identity and sample size.
 DATASET_ID = "erm2-nwe9"
-MAXIMUM_PAGE_SIZE = 50_000
-MAXIMUM_PAGES = 10_000
 SAMPLE_ROWS_PER_YEAR = 1_000
 
+# Weights of the scope scores.
 SCORE_WEIGHTS = {
     "due_date_score": 0.30,
     "closed_date_score": 0.20,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dueward.config import ALLOWED_STATUSES, EXCLUDED_STATUSES, PROFILE_CATEGORY_COLUMNS, ValidationRules
 from dueward.functions.numbers import holds, ratio, total
-from dueward.functions.shape import column_values, whole_table
+from dueward.functions.shape import column_values
 from dueward.functions.text import (
     collapse, comparison_form, has_leading_space, has_trailing_space, is_blank, strip,
 )
@@ -26,13 +26,15 @@ def value_counts(df: DataFrame, columns: Sequence[str] = PROFILE_CATEGORY_COLUMN
 
 
 def category_profile(df: DataFrame, rules: ValidationRules = ValidationRules()) -> DataFrame:
-    """The most frequent values of each column with their formatting facts."""
+    """Every value of each column with its formatting facts; a limit keeps the most frequent ones of each column."""
     counts = value_counts(df, rules.category_columns)
     per_column = counts.groupBy("column_name").agg(
         total("row_count").alias("all_rows"), F.count("value").alias("column_distinct_count"))
-    ranked = Window.partitionBy("column_name").orderBy(F.desc("row_count"), F.asc_nulls_first("value"))
-    kept = counts.withColumn("place", F.row_number().over(ranked)).where(
-        F.col("place") <= rules.maximum_profile_values_per_column)
+    kept = counts
+    if rules.maximum_profile_values_per_column is not None:
+        ranked = Window.partitionBy("column_name").orderBy(F.desc("row_count"), F.asc_nulls_first("value"))
+        kept = counts.withColumn("place", F.row_number().over(ranked)).where(
+            F.col("place") <= rules.maximum_profile_values_per_column)
     # One row per profiled column, so this side is as small as the configuration.
     joined = kept.join(F.broadcast(per_column), "column_name")
     value, missing = F.col("value"), F.col("value").isNull()
@@ -91,12 +93,12 @@ def status_validation(typed: DataFrame) -> DataFrame:
     form = F.coalesce(comparison_form(F.col("status")), F.lit("<MISSING>"))
     allowed, excluded = form.isin(list(ALLOWED_STATUSES)), form.isin(list(EXCLUDED_STATUSES))
     rows = F.col("row_count")
-    # One row per raw status reaches this window.
-    everything = whole_table()
-    return grouped.select(
+    # Raw statuses may be many; their total is one row beside them.
+    everything = grouped.agg(F.sum("row_count").alias("all_rows")).withColumn("_one", F.lit(1))
+    return grouped.withColumn("_one", F.lit(1)).join(F.broadcast(everything), "_one").select(
         F.coalesce("status", F.lit("<NULL>")).alias("status_raw"),
         form.alias("status_comparison_normalised"), "row_count",
-        ratio(rows, F.sum("row_count").over(everything)).alias("row_share"),
+        ratio(rows, F.col("all_rows")).alias("row_share"),
         ratio(F.col("due"), rows).alias("due_date_coverage"),
         ratio(F.col("closed"), rows).alias("closed_date_coverage"),
         ratio(F.col("created"), rows).alias("created_date_coverage"),

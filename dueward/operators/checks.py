@@ -19,7 +19,7 @@ from dueward.operators.keyed import KEY, differs, text_hash
 from dueward.operators.profile import (
     CHRONOLOGY_RULES, chronology_conditions, missing_counters, missing_policy, scope_counters,
 )
-from dueward.operators.silver import TYPED
+from dueward.operators.silver import TYPED, stored_names, with_placeholders
 from dueward.schemas import CHECK_COLUMNS, RAW_COLUMNS
 
 # Check ids, severities and action texts below are fixed values of the report contract.
@@ -128,23 +128,32 @@ def manifest_scope_checks(manifest: Mapping[str, object], scope: Scope, rows: Co
         "Reject the raw run and re-ingest from the expected dataset.")]
 
 
-def schema_check_table(raw: DataFrame, expected_rows: int, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+def _key_is_text(df: DataFrame) -> bool:
+    return KEY in df.columns and df.schema[KEY].dataType.simpleString() == "string"
+
+
+def schema_check_table(raw: DataFrame, expected_rows: int, columns: Sequence[str] = RAW_COLUMNS,
+                       selected: Sequence[str] | None = None) -> DataFrame:
+    """The eight structural checks of a table as it is stored; ``selected`` is the manifest's list of columns."""
     one = raw.agg(F.count(F.lit(1)).alias("all_rows"))
-    names = [c for c in raw.columns if c in columns]
-    is_text = raw.schema[KEY].dataType.simpleString() == "string"
-    return check_rows(one, schema_checks(names, is_text, F.col("all_rows"), expected_rows))
+    return check_rows(one, schema_checks(
+        stored_names(raw), _key_is_text(raw), F.col("all_rows"), expected_rows, columns, selected or columns))
 
 
 def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, object], *,
                       rules: ValidationRules = ValidationRules(), columns: Sequence[str] = RAW_COLUMNS,
                       authority_path: str | None = None, unchanged: bool | None = None,
-                      landed_header: Sequence[str] | None = None) -> DataFrame:
+                      landed_header: Sequence[str] | None = None, stored: Sequence[str] | None = None) -> DataFrame:
     """The whole check table from three scans.
 
-    One counts conditions, one groups by key, one groups (column, value) cells.
+    One counts conditions, one groups by key, one groups (column, value) cells. ``stored`` names the columns as the
+    run holds them; absent ones are checked as NULLs.
     ``unchanged`` adds the raw-immutability check once a second fingerprint exists.
     """
     rows = F.col("all_rows")
+    stored = list(stored_names(typed) if stored is None else stored)
+    is_text = KEY in stored and _key_is_text(typed)
+    typed = with_placeholders(typed, columns)
     one = typed.agg(
         F.count(F.lit(1)).alias("all_rows"),
         *[c.alias(f"scope__{n}") for n, c in scope_counters(scope).items()],
@@ -153,10 +162,9 @@ def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, obj
           for c in rules.timestamp_columns],
         *[c.alias(f"geo__{n}") for n, c in geography.counters(rules).items()],
     )
-    stored = [c for c in typed.columns if c in columns]
     records = manifest_scope_checks(manifest, scope, rows, authority_path)
-    records += schema_checks(stored, typed.schema[KEY].dataType.simpleString() == "string", rows,
-                             int(manifest["retrieved_row_count"]), landed_header=landed_header)
+    records += schema_checks(stored, is_text, rows, int(manifest["retrieved_row_count"]), columns,
+                             manifest.get("selected_source_columns") or columns, landed_header=landed_header)
     for name in scope_counters(scope):
         records.append(zero_check(
             f"scope.{name}", "scope", _title(name), "CRITICAL", F.col(f"scope__{name}"), rows,

@@ -12,12 +12,6 @@ from dueward.schemas import ROW_ID
 KEY = "unique_key"
 MISSING = "<NA>"
 
-# A key with at least this many rows is joined map-side; at most HOT_KEYS of
-# them are, largest first, so the broadcast is bounded by construction. A key
-# ranked below that holds under 1/HOT_KEYS of the rows and shuffles normally.
-HOT_ROWS = 100_000
-HOT_KEYS = 1_000
-
 
 def text_hash(column: str) -> Column:
     """64-bit hash of raw text in which NULL equals the marker text."""
@@ -60,22 +54,14 @@ def repeated_keys(rows: DataFrame, tests: Mapping[str, Column], *, canonical: bo
 def attach_key_facts(rows: DataFrame, facts: DataFrame, name: str = "key_facts") -> DataFrame:
     """Left-join ``facts`` (from :func:`repeated_keys`) as one nullable struct column.
 
-    Rows of hot keys meet a bounded broadcast. They and rows without a key then
-    get a private join key, so the shuffle spreads them instead of piling up.
+    One plan for every key. The facts have one row per repeated key; a key with a third of the rows is a skewed left
+    side, which adaptive execution splits. Rows without a key get a private join key, so they spread evenly.
     """
     fields = [c for c in facts.columns if c != KEY]
-    packed = facts.select(F.col(KEY).alias("_fact_key"), "group_rows", F.struct(*fields).alias("_fact"))
-    hot = packed.where(F.col("group_rows") >= HOT_ROWS).orderBy(F.desc("group_rows"), "_fact_key").limit(HOT_KEYS)
-    hot = hot.select(F.col("_fact_key").alias("_hot_key"), F.col("_fact").alias("_hot"))
-    cold = packed.select("_fact_key", "_fact")
+    packed = facts.select(F.col(KEY).alias("_fact_key"), F.struct(*fields).alias(name))
     private = F.concat(F.lit("\u0000"), F.col(ROW_ID))
-    split = rows.join(F.broadcast(hot), F.col(KEY) == F.col("_hot_key"), "left").withColumn(
-        "_join_key", F.when(F.col("_hot").isNull(), F.coalesce(F.col(KEY), private)).otherwise(private)
-    )
-    joined = split.join(cold, F.col("_join_key") == F.col("_fact_key"), "left")
-    return joined.withColumn(name, F.coalesce("_hot", "_fact")).drop(
-        "_hot_key", "_hot", "_join_key", "_fact_key", "_fact"
-    )
+    keyed = rows.withColumn("_join_key", F.coalesce(F.col(KEY), private))
+    return keyed.join(packed, F.col("_join_key") == F.col("_fact_key"), "left").drop("_join_key", "_fact_key")
 
 
 def key_groups(rows: DataFrame, flags: Sequence[str], signatures: Mapping[str, Sequence[Column]]) -> DataFrame:

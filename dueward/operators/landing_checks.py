@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dueward.config import MAXIMUM_PAGES, Scope
+from dueward.config import Scope
 from dueward.functions.numbers import holds, total
 from dueward.functions.shape import rows_from
 from dueward.functions.time import at
@@ -79,7 +79,7 @@ def repeated_keys_on_pages(landed: DataFrame) -> DataFrame:
         (F.min("page_number") != F.max("page_number")).alias("crosses_pages")).where("row_count > 1")
 
 
-def page_continuity(landed: DataFrame, maximum_pages: int = MAXIMUM_PAGES) -> DataFrame:
+def page_continuity(landed: DataFrame) -> DataFrame:
     """Per page: offset in step, a full page unless last, and a successor unless last."""
     pages = page_summary(landed)
     last = pages.agg(F.max("page_number").alias("last_page")).withColumn("_one", F.lit(1))
@@ -93,7 +93,7 @@ def page_continuity(landed: DataFrame, maximum_pages: int = MAXIMUM_PAGES) -> Da
         "page_number", "offset", "returned_rows", in_step.alias("offset_in_step"),
         is_last.alias("is_last_page"), (short & ~is_last).alias("short_before_end"),
         succeeded.alias("next_page_follows"),
-        (in_step & (is_last | (succeeded & ~short)) & (F.col("page_number") <= maximum_pages)).alias("is_continuous"))
+        (in_step & (is_last | (succeeded & ~short))).alias("is_continuous"))
 
 
 def never_present_columns(landed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:

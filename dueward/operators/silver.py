@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from dueward.config import TIMESTAMP_COLUMNS
 from dueward.functions.shape import computed_once
 from dueward.functions.time import month_of, month_start, parse_timestamp
-from dueward.schemas import ROW_ID
+from dueward.schemas import RAW_COLUMNS, ROW_ID
 
 TYPED = {
     "created_date": "created_ts",
@@ -31,6 +32,18 @@ def typed_requests(raw: DataFrame) -> DataFrame:
     })
 
 
+def stored_names(df: DataFrame) -> list[str]:
+    """The columns a run came with: without its row identity and what was derived here."""
+    return [c for c in df.columns if c not in (*TYPED.values(), ROW_ID, "created_month")]
+
+
+def with_placeholders(typed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """Absent columns as NULLs of their type, so that every check can run and the schema check can report them."""
+    absent = {c: F.lit(None).cast("string") for c in columns if c not in typed.columns}
+    absent |= {t: F.lit(None).cast("timestamp") for c, t in TYPED.items() if c in columns and t not in typed.columns}
+    return typed.withColumns(absent) if absent else typed
+
+
 def write_silver(raw: DataFrame, path: str) -> None:
     """Persist the typed form, laid out by creation month for pruning."""
     silver = typed_requests(raw).withColumn("created_month", month_of(F.col("created_ts")))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timezone
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +20,30 @@ from dueward.sources.scope_files import approved
 
 def ingest(spark: SparkSession, landing: str, root: str, scope: Scope, *, preflight: int, postflight: int,
            source: str, authority_path: str, started_at: datetime | None = None, overwrite: bool = False,
-           report_root: str | None = None) -> runs.RunPaths:
-    """Check pages and gates, then store the run; a failed check stores nothing."""
+           report_root: str | None = None, preflight_at: datetime | None = None,
+           postflight_at: datetime | None = None) -> runs.RunPaths:
+    """Check pages and gates, then store the run; a failed check stores nothing.
+
+    The landed text is parsed once into a staging table, which every check reads. ``preflight_at`` and
+    ``postflight_at`` are when the source was counted; without them, when the counts were handed over here.
+    """
     approved(scope)
-    started = started_at or datetime.now(timezone.utc)
+    handed_over = datetime.now(timezone.utc)
+    started = started_at or handed_over
     paths = runs.run_paths(spark, root, scope, started)
     runs.guard_run(spark, paths, overwrite=overwrite)
-    landed = read_landed(spark, landing)
+    parsed = f"{root}/_staging/landed-{uuid.uuid4().hex}"
+    try:
+        read_landed(spark, landing).write.mode("errorifexists").parquet(parsed)
+        return _store(spark, spark.read.parquet(parsed), scope, paths, preflight, postflight, source, authority_path, started,
+                      preflight_at or handed_over, postflight_at or handed_over, report_root)
+    finally:
+        runs.discard_folder(spark, parsed)
+
+
+def _store(spark: SparkSession, landed: DataFrame, scope: Scope, paths: runs.RunPaths, preflight: int, postflight: int,
+           source: str, authority_path: str, started: datetime, counted_before: datetime, counted_after: datetime,
+           report_root: str | None) -> runs.RunPaths:
     reject_broken_pages(landed)
     raw = landed.select(*RAW_COLUMNS, ROW_ID)
     digest = paths.run_id.rsplit("_", 1)[1]
@@ -38,12 +56,14 @@ def ingest(spark: SparkSession, landing: str, root: str, scope: Scope, *, prefli
     absent = [r["column_name"] for r in landing_checks.never_present_columns(landed).collect()]
     warnings += [f"never present: {', '.join(absent)}"] if absent else []
     pages = landing_checks.page_summary(landed)
+    page_size = pages.agg(F.max("requested_limit")).first()[0]
 
     def manifest_of(stored: DataFrame) -> DataFrame:
         return runs.build_manifest(
             stored, pages, scope, paths, expected=preflight, started_at=started,
             completed_at=datetime.now(timezone.utc), query_hash=digest, source=source,
-            authority_path=authority_path, warnings=warnings)
+            authority_path=authority_path, warnings=warnings, page_size=page_size,
+            counted_before=counted_before, counted_after=counted_after)
 
     text = f"agency = {scope.agency}; type = {scope.complaint_type}; created {scope.start} to {scope.end}"
     runs.write_run(raw, manifest_of, text, paths)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dueward.config import Scope, ValidationRules
 from dueward.operators import categories, checks, duplicates, geography, profile, readiness
-from dueward.operators.silver import typed_requests
+from dueward.operators.silver import stored_names, typed_requests, with_placeholders, with_row_id
 from dueward.schemas import RAW_COLUMNS
 from dueward.sources import runs
 from dueward.sources.report_tables import VALIDATION_TABLES, write_tables
@@ -22,10 +22,9 @@ class ValidationResult:
 
 
 def evidence_tables(typed: DataFrame, scope: Scope, rules: ValidationRules = ValidationRules()) -> dict[str, DataFrame]:
-    """Every table but the checks and the actions; each is a lazy plan over the same typed rows."""
+    """Every table but the schema, the checks and the actions; each is a lazy plan over the same typed rows."""
     cube = readiness.readiness_cube(typed, scope)
     return {
-        "schema_validation": profile.schema_table(typed.select(*[c for c in RAW_COLUMNS if c in typed.columns])),
         "scope_validation": profile.scope_validation(typed, scope),
         "column_profile": profile.column_profile(typed),
         "missingness_summary": profile.missingness(typed, rules=rules),
@@ -60,14 +59,17 @@ def validate(spark: SparkSession, root: str, scope: Scope, report_root: str, *,
     raw, manifest = runs.read_run(spark, root, extraction_date, run_id)
     before = runs.content_fingerprint(raw).first()
     # Parsed once and stored, so that each table below scans only its typed columns.
-    typed_requests(raw).write.mode("overwrite").parquet(f"{report_root}/typed")
-    typed = spark.read.parquet(f"{report_root}/typed")
+    typed_requests(with_row_id(raw)).write.mode("overwrite").parquet(f"{report_root}/typed")
+    names = stored_names(raw)
+    typed = with_placeholders(spark.read.parquet(f"{report_root}/typed"))
+    selected = manifest["selected_source_columns"] or RAW_COLUMNS
     observed = Scope.of(scope.agency, scope.complaint_type, scope.start, scope.end,
                         manifest["extraction_completion_utc"], scope.decision_status)
-    write_tables(evidence_tables(typed, observed, rules), (), report_root)
+    schema = {"schema_validation": profile.schema_table(raw.select(*names), RAW_COLUMNS, selected)}
+    write_tables(schema | evidence_tables(typed, observed, rules), (), report_root)
     unchanged = runs.content_fingerprint(spark.read.parquet(manifest["raw_file_path"])).first() == before
     found = checks.validation_checks(
-        typed, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged)
+        typed, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged, stored=names)
     write_tables({"validation_checks": checks.ordered_checks(found)}, (), report_root)
     stored = spark.read.parquet(f"{report_root}/parquet/validation_checks")
     write_tables({"proposed_cleaning_actions": checks.proposed_actions(stored)}, (), report_root)

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from datetime import datetime, timezone
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -140,11 +141,13 @@ def latest_run(manifests: DataFrame) -> DataFrame:
 
 def build_manifest(raw: DataFrame, pages: DataFrame, scope: Scope, paths: RunPaths, *, expected: int,
                    started_at: datetime, completed_at: datetime, query_hash: str, source: str,
-                   authority_path: str, warnings: Sequence[str] = (), page_size: int = 10_000,
+                   authority_path: str, warnings: Sequence[str] = (), page_size: int | None = None,
+                   counted_before: datetime | None = None, counted_after: datetime | None = None,
                    status: str = "success") -> DataFrame:
-    """The run's facts as one row: keys grouped, bounds aggregated, pages listed in order.
+    """The run's facts as one row: keys grouped, bounds aggregated, pages listed in order as the contract asks.
 
-    A run has at most the contract's number of pages, so the list stays small.
+    ``counted_before`` and ``counted_after`` are the moments at which the source was counted; without them the
+    manifest holds NULL and is not a valid success manifest. ``page_size`` is what the pages asked for.
     """
     from dueward.functions.time import parse_timestamp
 
@@ -168,7 +171,8 @@ def build_manifest(raw: DataFrame, pages: DataFrame, scope: Scope, paths: RunPat
         "selected_agency": scope.agency, "selected_complaint_type": scope.complaint_type,
         "selected_start_date": scope.start.isoformat(), "selected_end_date": scope.end.isoformat(),
         "extraction_start_utc": started_at.isoformat(), "extraction_completion_utc": completed_at.isoformat(),
-        "count_preflight_utc": started_at.isoformat(), "count_postflight_utc": completed_at.isoformat(),
+        "count_preflight_utc": counted_before and counted_before.isoformat(),
+        "count_postflight_utc": counted_after and counted_after.isoformat(),
         "where_clause": f"agency = {scope.agency} and complaint_type = {scope.complaint_type} "
                         f"and created_date in [{scope.start.isoformat()}, {end})",
         "page_size": page_size, "timeout_seconds": 0.0, "maximum_retries": 0, "expected_source_count": expected,
@@ -227,24 +231,62 @@ def discard_run(spark: SparkSession, paths: RunPaths) -> None:
     fs.delete(p, True)
 
 
+def discard_folder(spark: SparkSession, path: str) -> None:
+    fs, p = _folder(spark, path)
+    fs.delete(p, True)
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder; an existing target, also one that appeared a moment ago, is an error and stays as it is."""
+    jvm = spark._jvm
+    _, there = _folder(spark, target)
+    fs, here = _folder(spark, source)
+    fs.mkdirs(there.getParent())
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.NONE
+    try:
+        context.rename(here, there, options)
+    except Exception as error:
+        raise RunExists(f"The run's folder is taken: {target}") from error
+
+
+def _agree(manifest: dict, columns: Sequence[str], stored: DataFrame) -> None:
+    """The rows read back against what the manifest states; a success manifest must agree in every count."""
+    if stored.columns != list(columns):
+        raise RunUnreadable("Stored columns differ from the columns written.")
+    rows = stored.count()
+    stated = manifest["retrieved_row_count"]
+    if rows != stated:
+        raise RunUnreadable(f"{rows} rows were stored, the manifest states {stated}.")
+    if manifest["completion_status"] == "success" and not rows == sum(manifest["page_row_counts"]) == manifest["expected_source_count"]:
+        raise RunUnreadable("A success manifest must agree with the pages and with the source's count.")
+
+
 def write_run(raw: DataFrame, manifest_of, query_text: str, paths: RunPaths) -> None:
-    """Store rows, read them back, then commit with the manifest; a failure leaves no run behind.
+    """Store a run in a staging folder of its own, read it back, and rename it into place as the last step.
 
-    ``manifest_of`` maps the stored rows to their one-row manifest.
+    ``manifest_of`` maps the stored rows to their one-row manifest. A failure removes the staging folder and nothing
+    else, so two writers with equal paths leave the first run as it was.
     """
     spark = raw.sparkSession
     columns = [c for c in RAW_COLUMNS if c in raw.columns] + ([ROW_ID] if ROW_ID in raw.columns else [])
+    if exists(spark, paths.folder):
+        raise RunExists(f"The run's folder is taken: {paths.folder}")
+    staging = f"{paths.root}/_staging/{paths.run_id}-{uuid.uuid4().hex}"
     try:
-        raw.select(*columns).write.mode("errorifexists").parquet(paths.data)
-        stored = spark.read.parquet(paths.data)
-        if stored.columns != columns:
-            raise RunUnreadable("Stored columns differ from the columns written.")
-        spark.createDataFrame([(query_text,)], "value string").coalesce(1).write.mode("errorifexists").text(paths.query)
-        manifest = manifest_of(stored)
-        manifest.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", "false").json(paths.manifest)
-    except Exception:
-        discard_run(spark, paths)
-        raise
+        raw.select(*columns).write.mode("errorifexists").parquet(f"{staging}/data")
+        stored = spark.read.parquet(f"{staging}/data")
+        fs, data = _folder(spark, f"{staging}/data")
+        manifest = manifest_of(stored).withColumn(
+            "raw_file_size", F.lit(fs.getContentSummary(data).getLength()).cast(MANIFEST_SCHEMA["raw_file_size"].dataType))
+        _agree(manifest.first().asDict(recursive=True), columns, stored)
+        spark.createDataFrame([(query_text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{staging}/query")
+        manifest.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{staging}/manifest")
+        _move(spark, staging, paths.folder)
+    finally:
+        fs, p = _folder(spark, staging)
+        fs.delete(p, True)
 
 
 def read_run(spark: SparkSession, root: str, extraction_date: str, run_id: str) -> tuple[DataFrame, dict]:

@@ -31,15 +31,6 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """Use every core when the files have fewer splits than the session has slots.
-
-    A large table has many more splits than slots and is left alone.
-    """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
-
-
 def _iso(day):
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00.000"))
 
@@ -55,7 +46,6 @@ def service_requests(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("int").alias("days"), "l_returnflag", "l_linestatus",
     )
-    line = _spread(line)
     order = _table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         F.col("o_orderdate").cast("date").alias("day"),

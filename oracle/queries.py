@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dueward.config import DATASET_ID, ValidationRules
+from dueward.config import DATASET_ID
 from dueward.operators import (
     categories, checks, duplicates, eligibility, feasibility, geography, landing_checks, overview, profile,
     quality, readiness, reconcile, roles, scope, temporal,
@@ -128,7 +127,7 @@ def manifest(spark, folder) -> dict[str, object]:
 
 
 def all_checks(spark, folder) -> DataFrame:
-    return checks.validation_checks(typed(spark, folder), S.SCOPE, manifest(spark, folder))
+    return checks.validation_checks(typed(spark, folder).drop("order_key"), S.SCOPE, manifest(spark, folder))
 
 
 def manifests(spark, folder) -> DataFrame:
@@ -279,8 +278,10 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "violation_rate_ratio": lambda s, d: feasibility.violation_rate_ratio(typed(s, d), S.AGENCY),
     "feasibility_decision": lambda s, d: feasibility.feasibility_decision(typed(s, d), S.AGENCY),
     # raw validation
-    "schema_checks": lambda s, d: checks.schema_check_table(raw(s, d), line_count(s, d)).select(
-        "check_id", "severity", "status", "affected_rows", "affected_rate"),
+    "schema_checks": lambda s, d: checks.schema_check_table(raw(s, d).drop("order_key"), line_count(s, d)).drop("message"),
+    "schema_checks_drift": lambda s, d: checks.schema_check_table(
+        raw(s, d).drop("descriptor_2", "order_key").withColumn("new_field", F.lower("status")), line_count(s, d)).select(
+        "check_id", "severity", "status", "affected_rows", "affected_rate", "observed_value", "expected_value"),
     "column_profile": lambda s, d: profile.column_profile(raw(s, d)),
     "scope_validation": lambda s, d: profile.scope_validation(typed(s, d), S.SCOPE),
     "missingness": lambda s, d: profile.missingness(raw(s, d)).drop("recommended_step_7_action"),
@@ -290,8 +291,7 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "duplicate_summary": lambda s, d: duplicates.duplicate_summary(raw(s, d)),
     "exact_duplicates": lambda s, d: duplicates.exact_duplicates(raw(s, d)),
     "conflicting_duplicates": lambda s, d: duplicates.conflicting_duplicates(raw(s, d)),
-    "category_profile": lambda s, d: categories.category_profile(
-        raw(s, d), replace(ValidationRules(), maximum_profile_values_per_column=S.CATEGORY_TOP)),
+    "category_profile": lambda s, d: categories.category_profile(raw(s, d)),
     "category_variants": lambda s, d: categories.category_variants(raw(s, d)),
     "status_validation": lambda s, d: categories.status_validation(typed(s, d)).drop("recommended_step_7_action"),
     "geo_summary": lambda s, d: geography.geo_summary(raw(s, d)),

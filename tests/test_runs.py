@@ -8,7 +8,8 @@ from datetime import datetime, timezone
 import pytest
 
 from dueward.config import Scope
-from dueward.operators import landing_checks
+from dueward.operators import checks, landing_checks
+from dueward.operators.silver import typed_requests
 from dueward.plans.ingest import ingest
 from dueward.plans.validate import validate
 from dueward.schemas import RAW_COLUMNS, ROW_ID
@@ -62,11 +63,11 @@ def test_failed_gate_and_broken_pages_store_nothing(spark):
     kw = dict(source="test", authority_path="a", started_at=STARTED)
     with pytest.raises(landing_checks.ExtractionRejected, match="agency_scope"):
         ingest(spark, f"{root}/pages", f"{root}/runs", SCOPE, preflight=2, postflight=2, **kw)
-    assert not os.path.exists(f"{root}/runs")
+    assert not [d for d in (os.listdir(f"{root}/runs") if os.path.isdir(f"{root}/runs") else []) if d != "_staging"]
     land(f"{root}/bad", [[sparse(unique_key="2"), sparse(unique_key="1")], [sparse(unique_key="2"), sparse(unique_key="1")]], 2)
     with pytest.raises(landing_checks.ExtractionRejected, match="repeated pages, unstable page order"):
         ingest(spark, f"{root}/bad", f"{root}/runs", SCOPE, preflight=4, postflight=4, **kw)
-    assert not os.path.exists(f"{root}/runs")
+    assert not [d for d in (os.listdir(f"{root}/runs") if os.path.isdir(f"{root}/runs") else []) if d != "_staging"]
 
 
 def test_order_is_checked_across_chunks_and_pages(spark):
@@ -77,6 +78,67 @@ def test_order_is_checked_across_chunks_and_pages(spark):
         assert found == [(1, 3), (2, 0)]
 
 
+def _one_run(spark, raw, root, rows, status="success", writer_paths=None):
+    paths = writer_paths or runs.run_paths(spark, root, SCOPE, STARTED)
+    pages = raw.selectExpr("1L AS page_number", "unique_key").groupBy("page_number").count().withColumnRenamed("count", "returned_rows")
+    runs.write_run(raw, lambda stored: runs.build_manifest(
+        stored, pages, SCOPE, paths, expected=rows, started_at=STARTED, completed_at=STARTED, query_hash="h", source="test",
+        authority_path="a", page_size=5, counted_before=STARTED, counted_after=STARTED, status=status), "plan", paths)
+    return paths
+
+
+def test_a_second_writer_leaves_the_first_run_alone(spark, requests, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    raw = requests([{}, {}, {}])
+    paths = _one_run(spark, raw, root, 3)
+    with pytest.raises(runs.RunExists):
+        _one_run(spark, raw, root, 3, writer_paths=paths)
+    seen = runs.exists
+    monkeypatch.setattr(runs, "exists", lambda s, p: p != paths.folder and seen(s, p))  # both looked before either wrote
+    with pytest.raises(runs.RunExists):
+        _one_run(spark, raw.limit(2), root, 2, writer_paths=paths)
+    monkeypatch.undo()
+    stored, manifest = runs.read_run(spark, root, paths.extraction_date, paths.run_id)
+    assert stored.count() == 3 and manifest["page_size"] == 5 and manifest["raw_file_size"] > 0
+    assert os.listdir(f"{root}/_staging") == []
+
+
+def test_a_lost_row_or_page_stops_the_commit(spark, requests, tmp_path):
+    raw = requests([{}, {}, {}])
+    with pytest.raises(runs.RunUnreadable, match="source's count"):
+        _one_run(spark, raw, str(tmp_path), 4)
+    paths = runs.run_paths(spark, str(tmp_path), SCOPE, STARTED)
+    assert not os.path.exists(paths.folder) and os.listdir(f"{tmp_path}/_staging") == []
+
+
+def test_ten_thousand_and_two_pages_are_continuous(spark):
+    pages = spark.range(1, 10_003).selectExpr("id AS page_number", "(id - 1) * 1 AS offset", "1L AS requested_limit", "0L AS pos")
+    assert landing_checks.page_continuity(pages).where("is_continuous").count() == 10_002
+
+
+SCHEMA_CASES = [
+    ([], [], None, {}), (["descriptor_2"], [], None, {"required_columns": "FAIL", "metadata_columns": "FAIL", "column_order": "FAIL"}),
+    ([], ["extra"], None, {"unexpected_columns": "WARN", "metadata_columns": "FAIL", "column_order": "FAIL"}),
+    ([], [], ["unique_key"], {"metadata_columns": "FAIL", "column_order": "FAIL"}),
+    (["unique_key"], [], None, {"required_columns": "FAIL", "metadata_columns": "FAIL", "column_order": "FAIL", "identifier_representation": "FAIL"}),
+]
+
+
+@pytest.mark.parametrize(("absent", "extra", "selected", "failed"), SCHEMA_CASES)
+def test_schema_checks_see_the_stored_columns(requests, absent, extra, selected, failed):
+    raw = requests([{}, {}]).drop(*absent).selectExpr("*", *[f"'x' AS {c}" for c in extra])
+    found = {r["check_id"].removeprefix("schema."): r["status"] for r in checks.schema_check_table(raw, 2, selected=selected).collect()}
+    assert {k: v for k, v in found.items() if v != "PASS"} == failed
+
+
+def test_a_missing_column_is_a_finding_and_no_crash(requests):
+    raw = requests([{}, {}]).drop("due_date", "latitude", "status")
+    manifest = {"retrieved_row_count": 2, "selected_source_columns": list(RAW_COLUMNS)}
+    found = {r["check_id"]: r for r in checks.validation_checks(typed_requests(raw), SCOPE, manifest).collect()}
+    assert found["schema.required_columns"]["status"] == "FAIL" and found["schema.required_columns"]["affected_rows"] == 3
+    assert found["missingness.due_date"]["affected_rows"] == 2
+
+
 DIRTY = [
     {}, {"due_date": None}, {"closed_date": None}, {"created_date": "bad"}, {"due_date": "2023-12-01"},
     {"closed_date": "2023-12-01"}, {"unique_key": "x"}, {"unique_key": "x"}, {"unique_key": "y"},
@@ -93,7 +155,7 @@ def test_validation_of_a_dirty_run(spark, requests):
     pages = raw.selectExpr("1L AS page_number", "unique_key").groupBy("page_number").count().withColumnRenamed("count", "returned_rows")
     runs.write_run(raw, lambda stored: runs.build_manifest(
         stored, pages, SCOPE, paths, expected=15, started_at=STARTED, completed_at=STARTED, query_hash="h",
-        source="test", authority_path="authority.csv"), "plan", paths)
+        source="test", authority_path="authority.csv", counted_before=STARTED, counted_after=STARTED), "plan", paths)
     result = validate(spark, f"{root}/runs", SCOPE, f"{root}/reports", authority_path="authority.csv")
     assert set(result.tables) == set(VALIDATION_TABLES)
     verdict = result.verdict.first()
