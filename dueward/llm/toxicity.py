@@ -7,7 +7,7 @@ backward passes give each token's marginal; their sum, density and maximum go th
 training rows that the chain has not seen. Tokens with a marginal of one half or more are the offending spans.
 
 Training uses a bounded sample of labelled training rows: at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` clean rows,
-``SAMPLE_WORDS`` words of each, chosen by a hash of the text. Rows whose ``crc32(id as text) mod 5`` is 0 are held out.
+``SAMPLE_WORDS`` words of each, chosen by a hash. Rows whose ``crc32(id as text) mod 5`` is 0 are held out.
 Scoring reads every whole text in one pass of map tasks: no shuffle, memory bounded by lines of one batch.
 
 Null texts count as empty; a text without words gets the score of zero marginals. Null or repeated labels: a null counts
@@ -234,16 +234,17 @@ def held_out(id_column: str) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, int]]:
-    """The bounded sample: the first rows of each class by a hash of the text."""
+    """The bounded sample: the first labels of each class by a hash of the id, and their texts.
+
+    The sampled ids are the only thing that is broadcast; their number is bounded by the sample.
+    """
     known = labels.where("toxic IS NOT NULL").groupBy(id_column).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(id_column))
-    texts = documents_of(docs, id_column, text_column).select(id_column, text_or_empty(text_column).alias("text"))
-    short = F.array_join(F.slice(F.split("text", r"(?<=\s)(?=\S)", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), "")
-    rows = texts.join(known, id_column).select(short.alias("text"), "toxic", F.xxhash64("text").alias("h"))
-    sample = []
-    for label, limit in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        chosen = rows.where(F.col("toxic") == label).orderBy("h", "text").limit(limit).select("text", "toxic")
-        sample += [(r.text, r.toxic) for r in chosen.collect()]
-    return sample
+    chosen = known.withColumn("h", F.xxhash64(id_column))
+    first = chosen.where("toxic = 1").orderBy("h", id_column).limit(SAMPLE_TOXIC).unionByName(
+        chosen.where("toxic = 0").orderBy("h", id_column).limit(SAMPLE_CLEAN))
+    short = F.array_join(F.slice(F.split(text_or_empty(text_column), r"(?<=\s)(?=\S)", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), "")
+    rows = documents_of(docs, id_column, text_column).join(F.broadcast(first.drop("h")), id_column).select(short.alias("text"), "toxic")
+    return sorted(((r.text, r.toxic) for r in rows.collect()), key=lambda r: (r[1], r[0]))
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_name: str = "score", spans_name: str = "spans") -> DataFrame:
