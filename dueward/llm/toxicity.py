@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -111,12 +112,13 @@ def _tagged_forms(docs: list[tuple[list[list[str]], int]]) -> set[str]:
     rate: dict[int, Counter] = {0: Counter(), 1: Counter()}
     support: Counter = Counter()
     words = {0: 1, 1: 1}
+    forms_of = cache(forms)
     for lines, label in docs:
         own: Counter = Counter()
-        for line in lines:
-            for w in line:
-                own.update(forms(w))
-            words[label] += len(line)
+        for w, n in Counter(w for line in lines for w in line).items():
+            for f in forms_of(w):
+                own[f] += n
+            words[label] += n
         for f, n in own.items():
             rate[label][f] += min(n, 3)
             support[f] += label
@@ -133,11 +135,12 @@ def _tagged_forms(docs: list[tuple[list[list[str]], int]]) -> set[str]:
 def _fit_chain(docs: list[tuple[list[list[str]], int]]) -> Model:
     """Gradient ascent (Adam) on the chain's likelihood, with a quadratic penalty."""
     tagged = _tagged_forms(docs)
+    is_tagged = cache(lambda w: any(f in tagged for f in forms(w)))
     lines, labels, budget = [], [], TRAIN_TOKENS
     spare = []
     for doc, label in docs:
         for line in doc:
-            y = [int(label == 1 and any(f in tagged for f in forms(w))) for w in line]
+            y = [int(label == 1 and is_tagged(w)) for w in line]
             (lines if any(y) else spare).append((line, y))
     chosen = []
     for line, y in lines + [spare[k] for k in np.random.default_rng(7).permutation(len(spare))]:
@@ -219,7 +222,8 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     order = sorted(range(count), key=lambda k: docs[k][1])
     chain, rest = [docs[k] for n, k in enumerate(order) if n % 3], [docs[k] for n, k in enumerate(order) if n % 3 == 0]
     model = _fit_chain(chain)
-    x = np.array([_summary(_marginals_of(doc, model.emission, model)) for doc, _ in rest])
+    emission = cache(model.emission)
+    x = np.array([_summary(_marginals_of(doc, emission, model)) for doc, _ in rest])
     model.calibration = _calibrate(x, np.array([label for _, label in rest], dtype=float))
     return model
 
@@ -255,17 +259,17 @@ def score(docs: DataFrame, model: Model, text_column: str = "text", score_name:
     span_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("marginal", pa.float64())]))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, float] = {}
+        held: dict[str, float] = {}
 
         def emissions(words: list[str]) -> list[float]:
-            found = list(map(cache.get, words))
+            found = list(map(held.get, words))
             if None in found:
-                if len(cache) > CACHE:
-                    cache.clear()
+                if len(held) > CACHE:
+                    held.clear()
                 for k, x in enumerate(found):
                     if x is None:
                         w = words[k]
-                        found[k] = cache[w] = model.emission(w)
+                        found[k] = held[w] = model.emission(w)
             return found
 
         def done(texts: list[str]) -> tuple[list, list]:
