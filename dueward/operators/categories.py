@@ -57,16 +57,13 @@ def category_profile(df: DataFrame, rules: ValidationRules = ValidationRules())
 
 
 def variants_of(counts: DataFrame) -> DataFrame:
-    """Groups of two or more raw spellings behind one comparison form, in one grouping of the counts.
-
-    The gathered spellings are distinct and appear in the result as they are.
-    """
-    value = F.col("value")
-    forms = counts.where(value.isNotNull()).groupBy("column_name", comparison_form(value).alias("form")).agg(
-        F.count(F.lit(1)).alias("raw_variant_count"), total("row_count").alias("row_count"),
-        (F.min(strip(value)) == F.max(strip(value))).alias("one_stripped"),
-        (F.min(collapse(value)) == F.max(collapse(value))).alias("one_collapsed"),
-        F.collect_list("value").alias("spellings"),
+    """Spellings that share their comparison form with another one, one row per spelling."""
+    value, form = F.col("value"), Window.partitionBy("column_name", "form")
+    forms = counts.where(value.isNotNull()).withColumn("form", comparison_form(value)).select(
+        "column_name", "form", "value", F.col("row_count").alias("variant_rows"),
+        F.count(F.lit(1)).over(form).alias("raw_variant_count"), F.sum("row_count").over(form).alias("row_count"),
+        (F.min(strip(value)).over(form) == F.max(strip(value)).over(form)).alias("one_stripped"),
+        (F.min(collapse(value)).over(form) == F.max(collapse(value)).over(form)).alias("one_collapsed"),
     ).where("raw_variant_count > 1")
     kind = (
         F.when(F.col("one_stripped"), "whitespace").when(F.col("one_collapsed"), "repeated_whitespace")
@@ -74,10 +71,18 @@ def variants_of(counts: DataFrame) -> DataFrame:
     )
     return forms.select(
         "column_name", F.col("form").alias("normalised_comparison_value"), "raw_variant_count",
-        F.array_join(F.array_sort("spellings"), " | ").alias("raw_variants"), "row_count",
+        F.col("value").alias("raw_variant"), "variant_rows", "row_count",
         kind.alias("variant_type"))
 
 
+def variant_totals(counts: DataFrame) -> DataFrame:
+    """Number of forms with several spellings, and the rows behind them, as one row."""
+    value = F.col("value")
+    forms = counts.where(value.isNotNull()).groupBy("column_name", comparison_form(value).alias("form")).agg(
+        F.count(F.lit(1)).alias("spellings"), total("row_count").alias("row_count")).where("spellings > 1")
+    return forms.agg(F.count(F.lit(1)).alias("groups"), total("row_count").alias("variant_rows"))
+
+
 def category_variants(df: DataFrame, columns: Sequence[str] = PROFILE_CATEGORY_COLUMNS) -> DataFrame:
     return variants_of(value_counts(df, columns))
 

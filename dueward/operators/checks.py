@@ -14,7 +14,7 @@ from dueward.functions.numbers import holds, ratio, total
 from dueward.functions.shape import rows_from
 from dueward.functions.text import comparison_form
 from dueward.operators import geography
-from dueward.operators.categories import value_counts, variants_of
+from dueward.operators.categories import value_counts, variant_totals
 from dueward.operators.keyed import KEY, differs, text_hash
 from dueward.operators.profile import (
     CHRONOLOGY_RULES, chronology_conditions, missing_counters, missing_policy, scope_counters,
@@ -252,8 +252,7 @@ def _value_checks(typed: DataFrame, rules: ValidationRules) -> DataFrame:
         total(F.when(is_status, F.col("row_count"))).alias("all_rows"),
         total(F.when(unexpected, F.col("row_count"))).alias("status_rows"),
     ).withColumn("_one", F.lit(1))
-    variants = variants_of(counts).agg(
-        F.count(F.lit(1)).alias("groups"), total("row_count").alias("variant_rows")).withColumn("_one", F.lit(1))
+    variants = variant_totals(counts).withColumn("_one", F.lit(1))
     one = statuses.join(F.broadcast(variants), "_one")
     rows = F.col("all_rows")
     return check_rows(one, [

@@ -11,7 +11,7 @@ from dueward.config import MATERIAL_COLUMNS, OVERVIEW_CONFLICT_COLUMNS
 from dueward.functions.numbers import percentage, total
 from dueward.functions.shape import rows_from
 from dueward.operators.keyed import (
-    KEY, attach_key_facts, differs, present_hash, repeated_keys, text_hash,
+    KEY, differs, present_hash, repeated_keys, row_signature, text_hash,
 )
 from dueward.schemas import RAW_COLUMNS, ROW_ID
 
@@ -34,12 +34,18 @@ def material_facts(raw: DataFrame, columns: Sequence[str] = MATERIAL_COLUMNS, *,
 
 def full_row_duplicates(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Rows in groups equal in every column (NULLs equal), and the groups."""
-    groups = raw.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = _whole_rows(raw, columns).where("n > 1")
     return groups.agg(
         F.count(F.lit(1)).alias("duplicate_groups"), total("n").alias("duplicate_rows"),
         total(F.col("n") - 1).alias("excess_rows"))
 
 
+def _whole_rows(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows per distinct row. Two 64-bit hashes stand for the row, so no text is shuffled."""
+    first, second = row_signature((), columns)
+    return raw.select(first.alias("h1"), second.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicate_metrics(raw: DataFrame) -> DataFrame:
     """Key-level duplicate counts as one row, from a single grouping by key."""
     hashes = [text_hash(c).alias(c) for c in MATERIAL_COLUMNS]
@@ -68,21 +74,20 @@ def duplicate_summary(raw: DataFrame) -> DataFrame:
 
 
 def exact_duplicates(raw: DataFrame) -> DataFrame:
-    """Members of groups without a conflict; exactly one per group is canonical."""
+    """Members of groups without a conflict; exactly one per group is canonical.
+
+    The inner join meets repeated keys only, so a runtime filter can drop all other rows before they are shuffled.
+    """
     facts = material_facts(raw, canonical=True).where("conflicting_fields = ''")
-    rows = attach_key_facts(raw.select(KEY, ROW_ID), facts).where(F.col("key_facts").isNotNull())
-    return rows.select(
-        KEY, F.col("key_facts.group_rows").alias("duplicate_group_size"),
-        (F.col(ROW_ID) == F.col("key_facts.canonical_id")).alias("canonical_row"), ROW_ID)
+    return raw.select(KEY, ROW_ID).join(facts, KEY).select(
+        KEY, F.col("group_rows").alias("duplicate_group_size"), (F.col(ROW_ID) == F.col("canonical_id")).alias("canonical_row"), ROW_ID)
 
 
 def conflicting_duplicates(raw: DataFrame) -> DataFrame:
     """Members of conflicting groups with their raw values and the fields in conflict."""
     facts = material_facts(raw).where("conflicting_fields <> ''")
-    rows = attach_key_facts(raw.select(KEY, ROW_ID, *MATERIAL_COLUMNS), facts).where(F.col("key_facts").isNotNull())
-    return rows.select(
-        KEY, F.col("key_facts.group_rows").alias("duplicate_group_size"),
-        F.col("key_facts.conflicting_fields").alias("conflicting_fields"), ROW_ID, *MATERIAL_COLUMNS)
+    return raw.select(KEY, ROW_ID, *MATERIAL_COLUMNS).join(facts, KEY).select(
+        KEY, F.col("group_rows").alias("duplicate_group_size"), "conflicting_fields", ROW_ID, *MATERIAL_COLUMNS)
 
 
 # ---- the source audit's view ------------------------------------------------
@@ -127,7 +132,7 @@ def audit_duplicates(raw: DataFrame) -> DataFrame:
          else percentage(F.col(c), F.col("all_rows"))}
         for c in by_key.columns if c != "all_rows"
     ])
-    groups = raw.groupBy(*RAW_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
+    groups = _whole_rows(raw, RAW_COLUMNS)
     by_row = groups.agg(
         total("n").alias("all_rows"),
         total(F.when(F.col("n") > 1, F.col("n"))).alias("exact_duplicate_rows"),

@@ -41,8 +41,8 @@ KEY_FLAGS = ("is_exact_duplicate", "is_conflicting_duplicate")
 
 def status_policy(allowed: Iterable[str] | None = None, excluded: Iterable[str] | None = None):
     """Normalised allowed and excluded statuses, which must not overlap."""
-    allow = {s.strip().lower() for s in (allowed or ALLOWED_STATUSES)}
-    deny = {s.strip().lower() for s in (excluded or EXCLUDED_STATUSES)}
+    allow = {s.strip().lower() for s in (ALLOWED_STATUSES if allowed is None else allowed)}
+    deny = {s.strip().lower() for s in (EXCLUDED_STATUSES if excluded is None else excluded)}
     if allow & deny:
         raise ValueError("Statuses cannot be both allowed and excluded.")
     return sorted(allow), sorted(deny)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dueward.config import (
@@ -211,24 +211,23 @@ def status_category(status: Column) -> Column:
 
 
 def status_categories(df: DataFrame) -> DataFrame:
-    """Observed statuses by category; values no list names stay visible as unclassified."""
+    """Observed statuses by category, one row each; values no list names stay visible as unclassified."""
     observed = df.where(F.col("status").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    return observed.groupBy(status_category(F.col("status")).alias("status_category")).agg(
-        F.count(F.lit(1)).alias("status_values"), total("n").alias("record_count"),
-        F.array_join(F.array_sort(F.collect_list("status")), ", ").alias("observed_values"))
+    of_category = Window.partitionBy("status_category")
+    return observed.withColumn("status_category", status_category(F.col("status"))).select(
+        "status_category", F.count(F.lit(1)).over(of_category).alias("status_values"),
+        F.sum("n").over(of_category).alias("record_count"), F.col("status").alias("observed_value"), F.col("n").alias("value_count"))
 
 
 # ---- categorical audit ------------------------------------------------------
 
 def case_collisions_of(counts: DataFrame) -> DataFrame:
-    """Lower-cased values with more than one raw spelling."""
-    forms = counts.where(F.col("value").isNotNull()).groupBy(
-        "column_name", F.lower("value").alias("normalized_value")
-    ).agg(F.count(F.lit(1)).alias("raw_variant_count"), total("row_count").alias("affected_count"),
-          F.collect_list("value").alias("spellings")).where("raw_variant_count > 1")
-    return forms.select(
-        "column_name", "normalized_value", "raw_variant_count",
-        F.array_join(F.array_sort("spellings"), " | ").alias("raw_variants"), "affected_count")
+    """Lower-cased values with more than one raw spelling, one row per spelling."""
+    form = Window.partitionBy("column_name", "normalized_value")
+    return counts.where(F.col("value").isNotNull()).withColumn("normalized_value", F.lower("value")).select(
+        "column_name", "normalized_value", F.count(F.lit(1)).over(form).alias("raw_variant_count"),
+        F.col("value").alias("raw_variant"), F.col("row_count").alias("variant_rows"),
+        F.sum("row_count").over(form).alias("affected_count")).where("raw_variant_count > 1")
 
 
 def case_collisions(df: DataFrame, columns: Sequence[str] = QUALITY_CATEGORY_COLUMNS) -> DataFrame:
@@ -261,12 +260,12 @@ def categorical_checks(df: DataFrame, columns: Sequence[str] = QUALITY_CATEGORY_
 
 
 def agency_name_mapping(df: DataFrame) -> DataFrame:
-    """Agency codes that carry more than one name."""
+    """Agency codes that carry more than one name, one row per name."""
     pairs = df.where(F.col("agency").isNotNull()).groupBy("agency", "agency_name").agg(F.count(F.lit(1)).alias("n"))
-    return pairs.groupBy("agency").agg(
-        F.count("agency_name").alias("agency_name_variant_count"),
-        F.array_join(F.array_sort(F.collect_list("agency_name")), " | ").alias("agency_names"),
-        total("n").alias("affected_count")).where("agency_name_variant_count > 1")
+    code = Window.partitionBy("agency")
+    return pairs.select(
+        "agency", F.count("agency_name").over(code).alias("agency_name_variant_count"), "agency_name",
+        F.col("n").alias("name_rows"), F.sum("n").over(code).alias("affected_count")).where("agency_name_variant_count > 1")
 
 
 # ---- issue register and readiness -------------------------------------------
@@ -336,7 +335,7 @@ def issue_register(typed: DataFrame, analysed_at: datetime, columns: Sequence[st
     categories = categorical_checks(typed).select(
         F.lit("review_required").alias("severity"), F.lit("categorical_quality").alias("category"),
         "check_name", "column_name", "affected_count", "affected_percentage")
-    mapped = agency_name_mapping(typed).agg(total("affected_count").alias("n")).select(
+    mapped = agency_name_mapping(typed).agg(total("name_rows").alias("n")).select(
         F.lit("review_required").alias("severity"), F.lit("categorical_quality").alias("category"),
         F.lit("agency_name_mapping").alias("check_name"), F.lit("agency_name").alias("column_name"),
         F.col("n").alias("affected_count"), F.lit(None).cast("double").alias("affected_percentage"))

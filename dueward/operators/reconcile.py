@@ -68,11 +68,13 @@ def enforce_reconciled(reconciled: DataFrame) -> None:
 
 
 def scope_outputs_check(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Two one-row scope summaries compared field by field."""
+    """Two one-row scope summaries compared field by field; any other number of rows is an error."""
     needed = IDENTIFIERS + COUNTS + RATES
     tables = []
     for df, tag in ((first, "a"), (second, "b")):
         require_columns(df.columns, needed, "Scope summary")
+        if len(df.select(needed[0]).limit(2).collect()) != 1:
+            raise ScopeMismatch("A scope summary must have exactly one row.")
         tables.append(df.select(*[F.col(c).cast("string").alias(f"{tag}_{c}") for c in needed]).withColumn("_one", F.lit(1)))
     both = tables[0].join(tables[1], "_one")
 

@@ -17,8 +17,7 @@ from dueward.operators.silver import typed_requests
 from dueward.schemas import RAW_COLUMNS, ROW_ID
 from dueward.session import use_utc
 from dueward.sources import runs
-from dueward.sources.landing import as_landed
-from dueward.sources.sample_tables import service_requests
+from oracle.sample_tables import as_landed, service_requests
 from oracle import settings as S
 
 
@@ -52,7 +51,7 @@ def _plan(kind: str, spark: SparkSession, folder: str, make: Callable[[], DataFr
 
 
 def raw(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan("raw", spark, folder, lambda: service_requests(spark, folder))
+    return _plan("raw", spark, folder, lambda: service_requests(spark, folder, S.SCAN_PARTITIONS))
 
 
 def typed(spark: SparkSession, folder: str) -> DataFrame:
@@ -256,9 +255,8 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "geo_quality": lambda s, d: quality.geo_quality(counters(s, d)),
     "status_categories": lambda s, d: quality.status_categories(raw(s, d)),
     "categorical_checks": lambda s, d: quality.categorical_checks(raw(s, d)),
-    "case_collisions": lambda s, d: quality.case_collisions(raw(s, d).withColumn("status", F.trim("status"))),
-    "agency_name_mapping": lambda s, d: quality.agency_name_mapping(
-        raw(s, d).withColumn("agency_name", F.concat_ws(" ", "agency_name", "status"))),
+    "case_collisions": lambda s, d: quality.case_collisions(raw(s, d)),
+    "agency_name_mapping": lambda s, d: quality.agency_name_mapping(raw(s, d)),
     "duplicate_groups": lambda s, d: duplicates.duplicate_groups(raw(s, d)),
     "conflicting_keys": lambda s, d: duplicates.conflicting_keys(raw(s, d)),
     "duplicate_summary_full": lambda s, d: duplicates.audit_duplicates(raw(s, d)),

@@ -6,7 +6,7 @@ engine that reads the same files produces the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dueward.schemas import RAW_COLUMNS, ROW_ID
@@ -35,9 +35,11 @@ def _iso(day):
     return F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit("T00:00:00.000"))
 
 
-def service_requests(spark: SparkSession, folder: str) -> DataFrame:
+def service_requests(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
     """The 18 raw text columns, a stable row identity and the order key.
 
+    The sample files have one row group each, so one task reads them; ``partitions`` deals their rows out for the bench.
+
     Join strategies are left to the optimizer: the fixed five- and 25-row tables
     and whatever fits its size check are broadcast, the rest is sort-merged.
     """
@@ -46,6 +48,7 @@ def service_requests(spark: SparkSession, folder: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
         F.col("l_quantity").cast("int").alias("days"), "l_returnflag", "l_linestatus",
     )
+    line = line.repartition(partitions) if partitions else line
     order = _table(spark, folder, "orders").select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
         F.col("o_orderdate").cast("date").alias("day"),
@@ -86,13 +89,15 @@ def service_requests(spark: SparkSession, folder: str) -> DataFrame:
         "closed_date": F.when((status == "Open") | (part_key % 61 == 0), nothing).otherwise(_iso(closed_day)),
         "due_date": F.when(F.col("l_suppkey") % 10 == 0, nothing).otherwise(_iso(due_day)),
         "agency": F.col("r_name"),
-        "agency_name": F.concat(F.lit("Department of "), F.col("r_name")),
+        # Some rows of one agency, outside every tested scope, carry its former name.
+        "agency_name": F.concat(F.lit("Department of "), F.col("r_name"), F.when(
+            (F.col("r_name") == "MIDDLE EAST") & (part_key % 173 == 0), " (former)").otherwise("")),
         "complaint_type": F.col("p_type"),
         "descriptor": F.col("p_brand"),
         "descriptor_2": nothing,
         "status": status,
         "borough": F.when(cust_key % 37 == 0, "Unspecified").when(cust_key % 41 == 0, nothing)
-                    .otherwise(F.col("c_mktsegment")),
+                    .when(cust_key % 43 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")),
         "incident_zip": F.when(cust_key % 53 == 0, "12345.0").when(cust_key % 59 == 0, "123")
                          .when(cust_key % 67 == 0, nothing).otherwise(F.lpad(cust_key.cast("string"), 5, "0")),
         "latitude": F.when(cust_key % 83 == 0, "bad").when(cust_key % 89 == 0, "95.0")
@@ -110,3 +115,25 @@ def service_requests(spark: SparkSession, folder: str) -> DataFrame:
         row_id.alias(ROW_ID),
         F.col("l_orderkey").alias("order_key"),
     )
+
+
+def as_landed(requests: DataFrame, *, orders_per_page: int = 500, limit: int = 2000) -> DataFrame:
+    """Lay the sample requests out as landed pages, with known faults.
+
+    A page covers a fixed number of orders, so its size does not grow with the
+    data. Every fifth page is out of order and page 3 arrives a second time.
+    """
+    text = F.col("created_date")
+    disordered = F.col("page_number") % 5 == 0
+    in_page = Window.partitionBy("page_number").orderBy(
+        F.when(~disordered, F.coalesce(text, F.lit(""))), F.when(~disordered, F.col("unique_key")), ROW_ID)
+    placed = requests.withColumn(
+        "page_number", F.floor(F.col("order_key") / orders_per_page).cast("bigint") + 1
+    ).withColumn("pos", (F.row_number().over(in_page) - 1).cast("bigint"))
+    copies = placed.withColumn("page_number", F.explode(
+        F.when(F.col("page_number") == 3, F.array(F.col("page_number"), F.lit(1_000_003).cast("bigint")))
+        .otherwise(F.array("page_number"))))
+    return copies.select(
+        "page_number", ((F.col("page_number") - 1) * limit).alias("offset"),
+        F.lit(limit).cast("bigint").alias("requested_limit"), "pos",
+        F.to_json(F.struct(*RAW_COLUMNS)).alias("record"), *RAW_COLUMNS, ROW_ID)

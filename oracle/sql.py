@@ -112,9 +112,9 @@ CTES["requests"] = f"""
     CASE WHEN l_suppkey % 10 = 0 THEN NULL
       ELSE strftime(o_orderdate::DATE + (10 + l_suppkey % 15)::INT - CASE WHEN l_partkey % 157 = 0 THEN 60 ELSE 0 END, '%Y-%m-%d')
         || 'T00:00:00.000' END AS due_date,
-    r_name AS agency, 'Department of ' || r_name AS agency_name, p_type AS complaint_type, p_brand AS descriptor,
+    r_name AS agency, 'Department of ' || r_name || CASE WHEN r_name = 'MIDDLE EAST' AND l_partkey % 173 = 0 THEN ' (former)' ELSE '' END AS agency_name, p_type AS complaint_type, p_brand AS descriptor,
     NULL::VARCHAR AS descriptor_2, {_STATUS} AS status,
-    CASE WHEN c_custkey % 37 = 0 THEN 'Unspecified' WHEN c_custkey % 41 = 0 THEN NULL ELSE c_mktsegment END AS borough,
+    CASE WHEN c_custkey % 37 = 0 THEN 'Unspecified' WHEN c_custkey % 41 = 0 THEN NULL WHEN c_custkey % 43 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END AS borough,
     CASE WHEN c_custkey % 53 = 0 THEN '12345.0' WHEN c_custkey % 59 = 0 THEN '123' WHEN c_custkey % 67 = 0 THEN NULL
       ELSE lpad(c_custkey::VARCHAR, 5, '0') END AS incident_zip,
     CASE WHEN c_custkey % 83 = 0 THEN 'bad' WHEN c_custkey % 89 = 0 THEN '95.0' WHEN c_custkey % 71 = 0 THEN NULL
@@ -195,8 +195,7 @@ CTES["audit_counts"] = union(
     for c in QUALITY_CATEGORY_COLUMNS)
 CTES["variants"] = """
   SELECT column_name, lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) AS normalised_comparison_value,
-    count(*) AS raw_variant_count, string_agg(value, ' | ' ORDER BY value) AS raw_variants,
-    sum(row_count)::BIGINT AS row_count,
+    count(*) AS raw_variant_count, sum(row_count)::BIGINT AS row_count,
     CASE WHEN count(DISTINCT trim(value)) = 1 THEN 'whitespace'
       WHEN count(DISTINCT regexp_replace(trim(value), '\\s+', ' ', 'g')) = 1 THEN 'repeated_whitespace' ELSE 'case' END AS variant_type
   FROM profile_counts WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) > 1"""
@@ -304,8 +303,8 @@ CTES["agencies"] = f"""
   FROM (SELECT agency, agency_name, {_RESUM}, min(first_created_date) AS first_created_date,
       max(last_created_date) AS last_created_date, count(DISTINCT created_month)::BIGINT AS active_months,
       count(DISTINCT complaint_type)::BIGINT AS complaint_type_count FROM gold GROUP BY 1, 2)
-  JOIN (SELECT agency, (count(*) - count(DISTINCT unique_key) - max((unique_key IS NULL)::INT))::BIGINT AS duplicate_unique_key_count
-    FROM typed GROUP BY 1) USING (agency)"""
+  JOIN (SELECT agency, agency_name, (count(*) - count(DISTINCT unique_key) - max((unique_key IS NULL)::INT))::BIGINT AS duplicate_unique_key_count
+    FROM typed GROUP BY 1, 2) USING (agency, agency_name)"""
 CTES["types"] = f"""
   SELECT *, {rates()}, invalid_due_sequence_count + invalid_closed_sequence_count AS invalid_timestamp_count
   FROM (SELECT agency, agency_name, complaint_type, {_RESUM}, min(first_created_date) AS first_created_date,
@@ -911,16 +910,15 @@ def _queries() -> dict[str, str]:
     q["status_categories"] = """SELECT CASE WHEN status = 'Closed' THEN 'closed'
         WHEN status IN ('Assigned', 'In Progress', 'Open', 'Pending', 'Started') THEN 'open_or_active'
         WHEN status IN ('Cancel', 'Cancelled', 'Unspecified') THEN 'excluded_or_special' ELSE 'unclassified' END AS status_category,
-      count(*)::BIGINT AS status_values, sum(n)::BIGINT AS record_count, string_agg(status, ', ' ORDER BY status) AS observed_values
-      FROM (SELECT status, count(*) AS n FROM requests WHERE status IS NOT NULL GROUP BY 1) GROUP BY 1"""
+      count(*) OVER c AS status_values, (sum(n) OVER c)::BIGINT AS record_count, status AS observed_value, n AS value_count
+      FROM (SELECT status, count(*) AS n FROM requests WHERE status IS NOT NULL GROUP BY 1) WINDOW c AS (PARTITION BY status_category)"""
     q["categorical_checks"] = f"SELECT column_name, check_name, 'computed' AS status, affected_count, {pct_null('affected_count', _ROWS)} AS affected_percentage FROM audit_checks"
-    q["case_collisions"] = """SELECT column_name, lower(value) AS normalized_value, count(*)::BIGINT AS raw_variant_count,
-      string_agg(value, ' | ' ORDER BY value) AS raw_variants, sum(n)::BIGINT AS affected_count
-      FROM (SELECT column_name, CASE WHEN column_name = 'status' THEN trim(value) ELSE value END AS value, sum(row_count) AS n
-        FROM audit_counts WHERE value IS NOT NULL GROUP BY 1, 2) GROUP BY 1, 2 HAVING count(*) > 1"""
-    q["agency_name_mapping"] = """SELECT agency, count(*)::BIGINT AS agency_name_variant_count,
-      string_agg(name, ' | ' ORDER BY name) AS agency_names, sum(n)::BIGINT AS affected_count
-      FROM (SELECT agency, agency_name || ' ' || status AS name, count(*) AS n FROM requests GROUP BY 1, 2) GROUP BY 1 HAVING count(*) > 1"""
+    q["case_collisions"] = """SELECT column_name, lower(value) AS normalized_value, count(*) OVER f AS raw_variant_count, value AS raw_variant,
+      row_count::BIGINT AS variant_rows, (sum(row_count) OVER f)::BIGINT AS affected_count
+      FROM audit_counts WHERE value IS NOT NULL WINDOW f AS (PARTITION BY column_name, lower(value)) QUALIFY raw_variant_count > 1"""
+    q["agency_name_mapping"] = """SELECT agency, count(*) OVER a AS agency_name_variant_count, agency_name, n AS name_rows,
+      (sum(n) OVER a)::BIGINT AS affected_count
+      FROM (SELECT agency, agency_name, count(*) AS n FROM requests GROUP BY 1, 2) WINDOW a AS (PARTITION BY agency) QUALIFY agency_name_variant_count > 1"""
     q["duplicate_groups"] = "SELECT unique_key, count(*)::BIGINT AS record_count FROM requests WHERE unique_key IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
     fields = ", ".join(f"CASE WHEN count(DISTINCT {c}) > 1 THEN '{c}' END" for c in OVERVIEW_CONFLICT_COLUMNS)
     q["conflicting_keys"] = f"""SELECT unique_key AS duplicate_unique_key, record_count, len(fields)::BIGINT AS conflicting_field_count,
@@ -949,6 +947,8 @@ def _queries() -> dict[str, str]:
       CASE WHEN contains(check_name, 'unique_key') THEN 'unique_key' ELSE '' END, affected_count, has_share FROM audit_duplicates
       WHERE check_name IN ('null_unique_key', 'duplicated_unique_key_groups', 'excess_duplicate_id_rows', 'conflicting_duplicate_ids', 'exact_duplicate_rows')""")
     issues.append("SELECT 7, 'review_required', 'categorical_quality', check_name, column_name, affected_count, TRUE FROM audit_checks")
+    issues.append("""SELECT 7, 'review_required', 'categorical_quality', 'agency_name_mapping', 'agency_name', coalesce(sum(n), 0)::BIGINT, FALSE
+      FROM (SELECT count(*) AS n FROM requests WHERE agency IS NOT NULL GROUP BY agency HAVING count(DISTINCT agency_name) > 1)""")
     q["issue_register"] = f"""SELECT 'DQ-' || lpad(row_number() OVER (ORDER BY place, check_name, column_name)::VARCHAR, 4, '0') AS issue_id,
       severity, category, check_name, column_name, affected_count,
       CASE WHEN has_share THEN {pct_null('affected_count', _ROWS)} END AS affected_percentage
@@ -1062,7 +1062,9 @@ def _queries() -> dict[str, str]:
       row_count <= 10 AS is_rare_category, column_distinct_count::BIGINT AS column_distinct_count,
       column_distinct_count > 1000 AS is_high_cardinality
       FROM (SELECT *, count(value) OVER (PARTITION BY column_name) AS column_distinct_count FROM profile_counts)"""
-    q["category_variants"] = "SELECT column_name, normalised_comparison_value, raw_variant_count::BIGINT AS raw_variant_count, raw_variants, row_count, variant_type FROM variants"
+    q["category_variants"] = f"""SELECT v.column_name, v.normalised_comparison_value, v.raw_variant_count::BIGINT AS raw_variant_count, p.value AS raw_variant,
+      p.row_count::BIGINT AS variant_rows, v.row_count, v.variant_type FROM variants v JOIN profile_counts p ON v.column_name = p.column_name
+      AND v.normalised_comparison_value = lower(regexp_replace(trim(p.value), '\\s+', ' ', 'g'))"""
     policy = ("CASE WHEN lower(trim(status)) = 'closed' THEN 'ALLOWED' WHEN lower(trim(status)) IN "
               "('assigned', 'cancelled', 'duplicate', 'open', 'pending', 'started') THEN 'EXCLUDED' ELSE 'UNEXPECTED' END")
     q["status_validation"] = f"""SELECT coalesce(status, '<NULL>') AS status_raw, coalesce(lower(trim(status)), '<MISSING>') AS status_comparison_normalised,
@@ -1286,7 +1288,7 @@ def _queries() -> dict[str, str]:
         observed("duplicate_unique-key_rows", "(count(*) - count(DISTINCT unique_key) - max((unique_key IS NULL)::INT))"),
         observed("missing_due_dates", count_if("due_date IS NULL")), observed("missing_closed_dates", count_if("closed_date IS NULL")),
         observed("invalid_timestamp_chronology_rows", count_if("due_ts < created_ts OR closed_ts < created_ts")),
-        "SELECT 'status_values_observed', 'PASS', string_agg(status, '|' ORDER BY status) FROM (SELECT DISTINCT status FROM requests WHERE status IS NOT NULL)"])
+        "SELECT DISTINCT 'status_values_observed', 'PASS', status FROM requests WHERE status IS NOT NULL"])
     q["key_integrity"] = f"SELECT count(*)::BIGINT AS row_count, {count_if('unique_key IS NULL')} AS null_keys, (count(unique_key) - count(DISTINCT unique_key))::BIGINT AS repeated_rows FROM requests"
     q["manifest_check"] = union(f"SELECT run_id, '{x}' AS rule, {x} AS passed FROM manifests" for x in MANIFEST_RULES)
     q["latest_run"] = f"SELECT run_id, retrieved_row_count::BIGINT AS retrieved_row_count, 'x' AS selected_agency, '2001-07-20T00:00:00+00:00' AS extraction_completion_utc FROM manifests WHERE {' AND '.join(MANIFEST_RULES)} ORDER BY run_id DESC LIMIT 1"

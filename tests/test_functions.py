@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dueward.config import Period
 from dueward.functions import numbers, text, time
+from dueward.operators import categories, eligibility, reconcile
 
 
 def one(spark, column, **values):
@@ -56,3 +57,26 @@ def test_complete_years():
     assert Period.of("2024-01-01", "2025-12-31").complete_years == 2
     assert Period.of("2024-01-02", "2025-12-30").complete_years == 0
     assert Period.of("2024-01-15", "2024-03-01").months == 3
+
+
+def test_two_summaries_need_one_row_each(spark):
+    columns = reconcile.IDENTIFIERS + reconcile.COUNTS + reconcile.RATES
+    one = spark.range(1).select(*[F.lit("2024-01-01" if c in ("selected_start_date", "selected_end_date") else "1").alias(c) for c in columns])
+    found = reconcile.scope_outputs_check(one, one).collect()
+    assert len(found) == len(columns) and all(r["agrees"] for r in found)
+    with pytest.raises(reconcile.ScopeMismatch):
+        reconcile.scope_outputs_check(one, one.unionByName(one))
+    with pytest.raises(reconcile.ScopeMismatch):
+        reconcile.scope_outputs_check(one.limit(0), one)
+
+
+def test_an_empty_status_set_is_not_the_default():
+    assert eligibility.status_policy(set(), {"open"}) == ([], ["open"])
+
+
+def test_an_odd_lot_of_spellings_is_listed_row_by_row(spark):
+    counts = spark.createDataFrame([("s", "Open", 3), ("s", "OPEN", 1), ("s", " Open", 2), ("s", "Shut", 9), ("s", None, 4)],
+                                   "column_name string, value string, row_count long")
+    found = sorted((r["raw_variant"], r["variant_rows"], r["row_count"], r["raw_variant_count"]) for r in categories.variants_of(counts).collect())
+    assert found == [(" Open", 2, 6, 3), ("OPEN", 1, 6, 3), ("Open", 3, 6, 3)]
+    assert tuple(categories.variant_totals(counts).first()) == (1, 6)

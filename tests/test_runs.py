@@ -171,7 +171,7 @@ def test_validation_of_a_dirty_run(spark, requests):
     assert checks["geography.coordinate_pair.outside_nyc_bounding_box"]["affected_rows"] == 1
     assert checks["geography.incident_zip.decimal_like"]["affected_rows"] == 1
     variants = result.tables["category_variants"].collect()
-    assert [(r["column_name"], r["variant_type"]) for r in variants] == [("status", "case")]
+    assert [(r["column_name"], r["variant_type"]) for r in variants] == [("status", "case")] * 2
     assert os.path.isdir(f"{root}/reports/csv/validation_checks")
 
 
