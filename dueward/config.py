@@ -96,7 +96,7 @@ class Scope:
     def of(cls, agency: str, complaint_type: str | None, start, end, extracted_at,
            decision_status: str = "APPROVED") -> "Scope":
         if not str(agency).strip() or (complaint_type is not None and not str(complaint_type).strip()):
-            raise ValueError("Selected agency and complaint type must be present.")
+            raise ValueError("A scope needs an agency, and a complaint type that is not blank.")
         first, last = _day(start), _day(end)
         if first > last:
             raise ValueError("The scope start must not be after its end.")
@@ -135,6 +135,7 @@ class Period:
         return max(last - first + 1, 0)
 
 
+# Default thresholds of the temporal decision.
 @dataclass(frozen=True)
 class StabilityLimits:
     """Gates and volatility limits for a candidate date range."""
@@ -159,6 +160,7 @@ class StabilityLimits:
     better_candidate_minimum_eligible_fraction: float = 0.50
 
 
+# Default thresholds of the scope decision.
 @dataclass(frozen=True)
 class ScopeLimits:
     """Gates of the agency, complaint-type and candidate stages."""

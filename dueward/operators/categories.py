@@ -110,6 +110,7 @@ def status_validation(typed: DataFrame) -> DataFrame:
         "chronology_violation_count",
         F.when(allowed, "ALLOWED").when(excluded, "EXCLUDED").otherwise("UNEXPECTED").alias("step_4_policy"),
         (allowed | excluded).alias("is_expected"),
+        # Action texts.
         F.when(allowed, "Preserve; apply governed status normalization only in Step 7.")
         .when(excluded, "Preserve row and keep target-ineligible under Step 4 policy.")
         .otherwise("Obtain governance decision before mapping or target construction.")

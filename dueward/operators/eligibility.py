@@ -44,7 +44,7 @@ def status_policy(allowed: Iterable[str] | None = None, excluded: Iterable[str]
     allow = {s.strip().lower() for s in (ALLOWED_STATUSES if allowed is None else allowed)}
     deny = {s.strip().lower() for s in (EXCLUDED_STATUSES if excluded is None else excluded)}
     if allow & deny:
-        raise ValueError("Statuses cannot be both allowed and excluded.")
+        raise ValueError(f"Allowed and excluded statuses overlap: {sorted(allow & deny)}")
     return sorted(allow), sorted(deny)
 
 
@@ -65,7 +65,7 @@ def row_flags(typed: DataFrame, scope: Scope, *, allowed=None, excluded=None, on
     """
     require_columns(typed.columns, NEEDED, "Target eligibility")
     if scope.start >= scope.end:
-        raise ValueError("start_date must be before end_date.")
+        raise ValueError("The scope holds no day: its start is not before its end.")
     if scope.complaint_type is None:
         raise ValueError("Governed eligibility needs one complaint type.")
     allow, deny = status_policy(allowed, excluded)
@@ -297,6 +297,7 @@ def status_analysis(cube: DataFrame) -> DataFrame:
         _count(F.col("target_eligible")).alias("target_eligible_count"),
     )
     status = F.coalesce("status_normalized", F.lit("<MISSING>"))
+    # Treatment texts.
     treatment = (
         F.when(status.isin(list(ALLOWED_STATUSES)), "include when all other rules pass")
         .when(status.isin(list(EXCLUDED_STATUSES)), "exclude")

@@ -146,6 +146,7 @@ def feasibility_decision(typed: DataFrame, agency: str) -> DataFrame:
         F.count(closed).alias("closed_date_non_null_count"),
         F.count_if(created.isNotNull() & closed.isNotNull() & due.isNotNull()).alias("eligible_record_count"))
     n, eligible = F.col("total_record_count"), F.col("eligible_record_count")
+    # Blocker texts.
     blocker = (
         F.when(F.col("due_date_non_null_count") == 0, "No usable due_date values")
         .when(F.col("closed_date_non_null_count") == 0, "No usable closed_date values")

@@ -176,7 +176,7 @@ def enforce_gates(gates: DataFrame) -> None:
     """Raise with the names of failed gates; the table has eight rows."""
     failed = [r["check_name"] for r in gates.where("status = 'FAIL'").collect()]
     if failed:
-        raise ExtractionRejected("Extraction integrity checks failed: " + ", ".join(failed))
+        raise ExtractionRejected("Gates that failed: " + ", ".join(failed))
 
 
 def key_integrity(raw: DataFrame) -> DataFrame:
@@ -192,7 +192,7 @@ def load_strict(raw: DataFrame) -> DataFrame:
     """The same rows, or an error when a key is NULL or repeated."""
     found = key_integrity(raw).first()
     if found["null_keys"]:
-        raise ExtractionRejected("The extract contains null unique_key values.")
+        raise ExtractionRejected("Rows without a unique_key arrived.")
     if found["repeated_rows"]:
-        raise ExtractionRejected(f"The extract repeats unique_key values: {found['repeated_rows']} rows.")
+        raise ExtractionRejected(f"{found['repeated_rows']} rows repeat a unique_key.")
     return raw

@@ -369,6 +369,7 @@ def readiness(typed: DataFrame, analysed_at: datetime, columns: Sequence[str] =
     bad += [f"missing__{c}" for c in ESSENTIAL_TARGET]
     target_findings = sum((F.col(c) for c in bad), F.lit(0))
     ordered = sum((F.col(f"chronology__{n}") for n, s in CHRONOLOGY_SEVERITY.items() if s != "informational"), F.lit(0))
+    # Areas and status texts of the readiness table.
     features = "Passed" if not feature_missing else (
         "Partially passed" if feature_missing < len(CANDIDATE_FEATURES) else "Failed")
     types = {"evidence_count": "bigint", "status": "string"}

@@ -100,13 +100,13 @@ def check_features(columns: Sequence[str], approved: Iterable[str] = ()) -> None
         if role == "SAFE_FEATURE" or (role == "CONDITIONAL_FEATURE" and column in allowed):
             continue
         if role == "UNKNOWN":
-            problems.append(f"{column}: unknown field")
+            problems.append(f"{column} is in no policy")
         elif role == "CONDITIONAL_FEATURE":
-            problems.append(f"{column}: conditional feature requires explicit approval")
+            problems.append(f"{column} is conditional and was not approved")
         else:
-            problems.append(f"{column}: blocked {role} field")
+            problems.append(f"{column} is barred as {role}")
     if problems:
-        raise FeaturePolicyError("Feature policy violations: " + "; ".join(problems))
+        raise FeaturePolicyError("These columns may not be features: " + "; ".join(problems))
 
 
 def select_features(df: DataFrame, columns: Sequence[str], approved: Iterable[str] = (),

@@ -182,6 +182,7 @@ def agency_discovery(agencies: DataFrame, limits: ScopeLimits, recent_from: date
         "proceed_to_complaint_type_review":
             c("passes_eligible_volume") & c("passes_temporal_coverage") & c("passes_data_consistency"),
     })
+    # Reason texts of the report contract, here and in the gates below.
     return ruled.withColumns({
         "agency_discovery_reasons": joined_reasons([
             (~c("has_target_evidence"), "Insufficient absolute target evidence"),
@@ -250,6 +251,7 @@ def with_viable_population(agencies: DataFrame, types: DataFrame) -> DataFrame:
         "has_viable_complaint_type_population", holds(F.col("_v"))).drop("_v")
 
 
+# Gates and their reasons.
 CANDIDATE_GATES = (
     ("passes_eligible_volume", "Insufficient candidate eligible records"),
     ("passes_due_date_coverage", "Candidate due-date coverage below threshold"),
@@ -286,7 +288,7 @@ def candidate_gates(candidates: DataFrame, limits: ScopeLimits, limit=None) -> D
 def candidate_scores(candidates: DataFrame, limits: ScopeLimits) -> DataFrame:
     """Bounded, weighted score of a candidate; it ranks, the gates decide."""
     if not 0 <= limits.operational_relevance_score <= 1:
-        raise ValueError("Operational relevance score must be between 0 and 1.")
+        raise ValueError("operational_relevance_score lies outside [0, 1].")
     c = F.col
     missing_share = ratio(c("missing_month_count"), c("active_months") + c("missing_month_count"))
     scored = candidates.withColumns({
@@ -307,6 +309,7 @@ def candidate_scores(candidates: DataFrame, limits: ScopeLimits) -> DataFrame:
 
 
 def decision_status(passes: Column, *, limitations_remain: bool) -> Column:
+    # Decision texts.
     approved = "Approved with limitations" if limitations_remain else "Approved"
     return F.when(holds(passes), approved).otherwise("Requires review")
 

@@ -251,6 +251,7 @@ def compare_candidates(evaluated: DataFrame, limits: StabilityLimits = Stability
     narrowed = c("better_stable_candidate_exists")
     first_start, last_start = F.min("start_date").over(whole_table()), F.max("start_date").over(whole_table())
     scored = joined.withColumns({
+        # Status and reason texts, here and in the rejections below.
         "decision_status": F.when(narrowed, "REQUIRES_NARROWER_RANGE").otherwise(c("decision_status")),
         "decision_reasons": F.when(
             narrowed,

@@ -56,6 +56,7 @@ SEMANTIC_TYPES = {
 }
 DEFAULT_SEMANTIC_TYPE = "string_or_nullable_source_value"
 
+# Columns of the check table.
 CHECK_COLUMNS = (
     "check_id", "area", "check_name", "severity", "status", "observed_value",
     "expected_value", "affected_rows", "affected_rate", "message",
@@ -109,7 +110,7 @@ def require_columns(columns, required, what: str = "Input") -> None:
     """Fail with the sorted list of absent columns."""
     missing = sorted(set(required) - set(columns))
     if missing:
-        raise ValueError(f"{what} is missing required columns: {missing}")
+        raise ValueError(f"{what}: these columns are missing: {missing}")
 
 
 def project(df, columns, allowed=SOURCE_COLUMNS):

@@ -304,7 +304,7 @@ def read_run(spark: SparkSession, root: str, extraction_date: str, run_id: str)
     if (manifest["raw_file_format"] or "").lower() != "parquet":
         raise RunUnreadable(f"Unsupported raw format: {manifest['raw_file_format']}")
     if manifest["raw_file_path"].rstrip("/") != paths.data:
-        raise RunUnreadable("The manifest names another run's data.")
+        raise RunUnreadable("raw_file_path points elsewhere.")
     return spark.read.parquet(paths.data), manifest
 
 

@@ -25,7 +25,7 @@ class ScopeRejected(ValueError):
 def _only_row(table: DataFrame, fields: Sequence[str], what: str) -> dict[str, str]:
     rows = table.limit(2).collect()
     if len(rows) != 1:
-        raise ScopeRejected(f"{what} must contain exactly one row.")
+        raise ScopeRejected(f"{what}: one row was expected, {len(rows)} or more were found.")
     values = {k: ("" if v is None else str(v).strip()) for k, v in rows[0].asDict().items()}
     blank = [f for f in fields if not values.get(f)]
     if blank:
@@ -59,7 +59,7 @@ def read_scope(spark: SparkSession, authority_path: str, metadata_path: str) ->
 def approved(scope: Scope, statuses: Sequence[str] = APPROVED_STATUSES) -> Scope:
     """Only an approved scope may be ingested."""
     if scope.decision_status not in statuses:
-        raise ScopeRejected(f"Scope status {scope.decision_status!r} is not approved for ingestion.")
+        raise ScopeRejected(f"{scope.decision_status!r} does not allow an ingestion.")
     return scope
 
 
