@@ -53,20 +53,21 @@ def repeated_pages(landed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> D
 def unstable_order(landed: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Rows whose (created text, key text) is smaller than the row before them.
 
-    Rows are compared inside chunks of a page; each chunk's last row is handed to
-    the next chunk, and each page's to the next page, by an equality join. So an
-    oversized page is split, and no window spans more than ``chunk`` rows.
+    Rows are compared inside chunks of a page, in one window pass. Chunk ends are then compared along their page, and
+    page ends by an equality join with the next page. So an oversized page is split, and no window holds more than
+    ``chunk`` rows or the ends of one page's chunks.
     """
     key = F.struct(F.coalesce("created_date", F.lit("")).alias("created"),
                    F.coalesce(KEY, F.lit("")).alias("key"))
     rows = landed.select("page_number", "pos", (F.col("pos") / chunk).cast("bigint").alias("chunk"), key.alias("k"))
-    tails = rows.groupBy("page_number", "chunk").agg(F.max_by("k", "pos").alias("tail"))
-    page_tails = tails.groupBy("page_number").agg(F.max_by("tail", "chunk").alias("tail"))
-    handed_on = tails.select("page_number", (F.col("chunk") + 1).alias("chunk"), "tail").unionByName(
-        page_tails.select((F.col("page_number") + 1).alias("page_number"), F.lit(0).cast("bigint").alias("chunk"), "tail"))
     inside = Window.partitionBy("page_number", "chunk").orderBy("pos")
-    before = rows.withColumn("previous", F.lag("k").over(inside)).join(
-        handed_on, ["page_number", "chunk"], "left").withColumn("previous", F.coalesce("previous", "tail"))
+    marked = rows.withColumns({"previous": F.lag("k").over(inside), "following": F.lead("pos").over(inside)})
+    # Findings, and the two ends of each chunk: all that the rest has to read.
+    kept = marked.where(F.col("previous").isNull() | F.col("following").isNull() | (F.col("k") < F.col("previous")))
+    along = Window.partitionBy("page_number").orderBy("pos")
+    compared = kept.withColumn("previous", F.coalesce("previous", F.lag("k").over(along)))
+    tails = kept.groupBy((F.col("page_number") + 1).alias("page_number")).agg(F.max_by("k", "pos").alias("tail"))
+    before = compared.join(tails, "page_number", "left").withColumn("previous", F.coalesce("previous", "tail"))
     return before.where(F.col("k") < F.col("previous")).select(
         "page_number", "pos", F.col("k.created").alias("created_date"), F.col("k.key").alias(KEY),
         F.col("previous.created").alias("previous_created_date"), F.col("previous.key").alias("previous_unique_key"))

@@ -40,9 +40,10 @@ def selected_scope(comparison: DataFrame, agency: str, complaint_type: str, extr
 
 
 def label_tables(typed: DataFrame, scope: Scope, cube: DataFrame | None = None, source: str = "service requests",
-                 page_size: int = 50_000) -> dict[str, DataFrame]:
-    """The fourteen label tables: one cube, key groupings and two fixed inventories."""
+                 page_size: int = 50_000, governed: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The fourteen label tables: one cube, the governed rows, key groupings and two fixed inventories."""
     cube = eligibility.eligibility_cube(typed, scope) if cube is None else cube
+    governed = eligibility.evaluate_eligibility(typed, scope) if governed is None else governed
     spark = typed.sparkSession
     return {
         "target_summary": eligibility.target_summary(cube, scope),
@@ -53,8 +54,7 @@ def label_tables(typed: DataFrame, scope: Scope, cube: DataFrame | None = None,
         "duplicate_summary": eligibility.duplicate_overview(typed),
         "exact_duplicate_summary": eligibility.exact_duplicate_summary(typed),
         "conflicting_duplicate_summary": eligibility.conflicting_duplicate_summary(typed),
-        "conflicting_duplicate_records": eligibility.conflicting_records(
-            eligibility.evaluate_eligibility(typed, scope)),
+        "conflicting_duplicate_records": eligibility.conflicting_records(governed),
         "timestamp_violation_summary": eligibility.timestamp_violations(cube),
         "outcome_maturity_summary": eligibility.maturity_summary(cube),
         "leakage_audit": roles.leakage_audit(spark),
@@ -66,11 +66,12 @@ def label_tables(typed: DataFrame, scope: Scope, cube: DataFrame | None = None,
 def write_label(typed: DataFrame, scope: Scope, root: str) -> None:
     """Store the governed rows and the label tables.
 
-    The cube is written first and every summary reads it back, so a lost
-    executor costs a re-read rather than the whole lineage.
+    The rows and the cube are written first and every table reads them back, so
+    a lost executor costs a re-read rather than the whole lineage.
     """
     spark = typed.sparkSession
     eligibility.evaluate_eligibility(typed, scope).write.mode("overwrite").parquet(f"{root}/governed")
     eligibility.eligibility_cube(typed, scope).write.mode("overwrite").parquet(f"{root}/cube")
     cube = spark.read.parquet(f"{root}/cube")
-    write_tables(label_tables(typed, scope, cube), LABEL_TABLES, root)
+    governed = spark.read.parquet(f"{root}/governed")
+    write_tables(label_tables(typed, scope, cube, governed=governed), LABEL_TABLES, root)

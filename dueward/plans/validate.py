@@ -21,9 +21,10 @@ class ValidationResult:
     verdict: DataFrame
 
 
-def evidence_tables(typed: DataFrame, scope: Scope, rules: ValidationRules = ValidationRules()) -> dict[str, DataFrame]:
+def evidence_tables(typed: DataFrame, scope: Scope, rules: ValidationRules = ValidationRules(),
+                    cube: DataFrame | None = None) -> dict[str, DataFrame]:
     """Every table but the schema, the checks and the actions; each is a lazy plan over the same typed rows."""
-    cube = readiness.readiness_cube(typed, scope)
+    cube = readiness.readiness_cube(typed, scope) if cube is None else cube
     return {
         "scope_validation": profile.scope_validation(typed, scope),
         "column_profile": profile.column_profile(typed),
@@ -65,8 +66,10 @@ def validate(spark: SparkSession, root: str, scope: Scope, report_root: str, *,
     selected = manifest["selected_source_columns"] or RAW_COLUMNS
     observed = Scope.of(scope.agency, scope.complaint_type, scope.start, scope.end,
                         manifest["extraction_completion_utc"], scope.decision_status)
+    readiness.readiness_cube(typed, observed).write.mode("overwrite").parquet(f"{report_root}/readiness_cube")
+    cube = spark.read.parquet(f"{report_root}/readiness_cube")
     schema = {"schema_validation": profile.schema_table(raw.select(*names), RAW_COLUMNS, selected)}
-    write_tables(schema | evidence_tables(typed, observed, rules), (), report_root)
+    write_tables(schema | evidence_tables(typed, observed, rules, cube), (), report_root)
     unchanged = runs.content_fingerprint(spark.read.parquet(manifest["raw_file_path"])).first() == before
     found = checks.validation_checks(
         typed, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged, stored=names)
