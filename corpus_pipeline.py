@@ -42,8 +42,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with the words that the mix takes of it, repeats counted, and the shards that hold them."""
+    """Every document with the words that the mix takes of it, repeats counted, and the shards that hold them.
+
+    ``taken`` is 0 for what was not drawn. Columns of the mix replace columns of the same name.
+    """
     taken = mixing.mixed(docs).dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "_matched")
+    docs = docs.drop(*(c for c in taken.columns if c != "_matched"))
     return docs.join(taken, docs["doc_id"].eqNullSafe(taken["_matched"])).drop("_matched")
 
 

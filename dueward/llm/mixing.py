@@ -39,7 +39,7 @@ SMALL_SOURCES = 100_000
 
 def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
     return documents_of(docs, id_column, text_column, source_column).select(
-        F.col(id_column).alias("doc"), F.col(source_column).alias("source"),
+        F.col(id_column).alias("doc"), F.col(source_column).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(id_column, text_column).alias("draw"), F.monotonically_increasing_id().alias("row"))
 
