@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dueward.llm.common import documents_of, text_or_empty
+from dueward.llm.common import documents_of, stored, text_or_empty
 
 WINDOW = 8
 RUN = 13
@@ -96,7 +96,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ru
     texts = documents_of(docs, id_column, text_column).select(
         F.col(id_column).alias("doc"), F.xxhash64(id_column, text_column).alias("doc_key"), tokens(text_or_empty(text_column)).alias("tokens"))
     seen = _windows(texts, sizes).join(hashes, "hash", "left_semi")
-    matched = seen.join(asked, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at"))
+    # Matched windows are few; stored, so that the three counts below do not read the texts again.
+    matched = stored(seen.join(asked, ["hash", "size"]).withColumn("shift", F.col("at") - F.col("item_at")))
     pair = ["doc_key", "doc", "item_key", "item"]
     islands = matched.groupBy(*pair, "shift", "item_at", "size", "item_windows").agg(F.first("slots").alias("slots"), F.first("item_slots").alias("item_slots"))
     islands = islands.withColumn("island", F.col("item_at") - F.row_number().over(W.partitionBy(*pair, "shift").orderBy("item_at")))
