@@ -25,10 +25,10 @@ def normalised(column: str = "text") -> Column:
     return F.regexp_replace(text_or_empty(column), SPACES, " ")
 
 
-def _repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Rows that share their keys with another row."""
+def _repeated(rows: DataFrame, id_column: str, *keys: str) -> DataFrame:
+    """Rows that share their keys with another row, dealt out anew: the next level counts a large class in every task."""
     classes = rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).select(*keys)
-    return rows.join(classes, list(keys), "left_semi")
+    return rows.join(classes, list(keys), "left_semi").repartition(F.col(id_column), F.col("digest"))
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -40,7 +40,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             id_column, F.octet_length("norm").alias("length"), F.xxhash64(F.substring("norm", 1, PREFIX)).alias("prefix"),
             F.unhex(F.sha2("norm", 256)).alias("digest"))
     )
-    survivors = _repeated(_repeated(rows, "length"), "length", "prefix")
+    survivors = _repeated(_repeated(rows, id_column, "length"), id_column, "length", "prefix")
     groups = (
         survivors.groupBy("length", "prefix", "digest").agg(F.min(id_column).alias("least"), F.count("*").alias("n"))
         .where(F.col("n") > 1)
