@@ -31,7 +31,7 @@ MOST = 2
 BLOCK_WORDS = 256
 #: Above this number of blocks they grow: the tree's draws are exact below 10^9.
 MOST_BLOCKS = 300_000_000
-RANGE_BLOCKS = 4_096
+RANGE_BLOCKS = 512
 DEPTH = 4
 SEED = 20_250
 SMALL_SOURCES = 100_000
