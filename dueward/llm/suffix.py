@@ -239,11 +239,19 @@ def _settled(places: Places, buckets: int, cover: Cover | None) -> dict:
 
 
 def _in_classes(places: Places, low: np.ndarray, high: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """An order by class and, in a class, by (key, position); the first of each class; the classes' sizes."""
-    order = np.lexsort((places.pos, places.key, low) if high is None else (places.pos, places.key, high, low))
+    """An order by class, the first of each class, and the classes' sizes.
+
+    With ``high``, a class is in the order of (key, position); only what shares ``low`` is compared further.
+    """
+    order = np.argsort(low)
     new = np.ones(len(order), dtype=bool)
     new[1:] = low[order][1:] != low[order][:-1]
     if high is not None:
+        alike = ~new
+        alike[:-1] |= ~new[1:]
+        part = order[alike]
+        part = part[np.lexsort((places.pos[part], places.key[part], high[part], low[part]))]
+        order[alike] = part
         new[1:] |= high[order][1:] != high[order][:-1]
     first = np.flatnonzero(new)
     return order, first, np.diff(np.append(first, len(order)))
