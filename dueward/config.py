@@ -106,10 +106,6 @@ class Scope:
     def end_exclusive(self) -> date:
         return self.end + timedelta(days=1)
 
-    @property
-    def extracted_text(self) -> str:
-        return self.extracted_at.strftime("%Y-%m-%d %H:%M:%S.%f")
-
 
 @dataclass(frozen=True)
 class Period:

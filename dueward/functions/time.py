@@ -68,13 +68,3 @@ def iso_text(ts: Column) -> Column:
     return F.when(
         F.pmod(micros, F.lit(1_000_000)) == 0, F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ssxxx")
     ).otherwise(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
-
-
-def month_spine(spark, periods):
-    """One row per (period, month); the row count is fixed by the calendar."""
-    rows = [(p.name, month_start(p.start), month_start(p.end)) for p in periods]
-    base = spark.createDataFrame(rows, "candidate_name string, first date, last date")
-    return base.select(
-        "candidate_name",
-        F.explode(F.expr("sequence(first, last, interval 1 month)")).alias("month"),
-    )

@@ -30,8 +30,3 @@ def use_utc(spark: SparkSession) -> SparkSession:
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark
-
-
-def shared_folder(spark: SparkSession) -> str | None:
-    """The folder every executor can reach, as named by the cluster; None when unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or None

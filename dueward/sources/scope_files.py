@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from dueward.config import Scope
-from dueward.schemas import text_schema
 
 # Required fields and the statuses that may be ingested.
 AUTHORITY_FIELDS = (
@@ -61,7 +60,3 @@ def approved(scope: Scope, statuses: Sequence[str] = APPROVED_STATUSES) -> Scope
     if scope.decision_status not in statuses:
         raise ScopeRejected(f"{scope.decision_status!r} does not allow an ingestion.")
     return scope
-
-
-def authority_schema():
-    return text_schema(AUTHORITY_FIELDS)

@@ -7,7 +7,7 @@ from dueward.operators import scope as scopes
 from dueward.operators.silver import typed_requests
 from dueward.plans.decide import decide_range, selected_scope, write_label
 from dueward.operators.silver import in_months, read_silver
-from dueward.plans.select import SELECTION_TABLES, read_gold, select_scope, store_silver_and_gold
+from dueward.plans.select import SELECTION_TABLES, select_scope, store_silver_and_gold
 from dueward.sources.report_tables import LABEL_TABLES
 
 LIMITS = StabilityLimits(

@@ -3,7 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from dueward.config import Scope
-from dueward.operators import eligibility, keyed, readiness
+from dueward.operators import eligibility, readiness
 from dueward.operators.roles import FeaturePolicyError, check_features, leakage_audit, select_features
 from dueward.operators.silver import typed_requests
 from tests.conftest import rows_of
