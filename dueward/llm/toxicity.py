@@ -22,7 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import cache
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,8 @@ TRAIN_TOKENS = 400_000
 ROUNDS = 60
 TOKENS_AT_ONCE = 1 << 18
 CACHE = 200_000
+#: Words whose results the driver holds while it fits.
+HELD_WORDS = 100_000
 _OUTSIDE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -107,27 +109,40 @@ def _lines(text: str) -> list[list[str]]:
     return [w for w in (line.split() for line in text.split("\n")) if w]
 
 
+def _counted(lines: list[list[str]]) -> tuple[Counter, int]:
+    """Tokens per form of a text, and its tokens."""
+    own: Counter = Counter()
+    words = Counter(w for line in lines for w in line)
+    for w, n in words.items():
+        for f in forms(w):
+            own[f] += n
+    return own, words.total()
+
+
 def _tagged_forms(docs: list[tuple[list[list[str]], int]]) -> set[str]:
-    """Forms that are far more frequent in toxic texts; each text counts a form three times at most."""
-    rate: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    """Forms that are far more frequent in toxic texts; each text counts a form three times at most.
+
+    Only the forms that enough toxic texts have are counted.
+    """
     support: Counter = Counter()
-    words = {0: 1, 1: 1}
-    forms_of = cache(forms)
     for lines, label in docs:
-        own: Counter = Counter()
-        for w, n in Counter(w for line in lines for w in line).items():
-            for f in forms_of(w):
-                own[f] += n
-            words[label] += n
-        for f, n in own.items():
-            rate[label][f] += min(n, 3)
-            support[f] += label
+        if label:
+            support.update({f for w in {w for line in lines for w in line} for f in forms(w)})
     least = max(2, min(5, sum(label for _, label in docs) // 100))
+    likely = {f for f, n in support.items() if n >= least}
+    del support
+    rate: dict[int, Counter] = {0: Counter(), 1: Counter()}
+    words = {0: 1, 1: 1}
+    for lines, label in docs:
+        own, n = _counted(lines)
+        words[label] += n
+        for f in likely & own.keys():
+            rate[label][f] += min(own[f], 3)
     tagged = set()
-    for f, n in support.items():
+    for f in likely:
         toxic, clean = rate[1][f] + 0.5, rate[0][f] + 0.5
         odds = np.log(toxic / words[1]) - np.log(clean / words[0])
-        if n >= least and odds >= np.log(8) and odds >= 3.5 * np.sqrt(1 / toxic + 1 / clean):
+        if odds >= np.log(8) and odds >= 3.5 * np.sqrt(1 / toxic + 1 / clean):
             tagged.add(f)
     return tagged
 
@@ -135,7 +150,7 @@ def _tagged_forms(docs: list[tuple[list[list[str]], int]]) -> set[str]:
 def _fit_chain(docs: list[tuple[list[list[str]], int]]) -> Model:
     """Gradient ascent (Adam) on the chain's likelihood, with a quadratic penalty."""
     tagged = _tagged_forms(docs)
-    is_tagged = cache(lambda w: any(f in tagged for f in forms(w)))
+    is_tagged = lru_cache(HELD_WORDS)(lambda w: any(f in tagged for f in forms(w)))
     lines, labels, budget = [], [], TRAIN_TOKENS
     spare = []
     for doc, label in docs:
@@ -218,11 +233,12 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     toxic = sum(label for _, label in rows)
     if not toxic or toxic == count or toxic < 3:
         return Model(constant=(toxic / count if count else 0.0))
-    docs = [([w[:SAMPLE_WORDS] for w in _lines(text)], label) for text, label in rows]
+    same: dict[str, str] = {}  # one object for each distinct word of the sample
+    docs = [([[same.setdefault(w, w) for w in line[:SAMPLE_WORDS]] for line in _lines(text)], label) for text, label in rows]
     order = sorted(range(count), key=lambda k: docs[k][1])
     chain, rest = [docs[k] for n, k in enumerate(order) if n % 3], [docs[k] for n, k in enumerate(order) if n % 3 == 0]
     model = _fit_chain(chain)
-    emission = cache(model.emission)
+    emission = lru_cache(HELD_WORDS)(model.emission)
     x = np.array([_summary(_marginals_of(doc, emission, model)) for doc, _ in rest])
     model.calibration = _calibrate(x, np.array([label for _, label in rest], dtype=float))
     return model
