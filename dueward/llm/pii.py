@@ -8,7 +8,8 @@ stay as they are. ``sanitised`` generalises terms that carry digits or a capital
 
 Only built-in functions run. Candidate terms stand within ``WINDOW`` code points of a base span; the number of texts
 with a term is counted over all texts. Counts are pre-aggregated before they are shuffled, by 64-bit hashes of terms,
-so an entity or term with a third of all rows is one counter per task; texts are not shuffled.
+so an entity or term with a third of all rows is one counter per task. All counts are over different texts. The hashes
+of texts that several rows share are broadcast when they are at most ``BROADCAST_ROWS``; beyond that texts are shuffled.
 
 Null texts count as empty and have no span. Rows are told apart by (id, text): equal rows get equal results, and copies
 of a text count once as evidence. Extra columns are ignored; an empty table gives an empty result.
@@ -35,6 +36,7 @@ WINDOW = 64
 MIN_TEXTS = 2
 MIN_SHARE = 0.5
 MIN_BITS = 3.0
+BROADCAST_ROWS = 1_000_000
 
 
 def _digits(value: Column) -> Column:
@@ -117,10 +119,16 @@ def _context(text: Column, base: Column) -> Column:
     return F.filter(F.flatten(F.transform(base, beside)), apart)
 
 
-def _term_texts(texts: DataFrame) -> DataFrame:
-    """Number of rows that have a term, for every term of every text."""
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0)))
-    return texts.select(terms.alias("term")).groupBy(F.xxhash64("term").alias("t")).agg(F.count("*").alias("with_term"))
+def _term_texts(texts: DataFrame, copies: DataFrame) -> DataFrame:
+    """Number of different texts that have a term, for every term; ``copies`` has the contents that several rows share.
+
+    Terms of texts that stand once are counters from the start; only those of copies are told apart by content.
+    """
+    terms = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w)))))
+    marked = texts.withColumn("content", F.xxhash64("text")).join(copies.withColumn("copy", F.col("content")), "content", "left")
+    return (
+        marked.select("copy", terms.alias("t")).groupBy("t", "copy").agg(F.count("*").alias("n"))
+        .groupBy("t").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("with_term")))
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_texts: int = MIN_TEXTS,
@@ -143,10 +151,14 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     both = (
         beside.select("content", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("with_both"))
         .where(F.col("with_both") >= min_texts))
-    count = rows.count()
+    contents = stored(rows.groupBy("content").agg(F.count("*").alias("n")))
+    count = contents.count()
+    copies = contents.where("n > 1").select("content")
+    if copies.count() <= BROADCAST_ROWS:
+        copies = F.broadcast(copies)
     share = F.col("with_both") / F.greatest("with_term", "with_both")
     disclosing = (
-        both.join(with_entity, "e").join(_term_texts(texts), "t")
+        both.join(with_entity, "e").join(_term_texts(texts, copies), "t")
         .where((share >= min_share) & (F.log2(share * count / F.col("with_entity")) >= min_bits)).select("e", "t"))
     found = beside.join(disclosing, ["e", "t"]).groupBy("row_key").agg(
         F.array_sort(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("term").alias("kind")))).alias("terms"))

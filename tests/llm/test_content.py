@@ -94,6 +94,16 @@ def test_terms_that_give_an_entity_away_are_added(docs_of):
     assert texts[0] == "word0 <term> <email> the end" and texts[100] == "the end word0"
 
 
+@pytest.mark.parametrize("broadcast", [pii.BROADCAST_ROWS, 0])
+def test_copies_count_once_for_terms_too(docs_of, monkeypatch, broadcast):
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", broadcast)
+    rows = [(i, "Fleeb secret.mail@x.com said this") for i in range(1_000)] + [(1_000, "then Fleeb secret.mail@x.com went")]
+    rows += [(2_000 + i, f"another text {i}") for i in range(30)]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(docs_of(rows))).collect()}
+    assert all(found[i] == "term:0:5,email:6:23" for i in range(1_000)) and found[1_000] == "term:5:10,email:11:28"
+    assert not any(found[2_000 + i] for i in range(30))
+
+
 # ---- toxicity ---------------------------------------------------------------
 
 def toxic_rows(n=400):
