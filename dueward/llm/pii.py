@@ -1,15 +1,17 @@
 """Personal data: typed patterns, and terms that give the protected entities away.
 
-Patterns find the base spans. What remains can still reveal an entity: a term next to it that hardly occurs anywhere
-else. Over the whole corpus, ``p(entity | term) = texts with both / texts with the term`` and the pointwise mutual
+Patterns find the base spans. What remains can still reveal an entity: a term that hardly occurs in texts without it.
+Over the whole corpus, ``p(entity | term) = texts with both / texts with the term`` and the pointwise mutual
 information ``log2(p(entity | term) / p(entity))`` estimate how strongly a term discloses an entity. A term that
-exceeds both thresholds, seen with the entity in enough different texts, becomes a span of kind ``term``; base spans
-stay as they are. ``sanitised`` generalises terms that carry digits or a capital letter and removes the others.
+exceeds both thresholds, seen with the entity in enough different texts, becomes a span of kind ``term`` wherever it
+stands, in every text, with or without the entity; base spans stay as they are, and words that touch one belong to it.
+``sanitised`` generalises terms that carry digits or a capital letter and removes the others.
 
-Only built-in functions run. Candidate terms stand within ``WINDOW`` code points of a base span; the number of texts
-with a term is counted over all texts. Counts are pre-aggregated before they are shuffled, by 64-bit hashes of terms,
-so an entity or term with a third of all rows is one counter per task. All counts are over different texts. The hashes
-of texts that several rows share are broadcast when they are at most ``BROADCAST_ROWS``; beyond that texts are shuffled.
+Only built-in functions run. Terms and entities count as together anywhere in a text. All counts are over different
+texts and are pre-aggregated before they are shuffled, by 64-bit hashes of terms, so an entity or term with a third of all
+rows is one counter per task. A text makes a row for each pair of an entity and a term whose counts alone can still
+meet the thresholds. The hashes of repeated texts, the disclosing terms and the rows with a disclosing term are each
+broadcast when they are at most ``BROADCAST_ROWS``; beyond that the same joins shuffle the texts.
 
 Null texts count as empty and have no span. Rows are told apart by (id, text): equal rows get equal results, and copies
 of a text count once as evidence. Extra columns are ignored; an empty table gives an empty result.
@@ -32,7 +34,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = r"[\p{L}\p{N}]+"
-WINDOW = 64
+#: Stands for covered letters and digits; no term has it.
+COVERED = "\x01"
+MASKED_TERM = rf"[\p{{L}}\p{{N}}{COVERED}]+"
 MIN_TEXTS = 2
 MIN_SHARE = 0.5
 MIN_BITS = 3.0
@@ -98,25 +102,54 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def _context(text: Column, base: Column) -> Column:
-    """Terms within the window of each base span and outside all of them: (entity, term, start, end)."""
-    size = F.length(text)
+def _masked(text: Column, base: Column) -> Column:
+    """The text, as long as before, with ``COVERED`` for the letters and digits of its base spans."""
+    text = F.translate(text, COVERED, " ")
 
-    def beside(span: Column) -> Column:
-        def side(first: Column, last: Column) -> Column:
-            window = F.substring(text, first + 1, last - first)
-            whole = lambda w: ((w["start"] > first) | (first == 0) | (first == span["end"])) & (
-                (w["end"] < last) | (last == size) | (last == span["start"]))
-            return F.filter(_placed(window, TERM, first), whole)
+    def cover(state: Column, span: Column) -> Column:
+        first = F.greatest(span["start"], state["at"])
+        hidden = F.regexp_replace(F.regexp_replace(F.substring(text, first + 1, span["end"] - first), r"[\p{L}\p{N}]", COVERED), f"[^{COVERED}]", " ")
+        parts = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, first - state["at"]), hidden))
+        return F.when(span["end"] > state["at"], F.struct(span["end"].alias("at"), parts.alias("parts"))).otherwise(state)
 
-        words = F.concat(
-            side(F.greatest(span["start"] - WINDOW, F.lit(0)), span["start"]),
-            side(span["end"], F.least(span["end"] + WINDOW, size)))
-        return F.transform(words, lambda w: F.struct(
-            span["entity"].alias("entity"), F.lower(w["value"]).alias("term"), w["start"].alias("start"), w["end"].alias("end")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    return F.aggregate(base, start, cover, lambda state: F.concat(
+        F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text))))
 
-    apart = lambda w: ~F.exists(base, lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"]))
-    return F.filter(F.flatten(F.transform(base, beside)), apart)
+
+def _hash(word: Column) -> Column:
+    return F.xxhash64(F.lower(word))
+
+
+def _bare_terms(masked: Column) -> Column:
+    """Hashes of the terms that no base span touches."""
+    words = F.filter(F.regexp_extract_all(masked, F.lit(MASKED_TERM), 0), lambda w: ~F.contains(w, F.lit(COVERED)))
+    return F.array_distinct(F.transform(words, _hash))
+
+
+def _tagged(masked: Column, wanted: Column) -> Column:
+    """Array of (start, rank, end, kind): every place of the wanted terms that no base span touches."""
+    words = F.regexp_extract_all(masked, F.lit(MASKED_TERM), 0)
+    pairs = F.zip_with(F.slice(F.split(masked, MASKED_TERM, -1), F.lit(1), F.size(words)), words, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("word")))
+
+    def add(state: Column, pair: Column) -> Column:
+        first = state["at"] + pair["gap"]
+        last = first + F.length(pair["word"])
+        one = F.struct(first.alias("start"), F.lit(len(KINDS)).alias("rank"), last.alias("end"), F.lit("term").alias("kind"))
+        hit = ~F.contains(pair["word"], F.lit(COVERED)) & F.array_contains(wanted, _hash(pair["word"]))
+        return F.struct(last.alias("at"), F.when(hit, F.concat(state["found"], F.array(one))).otherwise(state["found"]).alias("found"))
+
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add, lambda state: state["found"])
+
+
+def _terms(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), _hash))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A stored table, to be broadcast if it is small enough."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def _term_texts(texts: DataFrame, copies: DataFrame) -> DataFrame:
@@ -124,44 +157,51 @@ def _term_texts(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
     Terms of texts that stand once are counters from the start; only those of copies are told apart by content.
     """
-    terms = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(TERM), 0), lambda w: F.xxhash64(F.lower(w)))))
     marked = texts.withColumn("content", F.xxhash64("text")).join(copies.withColumn("copy", F.col("content")), "content", "left")
     return (
-        marked.select("copy", terms.alias("t")).groupBy("t", "copy").agg(F.count("*").alias("n"))
+        marked.select("copy", F.explode(_terms(F.col("text"))).alias("t")).groupBy("t", "copy").agg(F.count("*").alias("n"))
         .groupBy("t").agg(F.sum(F.when(F.col("copy").isNull(), F.col("n")).otherwise(1)).alias("with_term")))
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_texts: int = MIN_TEXTS,
                   min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
     """``(id, row_key, base, terms)``: arrays of spans (start, rank, end, kind, entity), both in code points."""
+    key = F.struct(F.xxhash64(id_column, "text").alias("a"), F.hash(id_column, "text").alias("b")).alias("row_key")
     texts = documents_of(docs, id_column, text_column).select(F.col(id_column), text_or_empty(text_column).alias("text"))
     rows = stored(
         texts.withColumn("base", _base(F.col("text")))
         .select(
-            id_column, F.struct(F.xxhash64(id_column, "text").alias("a"), F.hash(id_column, "text").alias("b")).alias("row_key"),
-            F.xxhash64("text").alias("content"), "base",
-            F.when(F.size("base") > 0, _context(F.col("text"), F.col("base"))).alias("context")))
-    beside = rows.where(F.size("context") > 0).select("row_key", "content", F.explode("context").alias("c")).select(
-        "row_key", "content", F.xxhash64("c.entity").alias("e"), F.xxhash64("c.term").alias("t"), "c.start", "c.end")
-    with_entity = (
-        rows.where(F.size("base") > 0)
-        .select("content", F.explode(F.array_distinct(F.transform("base", lambda b: b["entity"]))).alias("entity"))
-        .select("content", F.xxhash64("entity").alias("e")).distinct()
-        .groupBy("e").agg(F.count("*").alias("with_entity")).where(F.col("with_entity") >= min_texts))
-    both = (
-        beside.select("content", "e", "t").distinct().groupBy("e", "t").agg(F.count("*").alias("with_both"))
-        .where(F.col("with_both") >= min_texts))
+            id_column, key, F.xxhash64("text").alias("content"), "base",
+            F.when(F.size("base") > 0, _bare_terms(_masked(F.col("text"), F.col("base")))).alias("bare")))
     contents = stored(rows.groupBy("content").agg(F.count("*").alias("n")))
     count = contents.count()
-    copies = contents.where("n > 1").select("content")
-    if copies.count() <= BROADCAST_ROWS:
-        copies = F.broadcast(copies)
-    share = F.col("with_both") / F.greatest("with_term", "with_both")
-    disclosing = (
-        both.join(with_entity, "e").join(_term_texts(texts, copies), "t")
-        .where((share >= min_share) & (F.log2(share * count / F.col("with_entity")) >= min_bits)).select("e", "t"))
-    found = beside.join(disclosing, ["e", "t"]).groupBy("row_key").agg(
-        F.array_sort(F.collect_set(F.struct(F.col("start"), F.lit(len(KINDS)).alias("rank"), F.col("end"), F.lit("term").alias("kind")))).alias("terms"))
+    copies = _small(contents.where("n > 1").select("content"))
+    entities = F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["entity"])))
+    telling = stored(rows.where(F.size("base") > 0).select("content", entities.alias("entities"), "bare").dropDuplicates(["content"]))
+    bits = lambda share: F.log2(share * count / F.col("with_entity"))
+    # No share is above 1, and none above with_entity / with_term: what misses a threshold even so leaves before the pairs are made.
+    with_entity = (
+        telling.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("with_entity"))
+        .where((F.col("with_entity") >= min_texts) & (bits(F.lit(1.0)) >= min_bits)))
+    held = stored(
+        telling.select("content", F.explode("entities").alias("e")).join(with_entity, "e")
+        .groupBy("content").agg(F.collect_list(F.struct("e", "with_entity")).alias("held"), F.max("with_entity").alias("most")))
+    most = held.agg(F.max("most")).first()[0] or 0
+    with_term = _term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share))
+    bare = telling.join(held.select("content"), "content", "left_semi").select("content", F.explode("bare").alias("t")).join(with_term, "t")
+    both = (
+        bare.join(held.where("most > 0"), "content").where(F.col("most") / F.col("with_term") >= min_share)
+        .select("t", "with_term", F.explode("held").alias("h")).select("t", "with_term", "h.e", "h.with_entity")
+        .where(F.col("with_entity") / F.col("with_term") >= min_share)
+        .groupBy("e", "t", "with_entity", "with_term").agg(F.count("*").alias("with_both")).where(F.col("with_both") >= min_texts))
+    share = F.col("with_both") / F.col("with_term")
+    disclosing = stored(both.where((share >= min_share) & (bits(share) >= min_bits)).select("t").distinct())
+    hits = stored(
+        texts.select(key, F.explode(_terms(F.col("text"))).alias("t")).join(_small(disclosing), "t")
+        .groupBy("row_key").agg(F.collect_set("t").alias("wanted")))
+    found = (
+        texts.select("text", key).join(_small(hits), "row_key").withColumn("masked", _masked(F.col("text"), _base(F.col("text"))))
+        .select("row_key", _tagged(F.col("masked"), F.col("wanted")).alias("terms")).dropDuplicates(["row_key"]))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return rows.join(found, "row_key", "left").select(
         id_column, "row_key", "base", F.coalesce("terms", none).alias("terms"))

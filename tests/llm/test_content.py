@@ -104,6 +104,16 @@ def test_copies_count_once_for_terms_too(docs_of, monkeypatch, broadcast):
     assert not any(found[2_000 + i] for i in range(30))
 
 
+def test_disclosing_terms_are_tagged_wherever_they_stand(docs_of):
+    rows = [(i, f"Fleeb é_d.e@f.com word{i} " + "so on " * 40 + "mail to secret.mail@x.com ok") for i in range(6)]
+    rows += [(50, "alone 😀 FLEEB and fleeb"), (51, "xfleeb secret")] + [(100 + i, f"so on the mail word{i} to ok") for i in range(90)]
+    found = {r.doc_id: r.spans for r in pii.digest(pii.personal_data(docs_of(rows))).collect()}
+    assert all(found[i].startswith("term:0:5,term:6:7,email:7:17,email:") for i in range(6))
+    assert found[50] == "term:8:13,term:18:23" and not found[51] and not any(found[100 + i] for i in range(90))
+    texts = {r.doc_id: r.text for r in pii.sanitised(docs_of(rows)).collect()}
+    assert texts[50] == "alone 😀 <term> and " and texts[0].startswith("<term> <email> word0")
+
+
 # ---- toxicity ---------------------------------------------------------------
 
 def toxic_rows(n=400):
