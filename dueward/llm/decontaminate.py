@@ -2,8 +2,10 @@
 
 Numbers, names and units become typed placeholders, so that a question with other parameters keeps its template.
 Template windows of ``WINDOW`` tokens are hashed and joined by equality. A document and an item make a pair when the
-matched windows cover half of the item, or a run of them covers ``RUN`` tokens in one piece. The slots of a pair must
-then agree: one value of the item always stands for the same value of the document, otherwise the match is chance.
+matched windows cover half of the item, or a run of them covers ``RUN`` tokens in one piece. Only the windows of
+alignments whose slots agree count: within one shift of the item against the document, one value of the item always
+stands for the same value of the document, otherwise the match is chance. So a page may hold an item several times, with
+other values each time. A pair is re-parameterised if its verbatim alignments alone are not enough.
 
 Only built-in functions run. Every window of every whole text is looked up. The distinct window hashes of the benchmark
 are broadcast when their counted number is at most ``BROADCAST_WINDOWS`` (8 bytes each); beyond that the same join is
@@ -102,19 +104,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ru
     islands = matched.groupBy(*pair, "shift", "item_at", "size", "item_windows").agg(F.first("slots").alias("slots"), F.first("item_slots").alias("item_slots"))
     islands = islands.withColumn("island", F.col("item_at") - F.row_number().over(W.partitionBy(*pair, "shift").orderBy("item_at")))
     slots = F.explode_outer(F.arrays_zip(F.coalesce("item_slots", F.array()).alias("theirs"), F.coalesce("slots", F.array()).alias("ours")))
-    runs = islands.groupBy(*pair, "shift", "island").agg((F.count("*") + F.first("size") - 1).alias("tokens"))
-    found = islands.groupBy(*pair).agg(
-        F.countDistinct("item_at").alias("n_windows"), F.first("item_windows").alias("item_windows"))
-    longest = runs.groupBy(*pair).agg(F.max("tokens").alias("run_tokens"))
-    values = islands.where("size(slots) > 0").select("doc_key", "item_key", slots.alias("s")).select("doc_key", "item_key", "s.theirs", "s.ours")
+    # One alignment is one shift of a pair: only within it must a value of the item keep its meaning.
+    values = islands.where("size(slots) > 0").select("doc_key", "item_key", "shift", slots.alias("s")).select("doc_key", "item_key", "shift", "s.theirs", "s.ours")
     agreed = (
-        values.groupBy("doc_key", "item_key", "theirs").agg(F.countDistinct("ours").alias("n"), F.max(F.col("theirs") != F.col("ours")).alias("other"))
-        .groupBy("doc_key", "item_key").agg(F.avg((F.col("n") == 1).cast("double")).alias("slot_consistency"), F.max("other").alias("reparameterised")))
+        values.groupBy("doc_key", "item_key", "shift", "theirs").agg(F.countDistinct("ours").alias("n"), F.max(F.col("theirs") != F.col("ours")).alias("other"))
+        .groupBy("doc_key", "item_key", "shift").agg(F.avg((F.col("n") == 1).cast("double")).alias("agreement"), F.max("other").alias("other")))
+    islands = (
+        islands.join(agreed, ["doc_key", "item_key", "shift"], "left")
+        .withColumn("agreement", F.coalesce("agreement", F.lit(1.0))).withColumn("other", F.coalesce("other", F.lit(False)))
+        .where(F.col("agreement") >= consistency))
+    runs = islands.groupBy(*pair, "shift", "other", "island").agg((F.count("*") + F.first("size") - 1).alias("tokens"))
+    verbatim = F.when(~F.col("other"), F.col("item_at"))
+    found = islands.groupBy(*pair).agg(
+        F.countDistinct("item_at").alias("n_windows"), F.countDistinct(verbatim).alias("n_verbatim"), F.first("item_windows").alias("item_windows"))
+    longest = runs.groupBy(*pair).agg(
+        F.max("tokens").alias("run_tokens"), F.coalesce(F.max(F.when(~F.col("other"), F.col("tokens"))), F.lit(0)).alias("run_verbatim"))
+    # The alignment with the most windows gives the pair its consistency.
+    leading = (
+        islands.groupBy("doc_key", "item_key", "shift").agg(F.count("*").alias("n"), F.first("agreement").alias("agreement"))
+        .groupBy("doc_key", "item_key").agg(F.max(F.struct("n", "agreement")).alias("leading")))
+    enough = lambda n, run_tokens: (F.col(n) >= coverage * F.col("item_windows")) | (F.col(run_tokens) >= run)
     return (
-        found.join(longest.drop("doc", "item"), ["doc_key", "item_key"]).join(agreed, ["doc_key", "item_key"], "left")
-        .withColumn("slot_consistency", F.coalesce("slot_consistency", F.lit(1.0)))
-        .withColumn("reparameterised", F.coalesce("reparameterised", F.lit(False)))
-        .where((F.col("n_windows") >= coverage * F.col("item_windows")) | (F.col("run_tokens") >= run))
-        .where(F.col("slot_consistency") >= consistency)
+        found.join(longest.drop("doc", "item"), ["doc_key", "item_key"]).join(leading, ["doc_key", "item_key"])
+        .withColumn("slot_consistency", F.col("leading.agreement"))
+        .withColumn("reparameterised", ~enough("n_verbatim", "run_verbatim"))
+        .where(enough("n_windows", "run_tokens"))
         .select(F.col("doc").alias(id_column), F.col("item").alias(item_column), "n_windows", "item_windows",
                 F.col("run_tokens").cast("long").alias("run_tokens"), "slot_consistency", "reparameterised"))

@@ -38,6 +38,14 @@ def test_short_items_and_parts_of_long_ones(spark, docs_of):
     assert set(found) == {(1, 1), (2, 2)} and found[2, 2].run_tokens == 14
 
 
+def test_an_item_may_be_aligned_more_than_once(spark, docs_of):
+    other = QUESTION.replace("Tom", "Jim").replace("12", "30").replace("5", "9")
+    phrase = "a train leaves at 12 km per hour for 3 hours and a train leaves at 15 km per hour for 4 hours"
+    found = pairs(spark, docs_of([(1, f"{QUESTION} or {other} etc"), (2, f"so {phrase} etc"), (3, f"{other} or {other.replace('30', '31')}")]), [(1, QUESTION), (2, phrase)])
+    assert set(found) == {(1, 1), (2, 2), (3, 1)}
+    assert [found[k].reparameterised for k in ((1, 1), (2, 2), (3, 1))] == [False, False, True]
+
+
 def test_nothing_to_look_for(spark, docs_of):
     assert pairs(spark, docs_of(EDGE_TEXTS), []) == {} and pairs(spark, docs_of([]), [(1, QUESTION)]) == {}
 
