@@ -46,6 +46,15 @@ def test_an_item_may_be_aligned_more_than_once(spark, docs_of):
     assert [found[k].reparameterised for k in ((1, 1), (2, 2), (3, 1))] == [False, False, True]
 
 
+def test_items_of_numbers_and_names_are_found_verbatim(spark, docs_of):
+    sums, names = "What is 12 + 7 * 3 - 5 / 2?", "capitals, Paris, Rome, Berlin, Madrid, Vienna, Oslo, Bern, Lisbon, Athens"
+    mixed = QUESTION + " at 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27"
+    other = QUESTION.replace("Tom", "Jim").replace("12", "30").replace("5", "9")
+    rows = [(1, f"so {sums} yes"), (2, f"so {sums.replace('12', '13')} yes"), (3, f"the {names} etc"), (4, f"the {names.replace('Rome', 'Bonn').replace('Oslo', 'Riga')} etc"), (5, f"so {other} etc")]
+    found = pairs(spark, docs_of(rows), [(1, sums), (2, names), (3, mixed)])
+    assert set(found) == {(1, 1), (3, 2), (5, 3)} and not found[1, 1].reparameterised and found[5, 3].reparameterised
+
+
 def test_nothing_to_look_for(spark, docs_of):
     assert pairs(spark, docs_of(EDGE_TEXTS), []) == {} and pairs(spark, docs_of([]), [(1, QUESTION)]) == {}
 
