@@ -7,7 +7,10 @@ backward passes give each token's marginal; their sum, density and maximum go th
 training rows that the chain has not seen. Tokens with a marginal of one half or more are the offending spans.
 
 Training uses a bounded sample of labelled training rows: at most ``SAMPLE_TOXIC`` toxic and ``SAMPLE_CLEAN`` clean rows,
-``SAMPLE_WORDS`` words of each, chosen by a hash. Rows whose ``crc32(id as text) mod 5`` is 0 are held out.
+chosen by a hash, with their whole texts; an id that several rows share gives one of its texts. Rows whose
+``crc32(id as text) mod 5`` is 0 are held out. Forms are counted on the executors. The chain is fitted on the driver to at
+most ``SEGMENTS`` sequences with a marked word and as many without one, both drawn by a hash from all lines of the sample;
+a line is cut every ``SEGMENT_WORDS`` words. Those four bounds are all that limits training.
 Scoring reads every whole text in one pass of map tasks: no shuffle, memory bounded by lines of one batch.
 
 Null texts count as empty; a text without words gets the score of zero marginals. Null or repeated labels: a null counts
@@ -26,21 +29,21 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from dueward.llm.common import documents_of, text_or_empty
+from dueward.llm.common import documents_of, stored, text_or_empty
 
 SAMPLE_TOXIC = 2_000
 SAMPLE_CLEAN = 4_000
-SAMPLE_WORDS = 2_000
-TRAIN_TOKENS = 400_000
+SEGMENT_WORDS = 64
+SEGMENTS = 6_000
 ROUNDS = 60
 TOKENS_AT_ONCE = 1 << 18
 CACHE = 200_000
-#: Words whose results the driver holds while it fits.
-HELD_WORDS = 100_000
+#: Texts whose forms are counted before the counts are handed on.
+COUNTED_AT_ONCE = 200
 _OUTSIDE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
@@ -109,67 +112,99 @@ def _lines(text: str) -> list[list[str]]:
     return [w for w in (line.split() for line in text.split("\n")) if w]
 
 
-def _counted(lines: list[list[str]]) -> tuple[Counter, int]:
+def _counted(text: str) -> tuple[Counter, int]:
     """Tokens per form of a text, and its tokens."""
     own: Counter = Counter()
-    words = Counter(w for line in lines for w in line)
+    words = Counter(text.split())
     for w, n in words.items():
         for f in forms(w):
             own[f] += n
     return own, words.total()
 
 
-def _tagged_forms(docs: list[tuple[list[list[str]], int]]) -> set[str]:
-    """Forms that are far more frequent in toxic texts; each text counts a form three times at most.
+def form_counts(rows: DataFrame) -> DataFrame:
+    """``(form, support, toxic, clean)`` over texts: texts that are toxic and have it, and its tokens by label.
 
-    Only the forms that enough toxic texts have are counted.
+    Each text counts a form three times at most; the form ``""`` carries the tokens of all texts.
     """
-    support: Counter = Counter()
-    for lines, label in docs:
-        if label:
-            support.update({f for w in {w for line in lines for w in line} for f in forms(w)})
-    least = max(2, min(5, sum(label for _, label in docs) // 100))
-    likely = {f for f, n in support.items() if n >= least}
-    del support
-    rate: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    words = {0: 1, 1: 1}
-    for lines, label in docs:
-        own, n = _counted(lines)
-        words[label] += n
-        for f in likely & own.keys():
-            rate[label][f] += min(own[f], 3)
-    tagged = set()
-    for f in likely:
-        toxic, clean = rate[1][f] + 0.5, rate[0][f] + 0.5
-        odds = np.log(toxic / words[1]) - np.log(clean / words[0])
-        if odds >= np.log(8) and odds >= 3.5 * np.sqrt(1 / toxic + 1 / clean):
-            tagged.add(f)
-    return tagged
-
-
-def _fit_chain(docs: list[tuple[list[list[str]], int]]) -> Model:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, COUNTED_AT_ONCE):
+                part = batch.slice(at, COUNTED_AT_ONCE)
+                found: dict[str, list[int]] = {"": [0, 0, 0]}
+                for text, label in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    own, n = _counted(text)
+                    found[""][1 if label else 2] += n
+                    for f, k in own.items():
+                        row = found.setdefault(f, [0, 0, 0])
+                        row[0] += label
+                        row[1 if label else 2] += min(k, 3)
+                columns = zip(*found.values())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(list(found)), *(pa.array(c, type=pa.int64()) for c in columns)], names=["form", "support", "toxic", "clean"])
+
+    per_task = rows.select("text", "toxic").mapInArrow(counted, "form string, support long, toxic long, clean long")
+    return per_task.groupBy("form").agg(*(F.sum(c).alias(c) for c in ("support", "toxic", "clean")))
+
+
+def tagged_forms(rows: DataFrame, n_toxic: int) -> set[str]:
+    """Forms that are far more frequent in toxic texts than in clean ones, and not in a few texts only."""
+    counts = stored(form_counts(rows))
+    words = counts.where("form = ''").first()
+    if words is None:
+        return set()
+    toxic, clean = F.col("toxic") + 0.5, F.col("clean") + 0.5
+    odds = F.log(toxic / float(words["toxic"] + 1)) - F.log(clean / float(words["clean"] + 1))
+    far = (odds >= float(np.log(8))) & (odds >= 3.5 * F.sqrt(1 / toxic + 1 / clean))
+    least = max(2, min(5, n_toxic // 100))
+    return {r.form for r in counts.where((F.col("form") != "") & (F.col("support") >= least) & far).select("form").collect()}
+
+
+def sequences(rows: DataFrame, tagged: set[str]) -> DataFrame:
+    """``(marked, toxic, words)``: every line of the texts, cut every ``SEGMENT_WORDS`` words."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+
+        def is_tagged(w: str) -> bool:
+            if w not in known:
+                if len(known) > CACHE:
+                    known.clear()
+                known[w] = any(f in tagged for f in forms(w))
+            return known[w]
+
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                parts = [line[k:k + SEGMENT_WORDS] for line in _lines(text) for k in range(0, len(line), SEGMENT_WORDS)]
+                marked = [bool(label) and any(map(is_tagged, part)) for part in parts]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(marked, type=pa.bool_()), pa.array([label] * len(parts), type=pa.int32()),
+                     pa.array([" ".join(part) for part in parts], type=pa.string())], names=["marked", "toxic", "words"])
+
+    return rows.select("text", "toxic").mapInArrow(cut, "marked boolean, toxic int, words string")
+
+
+def _drawn(rows: DataFrame, tagged: set[str]) -> list[tuple[list[str], int]]:
+    """The sequences that the chain is fitted on: the first of each kind by a hash."""
+    hashed = stored(sequences(rows, tagged).withColumn("h", F.xxhash64("words")))
+    order = ("h", "words", "toxic")
+    drawn = hashed.where("marked").orderBy(*order).limit(SEGMENTS).unionByName(
+        hashed.where("NOT marked").orderBy(*order).limit(SEGMENTS))
+    return sorted((r.words.split(), r.toxic) for r in drawn.collect())
+
+
+def _fit_chain(drawn: list[tuple[list[str], int]], tagged: set[str]) -> Model:
     """Gradient ascent (Adam) on the chain's likelihood, with a quadratic penalty."""
-    tagged = _tagged_forms(docs)
-    is_tagged = lru_cache(HELD_WORDS)(lambda w: any(f in tagged for f in forms(w)))
-    lines, labels, budget = [], [], TRAIN_TOKENS
-    spare = []
-    for doc, label in docs:
-        for line in doc:
-            y = [int(label == 1 and is_tagged(w)) for w in line]
-            (lines if any(y) else spare).append((line, y))
-    chosen = []
-    for line, y in lines + [spare[k] for k in np.random.default_rng(7).permutation(len(spare))]:
-        if budget <= 0:
-            break
-        budget -= len(line)
-        chosen.append(line)
-        labels.extend(y)
+    chosen = [words for words, _ in drawn]
+    if not chosen:
+        return Model()
+    marks: dict[str, bool] = {w: any(f in tagged for f in forms(w)) for w in {w for words in chosen for w in words}}
+    labels = [int(label == 1 and marks[w]) for words, label in drawn for w in words]
     seen: dict[str, int] = {}
     token = np.array([seen.setdefault(w, len(seen)) for line in chosen for w in line], dtype=np.int64)
     y = np.array(labels, dtype=np.float64)
     lengths = np.array([len(line) for line in chosen], dtype=np.int64)
     of_type = [forms(w) for w in seen]
-    frequent = Counter(f for fs in of_type for f in set(fs))
+    frequent = Counter(f for fs in of_type for f in dict.fromkeys(fs))
     index = {f: k for k, f in enumerate(f for f, n in frequent.items() if n >= 2 or f in tagged)}
     rows = np.array([k for k, fs in enumerate(of_type) for f in fs if f in index], dtype=np.int64)
     cols = np.array([index[f] for fs in of_type for f in fs if f in index], dtype=np.int64)
@@ -227,23 +262,30 @@ def _calibrate(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows: two of three rows for the chain, the third for the calibration."""
-    count = len(rows)
-    toxic = sum(label for _, label in rows)
+def fit(rows: DataFrame) -> Model:
+    """A model from :func:`training_rows`: two of three rows for the chain, the third for the calibration."""
+    count, toxic = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     if not toxic or toxic == count or toxic < 3:
         return Model(constant=(toxic / count if count else 0.0))
-    same: dict[str, str] = {}  # one object for each distinct word of the sample
-    docs = [([[same.setdefault(w, w) for w in line[:SAMPLE_WORDS]] for line in _lines(text)], label) for text, label in rows]
-    order = sorted(range(count), key=lambda k: docs[k][1])
-    chain, rest = [docs[k] for n, k in enumerate(order) if n % 3], [docs[k] for n, k in enumerate(order) if n % 3 == 0]
-    model = _fit_chain(chain)
-    emission = lru_cache(HELD_WORDS)(model.emission)
-    x = np.array([_summary(_marginals_of(doc, emission, model)) for doc, _ in rest])
-    model.calibration = _calibrate(x, np.array([label for _, label in rest], dtype=float))
+    chain, rest = rows.where("nth % 3 <> 0"), rows.where("nth % 3 = 0")
+    tagged = tagged_forms(chain, toxic * 2 // 3)
+    model = _fit_chain(_drawn(chain, tagged), tagged)
+    found = sorted((r.x, r.toxic) for r in _summaries(rest, model).collect())
+    model.calibration = _calibrate(np.array([x for x, _ in found]), np.array([y for _, y in found], dtype=float))
     return model
 
 
+def _summaries(rows: DataFrame, model: Model) -> DataFrame:
+    """``(x, toxic)``: the figures of each text that the calibration weighs."""
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        emission = lru_cache(CACHE)(model.emission)
+        for batch in batches:
+            x = [_summary(_marginals_of(_lines(text), emission, model)) for text in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=pa.list_(pa.float64())), batch.column(1)], names=["x", "toxic"])
+
+    return rows.select("text", "toxic").mapInArrow(summed, "x array<double>, toxic int")
+
+
 def _marginals_of(lines: list[list[str]], emission, model: Model) -> np.ndarray:
     e = np.array([emission(w) for line in lines for w in line])
     return marginals(e, np.array([len(line) for line in lines], dtype=np.int64), model)
@@ -253,18 +295,20 @@ def held_out(id_column: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> list[tuple[str, int]]:
-    """The bounded sample: the first labels of each class by a hash of the id, and their texts.
+def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``(text, toxic, nth)``: the first labels of each class by a hash of the id, with one whole text each.
 
-    The sampled ids are the only thing that is broadcast; their number is bounded by the sample.
+    The sampled ids are the only thing that is broadcast; their number is bounded by the sample. The rows are stored.
     """
     known = labels.where("toxic IS NOT NULL").groupBy(id_column).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(id_column))
     chosen = known.withColumn("h", F.xxhash64(id_column))
     first = chosen.where("toxic = 1").orderBy("h", id_column).limit(SAMPLE_TOXIC).unionByName(
         chosen.where("toxic = 0").orderBy("h", id_column).limit(SAMPLE_CLEAN))
-    short = F.array_join(F.slice(F.split(text_or_empty(text_column), r"(?<=\s)(?=\S)", SAMPLE_WORDS + 1), 1, SAMPLE_WORDS), "")
-    rows = documents_of(docs, id_column, text_column).join(F.broadcast(first.drop("h")), id_column).select(short.alias("text"), "toxic")
-    return sorted(((r.text, r.toxic) for r in rows.collect()), key=lambda r: (r[1], r[0]))
+    texts = documents_of(docs, id_column, text_column).join(F.broadcast(first), id_column).select(
+        "h", "toxic", text_or_empty(text_column).alias("text"))
+    one = texts.groupBy("h", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    within = Window.partitionBy("toxic").orderBy("h")
+    return stored(one.select("text", "toxic", F.row_number().over(within).alias("nth")))
 
 
 def score(docs: DataFrame, model: Model, text_column: str = "text", score_name: str = "score", spans_name: str = "spans") -> DataFrame:
