@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dueward.llm import decontaminate, exact, licenses, lines, mixing, pii, simhash, suffix, toxicity, urls
+from dueward.llm import decontaminate, exact, lexical, licenses, lines, mixing, nearest, pii, simhash, spelling, suffix, toxicity, urls
 from dueward.llm.common import table
 
 
@@ -56,7 +56,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def build() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_suffix_dedup, op2_exact_dedup, op3_decontaminate, op4_url_filters, op5_license_scan, op6_mixing, op7_line_dedup,
-        op8_pii, op9_toxicity, op10_simhash_near_dedup)}
+        op8_pii, op9_toxicity, op10_simhash_near_dedup, op11_spelling_variants, op12_ranked_search, op13_exact_top_k)}

@@ -57,6 +57,47 @@ SELECT doc_id, count(*) AS n_lines, count(g.tidy) AS n_removed,
 FROM t LEFT JOIN g ON t.tidy = g.tidy GROUP BY doc_id
 """
 
+RANKED_SEARCH = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t FROM documents
+), i AS (
+  SELECT row_number() OVER () AS q, item_id, list_distinct(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+), z AS (
+  SELECT count(*) FILTER (len(t) > 0) AS n_docs, sum(len(t))::BIGINT AS n_terms FROM d
+), p AS (
+  SELECT r, doc_id, len(t) AS n, term, count(*) AS tf FROM (SELECT r, doc_id, t, unnest(t) AS term FROM d) GROUP BY ALL
+), f AS (
+  SELECT term, floor(1000 * ln((2::DOUBLE * any_value(n_docs) + 2) / (2::DOUBLE * count(*) + 1)))::BIGINT AS w FROM p, z GROUP BY term
+), s AS (
+  SELECT q, item_id, r, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * n_docs) // n_terms))))::BIGINT AS score
+  FROM (SELECT q, item_id, unnest(t) AS term FROM i) JOIN f USING (term) JOIN p USING (term), z GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0
+)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM k WHERE rank <= 10
+"""
+
+EXACT_TOP_K = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x)), true)
+), c AS (
+  SELECT r, vec_id, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM v
+), s AS (
+  SELECT q.r AS q, q.vec_id AS query_id, c.r, c.vec_id, sum(q.x * c.x)::BIGINT AS score
+  FROM c q JOIN c ON q.j = c.j AND q.r <> c.r WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), k AS (
+  SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM k WHERE rank <= 5
+"""
+
 
 def build() -> dict[str, str]:
-    return {"op2_exact_dedup": EXACT_DEDUP, "op4_url_filters": URL_FILTERS, "op7_line_dedup": LINE_DEDUP}
+    return {"op2_exact_dedup": EXACT_DEDUP, "op4_url_filters": URL_FILTERS, "op7_line_dedup": LINE_DEDUP,
+            "op12_ranked_search": RANKED_SEARCH, "op13_exact_top_k": EXACT_TOP_K}
