@@ -46,10 +46,23 @@ def recent_cutoff(extracted_at: datetime, months: int = 12) -> date:
 
 
 def up_to_latest(typed: DataFrame) -> DataFrame:
-    """Rows no newer than the newest creation time, read first as a one-row scalar."""
-    newest = typed.agg(F.max("created_ts").alias("newest"))
-    bound = newest.first()["newest"]
-    return typed.where(F.col("created_ts") <= F.lit(bound)) if bound is not None else typed.limit(0)
+    """Rows no newer than the newest creation time, which is a scalar subquery of the same plan."""
+    newest = typed.agg(F.max("created_ts")).scalar()
+    return typed.where(F.col("created_ts") <= newest)
+
+
+def up_to_complete_month(months: DataFrame, extracted_at: datetime, newest: DataFrame | None = None) -> DataFrame:
+    """Rows of ``created_month`` no later than the latest complete month; rows without a month go.
+
+    The month before the extraction is the last one that can be complete. ``newest`` is a one-row table whose first
+    column is the newest creation time: months after it hold nothing yet. It becomes a scalar subquery, so stored months
+    are pruned by it without a round trip.
+    """
+    last = F.lit(month_start(latest_complete_month_end(extracted_at)))
+    if newest is None:
+        return months.where(F.col("created_month") <= last)
+    seen = newest.select(F.trunc(F.col(newest.columns[0]), "MM")).scalar()
+    return months.where((F.col("created_month") <= last) & (F.col("created_month") <= seen))
 
 
 def basic_eligibility(typed: DataFrame) -> DataFrame:
@@ -111,8 +124,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def agency_summary(typed: DataFrame, gold: DataFrame | None = None) -> DataFrame:
-    """Coverage, target, chronology and volume per agency."""
-    gold = scope_monthly(typed) if gold is None else gold
+    """Coverage, target, chronology and volume per agency, from the rows themselves."""
+    return agency_totals(scope_monthly(typed) if gold is None else gold, repeated_key_rows(typed, AGENCY))
+
+
+def agency_totals(gold: DataFrame, repeated_rows: DataFrame) -> DataFrame:
+    """The same from the gold table and ``(agency, name, duplicate_unique_key_count)``; agencies absent there have none."""
     sums = gold.groupBy(*AGENCY).agg(
         *[total(c).alias(c) for c in SUMS],
         F.min("first_created_date").alias("first_created_date"),
@@ -120,7 +137,7 @@ def agency_summary(typed: DataFrame, gold: DataFrame | None = None) -> DataFrame
         F.count_distinct("created_month").alias("active_months"),
         F.count_distinct("complaint_type").alias("complaint_type_count"),
     )
-    joined = null_safe_join(sums, repeated_key_rows(typed, AGENCY), AGENCY)
+    joined = null_safe_join(sums, repeated_rows, AGENCY).na.fill({"duplicate_unique_key_count": 0})
     return _with_rates(joined).withColumn(
         "created_date_coverage", ratio(F.col("created_date_present_count"), F.col("total_records")))
 
@@ -569,14 +586,12 @@ def target_population(agencies: DataFrame) -> DataFrame:
     })
 
 
-def scope_diagnostics(typed: DataFrame) -> DataFrame:
-    """Nine counts about the input of scope selection; a NULL and a value conflict."""
-    require_columns(typed.columns, (KEY,) + DIAGNOSTIC_CONFLICT_COLUMNS, "Scope-selection input")
-
+def diagnostic_counters() -> list[Column]:
+    """What the diagnostics count on rows; sums of them over months are the table's."""
     def unreadable(raw: str, ts: str) -> Column:
         return F.count_if(F.col(raw).isNotNull() & (strip(F.col(raw)) != "") & F.col(ts).isNull())
 
-    counts = typed.agg(
+    return [
         F.count(F.lit(1)).alias("total_records"),
         F.count_if(F.col(KEY).isNull()).alias("missing_unique_key_count"),
         unreadable("created_date", "created_ts").alias("created_date_parsing_failure_count"),
@@ -584,16 +599,31 @@ def scope_diagnostics(typed: DataFrame) -> DataFrame:
         unreadable("due_date", "due_ts").alias("due_date_parsing_failure_count"),
         F.count_if(F.col("due_ts") < F.col("created_ts")).alias("invalid_due_sequence_count"),
         F.count_if(F.col("closed_ts") < F.col("created_ts")).alias("invalid_closed_sequence_count"),
-    )
+    ]
+
+
+def diagnostic_hashes() -> dict[str, Column]:
+    """The compared columns as 64-bit values; NULL is a value, so a NULL and a value conflict."""
     times = {"created_date": "created_ts", "closed_date": "closed_ts", "due_date": "due_ts"}
-    prepared = typed.select(KEY, *[
-        (F.coalesce(F.unix_micros(F.col(times[n])), F.lit(-(2**63) + 1)) if n in times else text_hash(n)).alias(n)
+    return {
+        n: F.coalesce(F.unix_micros(F.col(times[n])), F.lit(-(2**63) + 1)) if n in times else text_hash(n)
         for n in DIAGNOSTIC_CONFLICT_COLUMNS
-    ])
+    }
+
+
+def scope_diagnostics(typed: DataFrame) -> DataFrame:
+    """Nine counts about the input of scope selection; a NULL and a value conflict."""
+    require_columns(typed.columns, (KEY,) + DIAGNOSTIC_CONFLICT_COLUMNS, "Scope-selection input")
+    prepared = typed.select(KEY, *[c.alias(n) for n, c in diagnostic_hashes().items()])
     conflict = None
     for n in DIAGNOSTIC_CONFLICT_COLUMNS:
         conflict = differs(n) if conflict is None else conflict | differs(n)
-    keys = repeated_keys(prepared, {"conflicting": conflict}).agg(
+    return diagnostics_of(typed.agg(*diagnostic_counters()), repeated_keys(prepared, {"conflicting": conflict}))
+
+
+def diagnostics_of(counts: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The nine counts from a one-row table of counters and ``(group_rows, conflicting)`` per repeated key."""
+    keys = repeated.agg(
         total(F.col("group_rows") - 1).alias("repeated_rows"),
         F.count_if("conflicting").alias("conflicting_groups"))
     facts = rows_from(counts, [{"metric": c, "value": F.col(c)} for c in counts.columns]).unionByName(

@@ -7,12 +7,16 @@ from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType
 
 from dueward.config import TIMESTAMP_COLUMNS
 from dueward.functions.shape import computed_once
 from dueward.functions.time import month_of, month_start, parse_timestamp
 from dueward.schemas import RAW_COLUMNS, ROW_ID
 
+#: Rows of one stored file: about 128 MB of typed requests.
+ROWS_PER_FILE = 1_000_000
+KEY = "unique_key"
 TYPED = {
     "created_date": "created_ts",
     "closed_date": "closed_ts",
@@ -44,14 +48,36 @@ def with_placeholders(typed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) ->
     return typed.withColumns(absent) if absent else typed
 
 
-def write_silver(raw: DataFrame, path: str) -> None:
-    """Persist the typed form, laid out by creation month for pruning."""
-    silver = typed_requests(raw).withColumn("created_month", month_of(F.col("created_ts")))
-    silver.write.mode("errorifexists").partitionBy("created_month").parquet(path)
+def by_creation_month(raw: DataFrame) -> DataFrame:
+    """The typed form with the month that its stored layout is partitioned by; unreadable creation times have none."""
+    return typed_requests(raw).withColumn("created_month", month_of(F.col("created_ts")))
+
+
+def write_silver(silver: DataFrame, path: str, *, mode: str = "errorifexists", rows_per_file: int = ROWS_PER_FILE,
+                 rows: int | None = None) -> None:
+    """Store :func:`by_creation_month` rows, clustered so that a month has about ``its rows / rows_per_file`` files.
+
+    Rows are dealt by ranges of (month, key hash): a task holds few months, a month few tasks, and a large month is split
+    by its keys. ``overwrite`` replaces the months that occur in ``silver`` and no other. ``rows`` saves the count.
+    """
+    rows = silver.count() if rows is None else rows
+    tasks = max(1, -(-rows // rows_per_file))
+    spread = F.xxhash64(*(c for c in (KEY, ROW_ID) if c in silver.columns))
+    ranged = silver.withColumn("_spread", spread).repartitionByRange(tasks, F.col("created_month"), F.col("_spread"))
+    ranged.sortWithinPartitions("created_month", "_spread").drop("_spread").write.mode(mode).option(
+        "partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file).partitionBy("created_month").parquet(path)
+
+
+def read_by_month(spark: SparkSession, path: str) -> DataFrame:
+    """A table stored by ``created_month``, which is a date also where every row lacks one."""
+    rows = spark.read.parquet(path)
+    if rows.schema["created_month"].dataType == DateType():
+        return rows
+    return rows.withColumn("created_month", F.col("created_month").cast("date"))
 
 
 def read_silver(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return read_by_month(spark, path)
 
 
 def in_months(rows: DataFrame, first: date, last: date) -> DataFrame:

@@ -3,11 +3,8 @@
 import tempfile
 
 from dueward.config import Period, Scope, ScopeLimits, StabilityLimits
-from dueward.operators import scope as scopes
 from dueward.operators.silver import typed_requests
 from dueward.plans.decide import decide_range, selected_scope, write_label
-from dueward.operators.silver import in_months, read_silver
-from dueward.plans.select import SELECTION_TABLES, select_scope, store_silver_and_gold
 from dueward.sources.report_tables import LABEL_TABLES
 
 LIMITS = StabilityLimits(
@@ -32,26 +29,3 @@ def test_range_then_label(spark, requests):
     assert conflicts["conflicting_fields"] == "closed_date"
     assert all(spark.read.parquet(f"{root}/parquet/{name}") is not None for name in LABEL_TABLES)
     assert spark.read.parquet(f"{root}/governed").count() == 6
-
-
-def test_gold_is_stored_once_and_read_by_every_table(spark, requests, tmp_path):
-    raw = requests([{}, {"created_date": "2024-02-05T00:00:00.000"}, {"created_date": "2023-05-05T00:00:00.000"}, {"created_date": "bad"}, {"agency": "DOT"}])
-    at = Scope.of("x", "y", "2024-01-01", "2024-01-02", "2024-06-01").extracted_at
-    silver, gold = store_silver_and_gold(raw, str(tmp_path))
-    assert sorted(map(str, gold.collect())) == sorted(map(str, scopes.scope_monthly(typed_requests(raw)).collect()))
-    span = Period.of("2024-01-01", "2024-02-29")
-    tables = select_scope(spark, str(tmp_path), "DSNY", [span], span, at, ScopeLimits())
-    assert set(tables) == set(SELECTION_TABLES)
-    assert {r["agency"]: r["total_records"] for r in tables["agency_summary"].collect()} == {"DSNY": 4, "DOT": 1}
-    for df in tables.values():
-        assert "silver" not in df._jdf.queryExecution().toString()
-
-
-def test_stored_months_are_pruned(spark, requests, tmp_path):
-    raw = requests([{}, {"created_date": "2024-02-05T00:00:00.000"}, {"created_date": "2023-05-05T00:00:00.000"}])
-    silver, gold = store_silver_and_gold(raw, str(tmp_path), Period.of("2024-01-01", "2024-02-29").start, Period.of("2024-01-01", "2024-02-29").end)
-    assert silver.count() == 3 and sum(r["total_records"] for r in gold.collect()) == 2
-    span = Period.of("2024-02-01", "2024-02-29")
-    pruned = in_months(read_silver(spark, f"{tmp_path}/silver"), span.start, span.end)
-    plan = pruned._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(created_month" in plan and pruned.count() == 1
