@@ -25,9 +25,8 @@ def value_counts(df: DataFrame, columns: Sequence[str] = PROFILE_CATEGORY_COLUMN
     return column_values(df, columns).groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("row_count"))
 
 
-def category_profile(df: DataFrame, rules: ValidationRules = ValidationRules()) -> DataFrame:
+def category_profile(counts: DataFrame, rules: ValidationRules = ValidationRules()) -> DataFrame:
     """Every value of each column with its formatting facts; a limit keeps the most frequent ones of each column."""
-    counts = value_counts(df, rules.category_columns)
     per_column = counts.groupBy("column_name").agg(
         total("row_count").alias("all_rows"), F.count("value").alias("column_distinct_count"))
     kept = counts
@@ -56,7 +55,7 @@ def category_profile(df: DataFrame, rules: ValidationRules = ValidationRules())
     )
 
 
-def variants_of(counts: DataFrame) -> DataFrame:
+def category_variants(counts: DataFrame) -> DataFrame:
     """Spellings that share their comparison form with another one, one row per spelling."""
     value, form = F.col("value"), Window.partitionBy("column_name", "form")
     forms = counts.where(value.isNotNull()).withColumn("form", comparison_form(value)).select(
@@ -83,10 +82,6 @@ def variant_totals(counts: DataFrame) -> DataFrame:
     return forms.agg(F.count(F.lit(1)).alias("groups"), total("row_count").alias("variant_rows"))
 
 
-def category_variants(df: DataFrame, columns: Sequence[str] = PROFILE_CATEGORY_COLUMNS) -> DataFrame:
-    return variants_of(value_counts(df, columns))
-
-
 def status_validation(typed: DataFrame) -> DataFrame:
     """Coverage, chronology and policy per raw status."""
     rules = chronology_conditions()

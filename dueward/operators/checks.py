@@ -7,19 +7,16 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dueward.config import (
-    ALLOWED_STATUSES, DATASET_ID, EXCLUDED_STATUSES, MATERIAL_COLUMNS, SEVERITY_RANK, Scope, ValidationRules,
-)
+from dueward.config import ALLOWED_STATUSES, DATASET_ID, EXCLUDED_STATUSES, SEVERITY_RANK, Scope, ValidationRules
 from dueward.functions.numbers import holds, ratio, total
 from dueward.functions.shape import rows_from
 from dueward.functions.text import comparison_form
 from dueward.operators import geography
-from dueward.operators.categories import value_counts, variant_totals
-from dueward.operators.keyed import KEY, differs, text_hash
-from dueward.operators.profile import (
-    CHRONOLOGY_RULES, chronology_conditions, missing_counters, missing_policy, scope_counters,
-)
-from dueward.operators.silver import TYPED, stored_names, with_placeholders
+from dueward.operators.categories import variant_totals
+from dueward.operators.evidence import Evidence, value_counts
+from dueward.operators.keyed import KEY
+from dueward.operators.profile import CHRONOLOGY_RULES, missing_policy, scope_counters
+from dueward.operators.silver import stored_names
 from dueward.schemas import CHECK_COLUMNS, RAW_COLUMNS
 
 # Check ids, severities and action texts below are fixed values of the report contract.
@@ -140,28 +137,19 @@ def schema_check_table(raw: DataFrame, expected_rows: int, columns: Sequence[str
         stored_names(raw), _key_is_text(raw), F.col("all_rows"), expected_rows, columns, selected or columns))
 
 
-def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, object], *,
+def validation_checks(found: Evidence, scope: Scope, manifest: Mapping[str, object], *,
                       rules: ValidationRules = ValidationRules(), columns: Sequence[str] = RAW_COLUMNS,
                       authority_path: str | None = None, unchanged: bool | None = None,
                       landed_header: Sequence[str] | None = None, stored: Sequence[str] | None = None) -> DataFrame:
-    """The whole check table from three scans.
+    """The whole check table from gathered evidence; no row is read.
 
-    One counts conditions, one groups by key, one groups (column, value) cells. ``stored`` names the columns as the
-    run holds them; absent ones are checked as NULLs.
+    ``stored`` names the columns as the run holds them; absent ones were counted as NULLs.
     ``unchanged`` adds the raw-immutability check once a second fingerprint exists.
     """
     rows = F.col("all_rows")
-    stored = list(stored_names(typed) if stored is None else stored)
-    is_text = KEY in stored and _key_is_text(typed)
-    typed = with_placeholders(typed, columns)
-    one = typed.agg(
-        F.count(F.lit(1)).alias("all_rows"),
-        *[c.alias(f"scope__{n}") for n, c in scope_counters(scope).items()],
-        *[c.alias(n) for n, c in missing_counters(columns, rules.null_like).items()],
-        *[F.count_if(F.col(c).isNotNull() & F.col(TYPED[c]).isNull()).alias(f"ts__{c}")
-          for c in rules.timestamp_columns],
-        *[c.alias(f"geo__{n}") for n, c in geography.counters(rules).items()],
-    )
+    stored = list(stored_names(found.rows) if stored is None else stored)
+    is_text = KEY in stored and _key_is_text(found.rows)
+    one = found.counters
     records = manifest_scope_checks(manifest, scope, rows, authority_path)
     records += schema_checks(stored, is_text, rows, int(manifest["retrieved_row_count"]), columns,
                              manifest.get("selected_source_columns") or columns, landed_header=landed_header)
@@ -197,33 +185,15 @@ def validation_checks(typed: DataFrame, scope: Scope, manifest: Mapping[str, obj
             "unchanged" if unchanged else "changed", "unchanged", F.lit(0) if unchanged else rows, rows,
             "Validation leaves the raw run as it was.",
             "Restore or recreate the immutable raw run before proceeding."))
-    tables = [check_rows(one, records), _key_checks(typed), _value_checks(typed, rules)]
+    tables = [check_rows(one, records), _key_checks(found.keys), _value_checks(value_counts(found.cells, rules.category_columns))]
     result = tables[0]
     for t in tables[1:]:
         result = result.unionByName(t)
     return result.select(*CHECK_COLUMNS)
 
 
-def _key_checks(typed: DataFrame) -> DataFrame:
-    """Duplicate and chronology checks, both of which count keys, from one grouping."""
-    conditions = chronology_conditions()
-    prepared = typed.select(
-        KEY, *[text_hash(c).alias(f"_{c}") for c in MATERIAL_COLUMNS],
-        *[holds(c).cast("int").alias(n) for n, c in conditions.items()])
-    unequal = None
-    for c in MATERIAL_COLUMNS:
-        unequal = differs(f"_{c}") if unequal is None else unequal | differs(f"_{c}")
-    keys = prepared.groupBy(KEY).agg(
-        F.count(F.lit(1)).alias("n"), unequal.alias("conflict"), *[total(n).alias(n) for n in conditions])
-    repeated = F.col(KEY).isNotNull() & (F.col("n") > 1)
-    one = keys.agg(
-        total("n").alias("all_rows"),
-        total(F.when(F.col(KEY).isNull(), F.col("n"))).alias("missing_unique_key_rows"),
-        total(F.when(repeated & ~F.col("conflict"), F.col("n") - 1)).alias("redundant_exact_duplicate_rows"),
-        F.count_if(repeated & F.col("conflict")).alias("conflicting_duplicate_keys"),
-        *[total(n).alias(f"{n}__rows") for n in conditions],
-        # A NULL key is one key here.
-        *[F.count_if(F.col(n) > 0).alias(f"{n}__keys") for n in conditions])
+def _key_checks(one: DataFrame) -> DataFrame:
+    """Duplicate and chronology checks, both of which count keys, from the key totals."""
     rows = F.col("all_rows")
     records = [
         zero_check(f"duplicate.{m}", "duplicate", _title(m), severity, F.col(m), rows,
@@ -242,9 +212,8 @@ def _key_checks(typed: DataFrame) -> DataFrame:
     return check_rows(one, records).where(~(F.col("check_id").isin(optional) & (F.col("status") == "PASS")))
 
 
-def _value_checks(typed: DataFrame, rules: ValidationRules) -> DataFrame:
+def _value_checks(counts: DataFrame) -> DataFrame:
     """Formatting variants and unexpected statuses, from one set of value counts."""
-    counts = value_counts(typed, rules.category_columns)
     known = list(ALLOWED_STATUSES + EXCLUDED_STATUSES)
     is_status = F.col("column_name") == "status"
     unexpected = is_status & ~holds(comparison_form(F.col("value")).isin(known))

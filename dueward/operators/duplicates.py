@@ -34,8 +34,11 @@ def material_facts(raw: DataFrame, columns: Sequence[str] = MATERIAL_COLUMNS, *,
 
 def full_row_duplicates(raw: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Rows in groups equal in every column (NULLs equal), and the groups."""
-    groups = _whole_rows(raw, columns).where("n > 1")
-    return groups.agg(
+    return _repeated_rows(_whole_rows(raw, columns))
+
+
+def _repeated_rows(groups: DataFrame) -> DataFrame:
+    return groups.where("n > 1").agg(
         F.count(F.lit(1)).alias("duplicate_groups"), total("n").alias("duplicate_rows"),
         total(F.col("n") - 1).alias("excess_rows"))
 
@@ -46,31 +49,12 @@ def _whole_rows(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     return raw.select(first.alias("h1"), second.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
 
 
-def duplicate_metrics(raw: DataFrame) -> DataFrame:
-    """Key-level duplicate counts as one row, from a single grouping by key."""
-    hashes = [text_hash(c).alias(c) for c in MATERIAL_COLUMNS]
-    unequal = None
-    for c in MATERIAL_COLUMNS:
-        unequal = differs(c) if unequal is None else unequal | differs(c)
-    keys = raw.select(KEY, *hashes).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), unequal.alias("conflict"))
-    known, repeated = F.col(KEY).isNotNull(), F.col(KEY).isNotNull() & (F.col("n") > 1)
-    conflict = repeated & F.col("conflict")
-    return keys.agg(
-        F.count_if(repeated).alias("duplicate_unique_key_groups"),
-        total(F.when(repeated, F.col("n"))).alias("rows_in_duplicate_key_groups"),
-        total(F.when(repeated & ~F.col("conflict"), F.col("n") - 1)).alias("redundant_exact_duplicate_rows"),
-        F.count_if(conflict).alias("conflicting_duplicate_keys"),
-        total(F.when(conflict, F.col("n"))).alias("rows_in_conflicting_groups"),
-        total(F.when(~known, F.col("n"))).alias("missing_unique_key_rows"),
-    )
-
-
-def duplicate_summary(raw: DataFrame) -> DataFrame:
-    """The seven duplicate metrics."""
-    metrics = duplicate_metrics(raw)
-    whole = full_row_duplicates(raw).select(F.lit("duplicate_full_rows").alias("metric"),
-                                            F.col("duplicate_rows").alias("row_count"))
-    return whole.unionByName(rows_from(metrics, [{"metric": c, "row_count": F.col(c)} for c in metrics.columns]))
+def duplicate_summary(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """The seven duplicate metrics, from the key totals and rows per distinct row."""
+    whole = _repeated_rows(groups).select(F.lit("duplicate_full_rows").alias("metric"), F.col("duplicate_rows").alias("row_count"))
+    metrics = ("duplicate_unique_key_groups", "rows_in_duplicate_key_groups", "redundant_exact_duplicate_rows",
+               "conflicting_duplicate_keys", "rows_in_conflicting_groups", "missing_unique_key_rows")
+    return whole.unionByName(rows_from(keys, [{"metric": c, "row_count": F.col(c)} for c in metrics]))
 
 
 def exact_duplicates(raw: DataFrame) -> DataFrame:
@@ -108,31 +92,19 @@ def conflicting_keys(raw: DataFrame, columns: Sequence[str] = OVERVIEW_CONFLICT_
         F.array_join("fields", ", ").alias("conflicting_fields"))
 
 
-def audit_duplicates(raw: DataFrame) -> DataFrame:
-    """The audit's eight duplicate rows; where a share makes no sense it is NULL."""
-    hashes = [present_hash(c).alias(c) for c in OVERVIEW_CONFLICT_COLUMNS]
-    unequal = None
-    for c in OVERVIEW_CONFLICT_COLUMNS:
-        unequal = differs(c) if unequal is None else unequal | differs(c)
-    keys = raw.select(KEY, *hashes).groupBy(KEY).agg(F.count(F.lit(1)).alias("n"), unequal.alias("conflict"))
-    repeated = F.col(KEY).isNotNull() & (F.col("n") > 1)
-    by_key = keys.agg(
-        total("n").alias("all_rows"),
-        total(F.when(F.col(KEY).isNull(), F.col("n"))).alias("null_unique_key"),
-        F.count_if(repeated).alias("duplicated_unique_key_groups"),
-        total(F.when(repeated, F.col("n"))).alias("rows_in_duplicate_id_groups"),
-        total(F.when(repeated, F.col("n") - 1)).alias("excess_duplicate_id_rows"),
-        F.coalesce(F.max(F.when(repeated, F.col("n"))), F.lit(1)).alias("maximum_records_for_one_unique_key"),
-        F.count_if(repeated & F.col("conflict")).alias("conflicting_duplicate_ids"),
-    )
+def audit_duplicates(keys: DataFrame, groups: DataFrame) -> DataFrame:
+    """The audit's eight duplicate rows, from the key totals and rows per distinct row; senseless shares are NULL."""
+    counts = {
+        "null_unique_key": "missing_unique_key_rows", "duplicated_unique_key_groups": "duplicate_unique_key_groups",
+        "rows_in_duplicate_id_groups": "rows_in_duplicate_key_groups", "excess_duplicate_id_rows": "excess_duplicate_rows",
+        "maximum_records_for_one_unique_key": "most_rows_of_a_key", "conflicting_duplicate_ids": "audit_conflicting_keys",
+    }
     unshared = ("duplicated_unique_key_groups", "maximum_records_for_one_unique_key", "conflicting_duplicate_ids")
-    first = rows_from(by_key, [
-        {"check_name": c, "status": "computed", "affected_count": F.col(c),
-         "affected_percentage": F.lit(None).cast("double") if c in unshared
-         else percentage(F.col(c), F.col("all_rows"))}
-        for c in by_key.columns if c != "all_rows"
+    first = rows_from(keys, [
+        {"check_name": name, "status": "computed", "affected_count": F.col(c),
+         "affected_percentage": F.lit(None).cast("double") if name in unshared else percentage(F.col(c), F.col("all_rows"))}
+        for name, c in counts.items()
     ])
-    groups = _whole_rows(raw, RAW_COLUMNS)
     by_row = groups.agg(
         total("n").alias("all_rows"),
         total(F.when(F.col("n") > 1, F.col("n"))).alias("exact_duplicate_rows"),

@@ -8,14 +8,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dueward.config import TIMESTAMP_COLUMNS, Scope, ValidationRules
-from dueward.functions.numbers import holds, ratio, to_double, total
-from dueward.functions.shape import column_values, evidence, rows_from
+from dueward.functions.numbers import holds, ratio, total
+from dueward.functions.shape import evidence, rows_from
 from dueward.functions.text import is_blank, is_null_like
-from dueward.functions.time import at, is_zoned, iso_text, parse_timestamp
+from dueward.functions.time import at, is_zoned, iso_text
 from dueward.operators.keyed import KEY
 from dueward.operators.roles import role_of
 from dueward.operators.silver import TYPED
-from dueward.schemas import DEFAULT_SEMANTIC_TYPE, RAW_COLUMNS, ROW_ID, SEMANTIC_TYPES
+from dueward.schemas import DEFAULT_SEMANTIC_TYPE, RAW_COLUMNS, ROW_ID, ROW_PLACE, SEMANTIC_TYPES
 
 
 # ---- structure --------------------------------------------------------------
@@ -33,41 +33,37 @@ def schema_table(df: DataFrame, required: Sequence[str] = RAW_COLUMNS,
               "selected_in_metadata boolean, semantic_type string, status string")
 
 
-def column_profile(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+def column_profile(cells: DataFrame, rows: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Counts, distinct values, the first three values and parseability per column.
 
-    Cells are grouped by (column, value) first, so distinct counting needs no
-    row expansion and a dominant value leaves each map task as one buffer.
+    From the distinct cells of ``rows``, which stand under two hashes with the first place of each. Only the texts that
+    are shown are fetched: three rows a column at most, by place.
     """
-    cells = column_values(df, columns, keep=(ROW_ID,)).where(F.col("value").isNotNull())
-    values = cells.groupBy("column_name", "value").agg(
-        F.count(F.lit(1)).alias("n"), F.min(ROW_ID).alias("first_row"))
-    value = F.col("value")
-    readable = (
-        F.when(F.col("column_name").isin(list(TIMESTAMP_COLUMNS)), parse_timestamp(value).isNotNull())
-        .when(F.col("column_name").isin("latitude", "longitude"), to_double(value).isNotNull())
-        .otherwise(True)
-    )
-    counts = values.groupBy("column_name").agg(
-        total("n").alias("non_null_count"),
-        F.count(F.lit(1)).alias("distinct_count"),
-        total(F.when(readable, F.col("n"))).alias("parseable_count"))
-    first = Window.partitionBy("column_name").orderBy("first_row", "value")
-    samples = values.withColumn("place", F.row_number().over(first)).where("place <= 3").groupBy("column_name").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))),
-                                 lambda s: s["value"]), " | ").alias("sample_values"))
-    all_rows = rows_from(df.agg(F.count(F.lit(1)).alias("n")), [
-        {"column_name": c, "row_count": F.col("n"),
-         "raw_dtype": df.schema[c].dataType.simpleString(),
-         "expected_semantic_type": SEMANTIC_TYPES.get(c, DEFAULT_SEMANTIC_TYPE)} for c in columns])
-    joined = all_rows.join(counts, "column_name", "left").join(samples, "column_name", "left").na.fill(
-        {"non_null_count": 0, "distinct_count": 0, "parseable_count": 0, "sample_values": ""})
+    own = cells.where(F.col("column_name").isin(list(columns)))
+    known = F.col("h1").isNotNull()
+    counts = own.groupBy("column_name").agg(
+        total(F.when(known, F.col("n"))).alias("non_null_count"),
+        total(F.when(~known, F.col("n"))).alias("null_count"),
+        F.count_if(known).alias("distinct_count"),
+        total(F.when(known & F.col("readable"), F.col("n"))).alias("parseable_count"))
+    first = Window.partitionBy("column_name").orderBy("first_place", "h1")
+    shown = own.where(known).withColumn("place", F.row_number().over(first)).where("place <= 3").select(
+        "column_name", "h1", "first_place", "place")
+    at = F.col(ROW_PLACE if ROW_PLACE in rows.columns else ROW_ID)
+    fetched = rows.withColumn("_at", at).join(F.broadcast(shown), F.col("_at") == F.col("first_place"))
+    value = F.element_at(F.create_map(*[x for c in columns for x in (F.lit(c), F.col(c).cast("string"))]), F.col("column_name"))
+    texts = fetched.select("column_name", "place", "h1", value.alias("value")).where(F.xxhash64("value") == F.col("h1")).distinct()
+    samples = texts.groupBy("column_name").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("place", "value"))), lambda s: s["value"]), " | ").alias("sample_values"))
+    fixed = rows.sparkSession.createDataFrame(
+        [(c, rows.schema[c].dataType.simpleString(), SEMANTIC_TYPES.get(c, DEFAULT_SEMANTIC_TYPE)) for c in columns],
+        "column_name string, raw_dtype string, expected_semantic_type string")
+    joined = fixed.join(counts, "column_name", "left").join(samples, "column_name", "left").na.fill(
+        {"non_null_count": 0, "null_count": 0, "distinct_count": 0, "parseable_count": 0, "sample_values": ""})
     failures = F.col("non_null_count") - F.col("parseable_count")
     return joined.select(
-        "column_name", "raw_dtype", "non_null_count",
-        (F.col("row_count") - F.col("non_null_count")).alias("null_count"),
-        "distinct_count", "sample_values", "expected_semantic_type", "parseable_count",
-        failures.alias("parse_failure_count"),
+        "column_name", "raw_dtype", "non_null_count", "null_count", "distinct_count", "sample_values", "expected_semantic_type",
+        "parseable_count", failures.alias("parse_failure_count"),
         F.when(failures == 0, "PASS").otherwise("WARN").alias("validation_status"),
     )
 
@@ -143,8 +139,12 @@ def missing_policy(column: str, nulls: Column) -> tuple[Column, Column]:
 
 def missingness(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS,
                 rules: ValidationRules = ValidationRules()) -> DataFrame:
-    one = df.agg(F.count(F.lit(1)).alias("all_rows"),
-                 *[c.alias(n) for n, c in missing_counters(columns, rules.null_like).items()])
+    return missingness_of(df.agg(F.count(F.lit(1)).alias("all_rows"),
+                                 *[c.alias(n) for n, c in missing_counters(columns, rules.null_like).items()]), columns)
+
+
+def missingness_of(one: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """The missing-value table from its counter row."""
     rows = []
     for c in columns:
         nulls = F.col(f"{c}__null")

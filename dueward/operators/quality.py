@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dueward.config import (
@@ -17,7 +17,6 @@ from dueward.functions.shape import rows_from, whole_table
 from dueward.functions.text import fold, has_leading_space, has_trailing_space
 from dueward.functions.time import at
 from dueward.operators.categories import value_counts
-from dueward.operators.duplicates import audit_duplicates
 from dueward.schemas import RAW_COLUMNS
 
 # Requirement groups, severity when a column is absent.
@@ -66,10 +65,10 @@ GEO_SEVERITY = {
 }
 
 
-def column_requirements(df: DataFrame) -> DataFrame:
+def column_requirements(spark: SparkSession, present: Sequence[str]) -> DataFrame:
     """Presence of every required column, from the schema."""
-    rows = [(c, group, c in df.columns, severity) for group, columns, severity in COLUMN_GROUPS for c in columns]
-    return df.sparkSession.createDataFrame(
+    rows = [(c, group, c in present, severity) for group, columns, severity in COLUMN_GROUPS for c in columns]
+    return spark.createDataFrame(
         rows, "column_name string, column_group string, is_present boolean, severity_if_missing string")
 
 
@@ -149,11 +148,8 @@ def geo_conditions(box: BoundingBox = AUDIT_BOX) -> dict[str, Column]:
     }
 
 
-def audit_counters(typed: DataFrame, analysed_at: datetime, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Every conditional count of the audit in one row and one scan.
-
-    A table that uses a few of them prunes the rest.
-    """
+def audit_counts(analysed_at: datetime, columns: Sequence[str] = RAW_COLUMNS) -> dict[str, Column]:
+    """Every conditional count of the audit."""
     groups = {
         "missing": {c: F.col(c).isNull() for c in columns},
         "pattern": missing_pattern_conditions(),
@@ -161,9 +157,12 @@ def audit_counters(typed: DataFrame, analysed_at: datetime, columns: Sequence[st
         "status": status_conditions(),
         "geo": geo_conditions(),
     }
-    return typed.agg(F.count(F.lit(1)).alias("all_rows"), *[
-        F.count_if(holds(cond)).alias(f"{group}__{name}")
-        for group, conds in groups.items() for name, cond in conds.items()])
+    return {f"{group}__{name}": F.count_if(holds(cond)) for group, conds in groups.items() for name, cond in conds.items()}
+
+
+def audit_counters(typed: DataFrame, analysed_at: datetime, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """The counts in one row and one scan; a table that uses a few of them prunes the rest."""
+    return typed.agg(F.count(F.lit(1)).alias("all_rows"), *[c.alias(n) for n, c in audit_counts(analysed_at, columns).items()])
 
 
 def _check_rows(counters: DataFrame, group: str, severities: dict[str, str]) -> DataFrame:
@@ -261,7 +260,10 @@ def categorical_checks(df: DataFrame, columns: Sequence[str] = QUALITY_CATEGORY_
 
 def agency_name_mapping(df: DataFrame) -> DataFrame:
     """Agency codes that carry more than one name, one row per name."""
-    pairs = df.where(F.col("agency").isNotNull()).groupBy("agency", "agency_name").agg(F.count(F.lit(1)).alias("n"))
+    return agency_names_of(df.where(F.col("agency").isNotNull()).groupBy("agency", "agency_name").agg(F.count(F.lit(1)).alias("n")))
+
+
+def agency_names_of(pairs: DataFrame) -> DataFrame:
     code = Window.partitionBy("agency")
     return pairs.select(
         "agency", F.count("agency_name").over(code).alias("agency_name_variant_count"), "agency_name",
@@ -316,30 +318,30 @@ def _failed_checks(audit: DataFrame | None, like: DataFrame) -> DataFrame:
         F.lit(None).cast("double").alias("affected_percentage"))
 
 
-def issue_register(typed: DataFrame, analysed_at: datetime, columns: Sequence[str] = RAW_COLUMNS,
-                   audit: DataFrame | None = None) -> DataFrame:
+def issue_register(counters: DataFrame, duplicates: DataFrame, counts: DataFrame, names: DataFrame, present: Sequence[str],
+                   columns: Sequence[str] = RAW_COLUMNS, audit: DataFrame | None = None) -> DataFrame:
     """Every non-zero or not computable finding, numbered in a fixed order.
 
-    Four scans: counters, (column, value) groups, keys and whole rows.
+    From counted evidence alone: the counter row, the duplicate rows, (column, value, rows) of the category columns and
+    (agency, name, rows). ``present`` names the columns that the source holds.
     """
-    counters = audit_counters(typed, analysed_at, columns)
     fields = ("severity", "category", "check_name", "column_name", "affected_count", "affected_percentage")
     findings = _counter_issues(counters, columns).select(*fields)
     registered = ("null_unique_key", "duplicated_unique_key_groups", "excess_duplicate_id_rows",
                   "conflicting_duplicate_ids", "exact_duplicate_rows")
-    keys = audit_duplicates(typed).where(F.col("check_name").isin(list(registered))).select(
+    keys = duplicates.where(F.col("check_name").isin(list(registered))).select(
         F.when(F.col("check_name") == "exact_duplicate_rows", "warning").otherwise("critical").alias("severity"),
         F.lit("duplicates").alias("category"), "check_name",
         F.when(F.col("check_name").contains("unique_key"), "unique_key").otherwise("").alias("column_name"),
         "affected_count", "affected_percentage")
-    categories = categorical_checks(typed).select(
+    categories = categorical_checks_of(counts).select(
         F.lit("review_required").alias("severity"), F.lit("categorical_quality").alias("category"),
         "check_name", "column_name", "affected_count", "affected_percentage")
-    mapped = agency_name_mapping(typed).agg(total("name_rows").alias("n")).select(
+    mapped = agency_names_of(names).agg(total("name_rows").alias("n")).select(
         F.lit("review_required").alias("severity"), F.lit("categorical_quality").alias("category"),
         F.lit("agency_name_mapping").alias("check_name"), F.lit("agency_name").alias("column_name"),
         F.col("n").alias("affected_count"), F.lit(None).cast("double").alias("affected_percentage"))
-    absent = column_requirements(typed).where(~F.col("is_present")).select(
+    absent = column_requirements(counters.sparkSession, present).where(~F.col("is_present")).select(
         F.col("severity_if_missing").alias("severity"), F.lit("schema_validation").alias("category"),
         F.lit("required_column_missing").alias("check_name"), "column_name",
         F.lit(None).cast("bigint").alias("affected_count"), F.lit(None).cast("double").alias("affected_percentage"))
@@ -353,15 +355,14 @@ def issue_register(typed: DataFrame, analysed_at: datetime, columns: Sequence[st
     ).select("issue_id", *fields)
 
 
-def readiness(typed: DataFrame, analysed_at: datetime, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Six readiness areas, each with a status and the count behind it."""
-    counters = audit_counters(typed, analysed_at, columns)
-    duplicates = audit_duplicates(typed).agg(
+def readiness(counters: DataFrame, duplicates: DataFrame, present: Sequence[str]) -> DataFrame:
+    """Six readiness areas, each with a status and the count behind it, from the counter row and the duplicate rows."""
+    duplicates = duplicates.agg(
         total(F.when(F.col("check_name") == "null_unique_key", F.col("affected_count"))).alias("null_keys"),
         total(F.when(F.col("check_name") == "duplicated_unique_key_groups", F.col("affected_count"))).alias("groups"))
-    core_missing = len(set(CORE_REQUIRED) - set(typed.columns))
-    target_missing = len(set(ESSENTIAL_TARGET) - set(typed.columns))
-    feature_missing = len(set(CANDIDATE_FEATURES) - set(typed.columns))
+    core_missing = len(set(CORE_REQUIRED) - set(present))
+    target_missing = len(set(ESSENTIAL_TARGET) - set(present))
+    feature_missing = len(set(CANDIDATE_FEATURES) - set(present))
     rows = F.col("all_rows")
     empty = sum((F.when(F.col(f"missing__{c}") == rows, 1).otherwise(0) for c in ESSENTIAL_TARGET), F.lit(0))
     bad = [f"chronology__{n}" for n, s in CHRONOLOGY_SEVERITY.items() if s == "critical_for_target"]

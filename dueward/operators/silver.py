@@ -12,7 +12,7 @@ from pyspark.sql.types import DateType
 from dueward.config import TIMESTAMP_COLUMNS
 from dueward.functions.shape import computed_once
 from dueward.functions.time import month_of, month_start, parse_timestamp
-from dueward.schemas import RAW_COLUMNS, ROW_ID
+from dueward.schemas import RAW_COLUMNS, ROW_ID, ROW_PLACE
 
 #: Rows of one stored file: about 128 MB of typed requests.
 ROWS_PER_FILE = 1_000_000
@@ -38,7 +38,7 @@ def typed_requests(raw: DataFrame) -> DataFrame:
 
 def stored_names(df: DataFrame) -> list[str]:
     """The columns a run came with: without its row identity and what was derived here."""
-    return [c for c in df.columns if c not in (*TYPED.values(), ROW_ID, "created_month")]
+    return [c for c in df.columns if c not in (*TYPED.values(), ROW_ID, ROW_PLACE, "created_month")]
 
 
 def with_placeholders(typed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
@@ -88,10 +88,16 @@ def in_months(rows: DataFrame, first: date, last: date) -> DataFrame:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """Name each stored row by file and position, which a re-run reproduces."""
+    """Name each stored row by file and position, which a re-run reproduces, and number it in that order.
+
+    Files count by the number in their name, others by a hash of their path.
+    """
     if ROW_ID in df.columns:
         return df
+    path, at = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    numbered = F.regexp_extract(path, r"part-(\d{1,7})[^/]*$", 1)
+    file_number = F.when(numbered != "", numbered.cast("bigint")).otherwise(F.pmod(F.xxhash64(path), F.lit(1 << 23)))
     return df.select(
-        *df.columns,
-        F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias(ROW_ID),
+        *df.columns, F.concat_ws("#", path, at.cast("string")).alias(ROW_ID),
+        (F.shiftleft(file_number, 40) + at).alias(ROW_PLACE),
     )

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from dueward.config import Scope, ValidationRules
-from dueward.operators import categories, checks, duplicates, geography, profile, readiness
+from dueward.operators import categories, checks, duplicates, evidence, geography, profile, readiness
+from dueward.operators.evidence import Evidence
 from dueward.operators.silver import stored_names, typed_requests, with_placeholders, with_row_id
 from dueward.schemas import RAW_COLUMNS
 from dueward.sources import runs
@@ -21,21 +22,20 @@ class ValidationResult:
     verdict: DataFrame
 
 
-def evidence_tables(typed: DataFrame, scope: Scope, rules: ValidationRules = ValidationRules(),
-                    cube: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Every table but the schema, the checks and the actions; each is a lazy plan over the same typed rows."""
-    cube = readiness.readiness_cube(typed, scope) if cube is None else cube
+def evidence_tables(found: Evidence, scope: Scope, rules: ValidationRules, cube: DataFrame) -> dict[str, DataFrame]:
+    """Every table but the schema, the checks and the actions: counts come from the evidence, lists of rows from the rows."""
+    typed, counts = found.rows, evidence.value_counts(found.cells, rules.category_columns)
     return {
         "scope_validation": profile.scope_validation(typed, scope),
-        "column_profile": profile.column_profile(typed),
-        "missingness_summary": profile.missingness(typed, rules=rules),
+        "column_profile": profile.column_profile(found.cells, typed),
+        "missingness_summary": profile.missingness_of(found.counters),
         "timestamp_validation_summary": profile.timestamp_profile(typed, rules.timestamp_columns),
         "chronology_violations": profile.chronology_violations(typed),
-        "duplicate_summary": duplicates.duplicate_summary(typed),
+        "duplicate_summary": duplicates.duplicate_summary(found.keys, evidence.whole_rows(found.cells)),
         "exact_duplicate_records": duplicates.exact_duplicates(typed),
         "conflicting_duplicate_records": duplicates.conflicting_duplicates(typed),
-        "category_profile": categories.category_profile(typed, rules),
-        "category_variants": categories.category_variants(typed, rules.category_columns),
+        "category_profile": categories.category_profile(counts, rules),
+        "category_variants": categories.category_variants(counts),
         "status_validation": categories.status_validation(typed),
         "geographic_validation": geography.geo_summary(typed, rules),
         "geographic_outliers": geography.geo_outliers(typed, rules),
@@ -59,21 +59,21 @@ def validate(spark: SparkSession, root: str, scope: Scope, report_root: str, *,
         run_id, extraction_date = newest["folder_run_id"], newest["extraction_date"]
     raw, manifest = runs.read_run(spark, root, extraction_date, run_id)
     before = runs.content_fingerprint(raw).first()
-    # Parsed once and stored, so that each table below scans only its typed columns.
-    typed_requests(with_row_id(raw)).write.mode("overwrite").parquet(f"{report_root}/typed")
     names = stored_names(raw)
-    typed = with_placeholders(spark.read.parquet(f"{report_root}/typed"))
     selected = manifest["selected_source_columns"] or RAW_COLUMNS
     observed = Scope.of(scope.agency, scope.complaint_type, scope.start, scope.end,
                         manifest["extraction_completion_utc"], scope.decision_status)
-    readiness.readiness_cube(typed, observed).write.mode("overwrite").parquet(f"{report_root}/readiness_cube")
+    # Parsed once and stored; the write counts every condition, and the tables below read what was gathered.
+    found = evidence.gather(with_placeholders(typed_requests(with_row_id(raw))), report_root, observed, observed.extracted_at, rules,
+                            mode="overwrite")
+    readiness.readiness_cube(found.rows, observed).write.mode("overwrite").parquet(f"{report_root}/readiness_cube")
     cube = spark.read.parquet(f"{report_root}/readiness_cube")
     schema = {"schema_validation": profile.schema_table(raw.select(*names), RAW_COLUMNS, selected)}
-    write_tables(schema | evidence_tables(typed, observed, rules, cube), (), report_root)
+    write_tables(schema | evidence_tables(found, observed, rules, cube), (), report_root)
     unchanged = runs.content_fingerprint(spark.read.parquet(manifest["raw_file_path"])).first() == before
-    found = checks.validation_checks(
-        typed, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged, stored=names)
-    write_tables({"validation_checks": checks.ordered_checks(found)}, (), report_root)
+    checked = checks.validation_checks(
+        found, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged, stored=names)
+    write_tables({"validation_checks": checks.ordered_checks(checked)}, (), report_root)
     stored = spark.read.parquet(f"{report_root}/parquet/validation_checks")
     write_tables({"proposed_cleaning_actions": checks.proposed_actions(stored)}, (), report_root)
     written = {name: spark.read.parquet(f"{report_root}/parquet/{name}") for name in VALIDATION_TABLES}

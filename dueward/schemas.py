@@ -27,6 +27,8 @@ SOURCE_COLUMNS = (
 )
 
 ROW_ID = "source_row_index"
+#: A number that orders rows, where their source gives one.
+ROW_PLACE = "row_place"
 
 
 def text_schema(columns) -> T.StructType:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from dueward.schemas import RAW_COLUMNS, ROW_ID
+from dueward.schemas import RAW_COLUMNS, ROW_ID, ROW_PLACE
 from dueward.session import use_utc
 
 
@@ -36,7 +36,7 @@ def _iso(day):
 
 
 def service_requests(spark: SparkSession, folder: str, partitions: int | None = None) -> DataFrame:
-    """The 18 raw text columns, a stable row identity and the order key.
+    """The 18 raw text columns, a stable row identity, a number in source order and the order key.
 
     The sample files have one row group each, so one task reads them; ``partitions`` deals their rows out for the bench.
 
@@ -113,6 +113,7 @@ def service_requests(spark: SparkSession, folder: str, partitions: int | None =
     return joined.select(
         *[columns[c].alias(c) for c in RAW_COLUMNS],
         row_id.alias(ROW_ID),
+        ((F.col("l_orderkey") * 16 + F.col("l_linenumber")) * 2 + F.col("copy")).alias(ROW_PLACE),
         F.col("l_orderkey").alias("order_key"),
     )
 

@@ -8,17 +8,12 @@ from __future__ import annotations
 
 import re
 
-from dueward.config import (
-    DIAGNOSTIC_CONFLICT_COLUMNS, EXCLUSION_ORDER, MATERIAL_COLUMNS, NULL_LIKE, OVERVIEW_CONFLICT_COLUMNS,
-    PLACEHOLDERS, PROFILE_CATEGORY_COLUMNS, QUALITY_CATEGORY_COLUMNS, TIMESTAMP_COLUMNS,
+from oracle.fixed import (
+    CHRONOLOGY_SEVERITY, COLUMN_GROUPS, DAY_COUNTS, DEFAULT_SEMANTIC_TYPE, DIAGNOSTIC_CONFLICT_COLUMNS, EXCLUSION_ORDER, GEO_METRICS,
+    GEO_SEVERITY, MATERIAL_COLUMNS, NULL_LIKE, OVERVIEW_CONFLICT_COLUMNS, PATTERN_SEVERITY, PLACEHOLDERS, PROFILE_CATEGORY_COLUMNS,
+    QUALITY_CATEGORY_COLUMNS, RAW_COLUMNS, READINESS_RULES, ROLES, RULES, SEMANTIC_TYPES, STATUS_SEVERITY, SUMS, TIMESTAMP_COLUMNS,
+    VIOLATIONS,
 )
-from dueward.operators import profile, quality, temporal
-from dueward.operators.eligibility import RULES
-from dueward.operators.geography import METRICS
-from dueward.operators.readiness import READINESS_RULES
-from dueward.operators.roles import ROLE_POLICY, role_of
-from dueward.operators.scope import SUMS, default_scenarios
-from dueward.schemas import DEFAULT_SEMANTIC_TYPE, RAW_COLUMNS, SEMANTIC_TYPES
 from oracle import settings as S
 
 TS = {"created_date": "created_ts", "closed_date": "closed_ts", "due_date": "due_ts",
@@ -123,7 +118,7 @@ CTES["requests"] = f"""
     p_name AS location_type, o_orderpriority AS open_data_channel_type, o_orderstatus AS resolution_description,
     NULL::VARCHAR AS resolution_action_updated_date,
     l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey || '-' || copy AS source_row_index,
-    l_orderkey AS order_key
+    (l_orderkey * 16 + l_linenumber) * 2 + copy AS row_place, l_orderkey AS order_key
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
     JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
     JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
@@ -253,8 +248,7 @@ AUDIT = {
 # Unreadable coordinates have no position, so the box test needs both numbers.
 AUDIT["geo"]["coordinates_outside_approximate_nyc_box"] = (
     f"{_LAT} IS NOT NULL AND {_LON} IS NOT NULL AND ({AUDIT['geo']['coordinates_outside_approximate_nyc_box']})")
-SEVERITIES = {"pattern": quality.PATTERN_SEVERITY, "chronology": quality.CHRONOLOGY_SEVERITY,
-              "status": quality.STATUS_SEVERITY, "geo": quality.GEO_SEVERITY}
+SEVERITIES = {"pattern": PATTERN_SEVERITY, "chronology": CHRONOLOGY_SEVERITY, "status": STATUS_SEVERITY, "geo": GEO_SEVERITY}
 CTES["audit_totals"] = "SELECT count(*) AS all_rows, " + ", ".join(
     [f"count(*) FILTER (WHERE {c} IS NULL) AS missing__{c}" for c in RAW_COLUMNS]
     + [f"count(*) FILTER (WHERE {cond}) AS {g}__{name}" for g, conds in AUDIT.items() for name, cond in conds.items()]
@@ -427,7 +421,7 @@ CTES["all_period"] = (f"SELECT {text(S.ALL_MONTHS.name)} AS candidate_name, DATE
 
 
 def month_table(periods: str) -> str:
-    sums = ", ".join(f"{n(f'sum({c})')} AS {c}" for c in temporal.COUNTS)
+    sums = ", ".join(f"{n(f'sum({c})')} AS {c}" for c in DAY_COUNTS)
     return f"""
   SELECT *, (due_date_present_count - outcome_mature_count)::BIGINT AS outcome_immature_count,
     {raw_ratio('eligible_records', 'total_records')} AS eligible_rate,
@@ -447,7 +441,7 @@ CTES["months"] = month_table("all_period")
 CTES["period_months"] = month_table("periods")
 CTES["stability"] = f"""
   SELECT candidate_name, start_date, end_date, complete_calendar_years,
-    {", ".join(f"sum({c})::BIGINT AS {c}" for c in temporal.COUNTS)},
+    {", ".join(f"sum({c})::BIGINT AS {c}" for c in DAY_COUNTS)},
     sum(outcome_immature_count)::BIGINT AS outcome_immature_count, sum(on_time_count)::BIGINT AS on_time_count,
     {raw_ratio('sum(eligible_records)', 'sum(total_records)')} AS eligible_rate,
     {raw_ratio('sum(due_date_present_count)', 'sum(total_records)')} AS due_date_coverage,
@@ -529,15 +523,30 @@ def temporal_reason(alias: str = "") -> str:
 
 
 # sensitivity scenarios
-_SCENARIOS = [("", S.SELECTED, L)] + default_scenarios(S.SELECTED, L)
+# One limit differs from the selection's in each: (name, start, candidate rows, type rows, due coverage, closed coverage).
+_SCENARIOS = (
+    ("", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("minimum_candidate_eligible_records_1000", "1997-01-01", 1000, 500, 0.7, 0.8),
+    ("minimum_candidate_eligible_records_2000", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("minimum_candidate_eligible_records_4000", "1997-01-01", 4000, 500, 0.7, 0.8),
+    ("minimum_due_date_coverage_60%", "1997-01-01", 2000, 500, 0.6, 0.8),
+    ("minimum_due_date_coverage_70%", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("minimum_due_date_coverage_80%", "1997-01-01", 2000, 500, 0.8, 0.8),
+    ("minimum_closed_date_coverage_70%", "1997-01-01", 2000, 500, 0.7, 0.7),
+    ("minimum_closed_date_coverage_80%", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("minimum_closed_date_coverage_90%", "1997-01-01", 2000, 500, 0.7, 0.9),
+    ("minimum_complaint_type_eligible_records_250", "1997-01-01", 2000, 250, 0.7, 0.8),
+    ("minimum_complaint_type_eligible_records_500", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("minimum_complaint_type_eligible_records_1250", "1997-01-01", 2000, 1250, 0.7, 0.8),
+    ("start_date_selected_start_date", "1997-01-01", 2000, 500, 0.7, 0.8),
+    ("start_date_one_year_earlier", "1996-01-01", 2000, 500, 0.7, 0.8),
+    ("start_date_one_year_later", "1998-01-01", 2000, 500, 0.7, 0.8),
+)
 CTES["scenarios"] = union(
-    f"SELECT {text(name)} AS scenario_name, DATE '{p.start}' AS start_date, DATE '{p.end}' AS end_date, "
-    f"{p.months} AS expected_months, "
-    + (f"(date_trunc('month', DATE '{p.end}') - INTERVAL 11 MONTH)::DATE" if p.months >= 12 else f"date_trunc('month', DATE '{p.start}')::DATE")
-    + f" AS recent_from, {lim.minimum_candidate_eligible_records} AS min_candidate, "
-    f"{lim.minimum_complaint_type_eligible_records} AS min_type, {lim.minimum_due_date_coverage}::DOUBLE AS min_due, "
-    f"{lim.minimum_closed_date_coverage}::DOUBLE AS min_closed"
-    for name, p, lim in _SCENARIOS)
+    f"SELECT {text(name)} AS scenario_name, DATE '{start}' AS start_date, DATE '1999-12-31' AS end_date, "
+    f"(1999 - year(DATE '{start}') + 1) * 12 AS expected_months, DATE '1999-01-01' AS recent_from, {rows} AS min_candidate, "
+    f"{type_rows} AS min_type, {due}::DOUBLE AS min_due, {closed}::DOUBLE AS min_closed"
+    for name, start, rows, type_rows, due, closed in _SCENARIOS)
 CTES["scenario_rows"] = f"""
   SELECT s.*, g.* FROM scenarios s JOIN gold g ON g.agency = {text(S.AGENCY)}
     AND g.created_month BETWEEN date_trunc('month', s.start_date) AND s.end_date"""
@@ -587,7 +596,17 @@ MANIFEST_RULES = ("required_text_present", "completion_status_known", "page_coun
                   "counts_not_negative", "timestamps_in_utc", "no_secret_keys")
 
 # validation checks: (id, area, severity, affected, optional rows seen)
-_ROLE = {c: role_of(c) for c in RAW_COLUMNS}
+# Actions of the report contract.
+MISSING_ACTIONS = {
+    **{c: "Preserve source nulls unless Step 7 approves a deterministic rule." for c in RAW_COLUMNS},
+    **{c: "Preserve nulls until an explicit Step 7 field policy is approved." for c in RAW_COLUMNS
+       if ROLES[c] in ("POST_CREATION_FIELD", "CONDITIONAL_FEATURE")},
+    **{c: "Preserve complaint; handle the geographic feature as missing." for c in ("latitude", "longitude", "incident_zip")},
+    "closed_date": "Preserve rows and mark target-ineligible; do not impute closure time.",
+    "due_date": "Preserve rows and mark target-ineligible; do not impute due dates.",
+    **{c: "Quarantine affected rows; do not synthesize identifiers or creation time." for c in ("unique_key", "created_date")},
+}
+NOTHING_MISSING = "No missing-value action required."
 
 
 def missing_severity(c: str) -> str:
@@ -595,7 +614,7 @@ def missing_severity(c: str) -> str:
         return "CRITICAL"
     if c == "due_date":
         return "ERROR"
-    if c in ("closed_date", "latitude", "longitude", "incident_zip") or _ROLE[c] in (
+    if c in ("closed_date", "latitude", "longitude", "incident_zip") or ROLES[c] in (
             "POST_CREATION_FIELD", "CONDITIONAL_FEATURE"):
         return "WARNING"
     return "INFO"
@@ -634,11 +653,11 @@ _CHRONOLOGY = {
 
 def _count_check(check_id: str, area: str, severity: str, cond: str) -> str:
     return (f"SELECT {text(check_id)} AS check_id, {text(area)} AS area, {text(severity)} AS severity, "
-            f"count(*) FILTER (WHERE {cond}) AS affected, FALSE AS always_passes FROM typed")
+            f"count(*) FILTER (WHERE {cond}) AS affected, FALSE AS always_passes, NULL AS observed, '0' AS expected FROM typed")
 
 
-def _fixed(check_id: str, area: str, severity: str) -> str:
-    return f"SELECT {text(check_id)}, {text(area)}, {text(severity)}, 0, TRUE"
+def _fixed(check_id: str, area: str, severity: str, seen: str, wanted: str) -> str:
+    return f"SELECT {text(check_id)}, {text(area)}, {text(severity)}, 0, TRUE, {text(seen)}, {text(wanted)}"
 
 
 def _sentinel(c: str) -> str:
@@ -650,37 +669,86 @@ _CHECKS += [_count_check(f"missingness.{c}", "missingness", missing_severity(c),
 _CHECKS += [_count_check(f"null_like.{c}", "category", "WARNING", _sentinel(c)) for c in RAW_COLUMNS]
 _CHECKS += [_count_check(f"timestamp.{c}", "timestamp", "CRITICAL" if c == "created_date" else "ERROR",
                          f"{c} IS NOT NULL AND {TS[c]} IS NULL") for c in TIMESTAMP_COLUMNS]
-_CHECKS += [_count_check(f"geography.{f}.{m}", "geography", sev, _GEO[(f, m)]) for f, m, sev in METRICS if m != "parseable"]
+_CHECKS += [_count_check(f"geography.{f}.{m}", "geography", sev, _GEO[(f, m)]) for f, m, sev in GEO_METRICS if m != "parseable"]
 _CHECKS += [
-    f"SELECT {text('chronology.' + k)}, 'chronology', {text(profile.CHRONOLOGY_RULES[k][0])}, "
-    f"count(DISTINCT unique_key) FILTER (WHERE {v}), FALSE FROM typed" for k, v in _CHRONOLOGY.items()]
-_CHECKS += [_fixed(f"metadata_scope.{k}", "metadata", "CRITICAL") for k in ("agency", "complaint_type", "start_date", "end_date")]
-_CHECKS += [_fixed("metadata.dataset_id", "metadata", "CRITICAL")]
+    f"SELECT {text('chronology.' + k)}, 'chronology', {text(VIOLATIONS[k][0])}, "
+    f"count(DISTINCT unique_key) FILTER (WHERE {v}), FALSE, (count(*) FILTER (WHERE {v}))::VARCHAR, '0' FROM typed" for k, v in _CHRONOLOGY.items()]
+_CHECKS += [_fixed(f"metadata_scope.{k}", "metadata", "CRITICAL", v, v) for k, v in (
+    ("agency", "ASIA"), ("complaint_type", "PROMO"), ("start_date", "1996-01-01"), ("end_date", "1999-12-31"))]
+_CHECKS += [_fixed("metadata.dataset_id", "metadata", "CRITICAL", "erm2-nwe9", "erm2-nwe9")]
+_LISTED = "|".join(RAW_COLUMNS)
 _SCHEMA_CHECKS = [
-    "SELECT 'schema.non_empty' AS check_id, 'schema' AS area, 'CRITICAL' AS severity, 0 AS affected, TRUE AS always_passes",
-    _fixed("schema.unique_column_names", "schema", "CRITICAL"), _fixed("schema.required_columns", "schema", "CRITICAL"),
-    _fixed("schema.metadata_columns", "schema", "CRITICAL"), _fixed("schema.column_order", "schema", "ERROR"),
-    _fixed("schema.unexpected_columns", "schema", "WARNING"),
-    "SELECT 'schema.metadata_row_count', 'schema', 'CRITICAL', abs((SELECT count(*) FROM requests) - (SELECT count(*) FROM lineitem)), FALSE",
-    _fixed("schema.identifier_representation", "schema", "ERROR"),
+    "SELECT 'schema.non_empty' AS check_id, 'schema' AS area, 'CRITICAL' AS severity, 0 AS affected, TRUE AS always_passes, "
+    "(SELECT count(*) FROM requests)::VARCHAR AS observed, '> 0' AS expected",
+    _fixed("schema.unique_column_names", "schema", "CRITICAL", "none", "none"),
+    _fixed("schema.required_columns", "schema", "CRITICAL", "none", "none missing"),
+    _fixed("schema.metadata_columns", "schema", "CRITICAL", _LISTED, _LISTED), _fixed("schema.column_order", "schema", "ERROR", _LISTED, _LISTED),
+    _fixed("schema.unexpected_columns", "schema", "WARNING", "none", "none"),
+    "SELECT 'schema.metadata_row_count', 'schema', 'CRITICAL', abs((SELECT count(*) FROM requests) - (SELECT count(*) FROM lineitem)), FALSE, "
+    "(SELECT count(*) FROM requests)::VARCHAR, (SELECT count(*) FROM lineitem)::VARCHAR",
+    _fixed("schema.identifier_representation", "schema", "ERROR", "string", "string or object preserving source digits"),
 ]
 _CHECKS += _SCHEMA_CHECKS
 _CHECKS += [
-    "SELECT 'duplicate.missing_unique_key_rows', 'duplicate', 'CRITICAL', count(*) FILTER (WHERE unique_key IS NULL), FALSE FROM typed",
-    "SELECT 'duplicate.redundant_exact_duplicate_rows', 'duplicate', 'WARNING', coalesce(sum(group_rows - 1) FILTER (WHERE NOT conflicting), 0), FALSE FROM material_keys",
-    "SELECT 'duplicate.conflicting_duplicate_keys', 'duplicate', 'ERROR', count(*) FILTER (WHERE conflicting), FALSE FROM material_keys",
-    "SELECT 'category.formatting_variants', 'category', 'WARNING', coalesce(sum(row_count), 0), FALSE FROM variants",
+    "SELECT 'duplicate.missing_unique_key_rows', 'duplicate', 'CRITICAL', count(*) FILTER (WHERE unique_key IS NULL), FALSE, NULL, '0' FROM typed",
+    "SELECT 'duplicate.redundant_exact_duplicate_rows', 'duplicate', 'WARNING', coalesce(sum(group_rows - 1) FILTER (WHERE NOT conflicting), 0), FALSE, NULL, '0' FROM material_keys",
+    "SELECT 'duplicate.conflicting_duplicate_keys', 'duplicate', 'ERROR', count(*) FILTER (WHERE conflicting), FALSE, NULL, '0' FROM material_keys",
+    "SELECT 'category.formatting_variants', 'category', 'WARNING', coalesce(sum(row_count), 0), FALSE, count(*)::VARCHAR, '0' FROM variants",
     _count_check("status.unexpected", "status", "ERROR",
                  "coalesce(lower(trim(status)), '') NOT IN ('closed', 'assigned', 'cancelled', 'duplicate', 'open', 'pending', 'started')"),
 ]
+# Names, messages and actions by check, as the report shows them.
+_WORDS = {
+    **{f"scope.{k}": (k.replace("_", " ").title(), "Records match the authoritative scope.",
+                      "Reject or re-ingest the raw run; do not clean across scope boundaries.") for k in _OUTSIDE},
+    **{f"missingness.{c}": (f"Missing {c}", f"Nulls of {c} were measured and kept.", MISSING_ACTIONS[c]) for c in RAW_COLUMNS},
+    **{f"null_like.{c}": (f"Blank or null-like {c}", "Text sentinels are kept apart from nulls.",
+                          "Review and map only approved null-equivalent values in Step 7.") for c in RAW_COLUMNS},
+    **{f"timestamp.{c}": (f"Parseable {c}", "Present timestamps can be read as UTC.",
+                          "Quarantine invalid timestamp rows; do not guess or overwrite values.") for c in TIMESTAMP_COLUMNS},
+    **{f"geography.{f}.{m}": (f"{f} {m}", "Geographic quality was measured, not corrected.",
+                              "Preserve complaint and apply an approved feature-level policy in Step 7.") for f, m, _ in GEO_METRICS},
+    **{f"chronology.{k}": (k.replace("_", " ").title(), "Timestamps follow the governed order.", VIOLATIONS[k][1]) for k in _CHRONOLOGY},
+    **{f"metadata_scope.{k}": (f"Metadata scope {k}", "The manifest agrees with the scope authority.",
+                               "Stop downstream work and create a new governed ingestion run.")
+       for k in ("agency", "complaint_type", "start_date", "end_date")},
+    "metadata.dataset_id": ("Expected dataset ID", "The run comes from the configured dataset.",
+                            "Reject the raw run and re-ingest from the expected dataset."),
+    "schema.non_empty": ("Non-empty dataset", "A raw run holds at least one record.", "Re-run or investigate Step 5 extraction."),
+    "schema.unique_column_names": ("Unique column names", "Raw column names do not repeat.", "Correct the ingestion schema before cleaning."),
+    "schema.required_columns": ("Required source columns", "Every governed source field is stored.",
+                                "Reconcile source schema and ingestion selection."),
+    "schema.metadata_columns": ("Stored columns match metadata", "Stored fields equal the fields the manifest selected.",
+                                "Treat the raw run as inconsistent and re-ingest."),
+    "schema.column_order": ("Column order matches metadata", "Stored order equals the configured order.",
+                            "Preserve configured order during Step 7 reads."),
+    "schema.unexpected_columns": ("Unexpected source columns", "A new source field may mean schema drift.",
+                                  "Review new fields before any cleaning or feature use."),
+    "schema.metadata_row_count": ("Row count matches metadata", "Stored rows reconcile to the manifest.",
+                                  "Reject the inconsistent raw run and re-ingest."),
+    "schema.identifier_representation": ("Identifier represented as string", "Identifiers are stored as text, not as numbers.",
+                                         "Preserve the source identifier as a string in Step 7."),
+    **{f"duplicate.{m}": (m.replace("_", " ").title(), "Duplicates are reported and none is removed.",
+                          "Apply a deterministic approved duplicate rule in Step 7.")
+       for m in ("missing_unique_key_rows", "redundant_exact_duplicate_rows", "conflicting_duplicate_keys")},
+    "category.formatting_variants": ("Formatting variant groups", "Some values differ only in case or whitespace.",
+                                     "Normalize only verified equivalent variants in Step 7."),
+    "status.unexpected": ("Unexpected statuses", "Statuses belong to the allowed or the excluded policy.",
+                          "Obtain a governance decision; do not silently map the status."),
+}
+CTES["check_words"] = union(f"SELECT {text(k)} AS check_id, {text(a)} AS check_name, {text(b)} AS message, {text(c)} AS action_if_found"
+                            for k, (a, b, c) in _WORDS.items())
 _OPTIONAL = ("chronology.closed_present_created_invalid", "chronology.due_present_created_invalid")
 CTES["check_base"] = union(_CHECKS)
 CTES["checks"] = f"""
   SELECT check_id, area, CASE WHEN area = 'missingness' AND affected = 0 THEN 'INFO' ELSE severity END AS severity,
     CASE WHEN always_passes OR affected = 0 THEN 'PASS' WHEN severity IN ('CRITICAL', 'ERROR') THEN 'FAIL'
       WHEN severity = 'WARNING' THEN 'WARN' ELSE 'INFO' END AS status, affected::BIGINT AS affected_rows,
-    {raw_ratio('affected', '(SELECT count(*) FROM requests)')} AS affected_rate
-  FROM check_base WHERE NOT (affected = 0 AND check_id IN {words(_OPTIONAL)})"""
+    {raw_ratio('affected', '(SELECT count(*) FROM requests)')} AS affected_rate, check_name, message,
+    coalesce(observed, affected::VARCHAR) AS observed_value, expected AS expected_value,
+    CASE WHEN affected = 0 AND area = 'missingness' THEN {text(NOTHING_MISSING)}
+      WHEN affected = 0 AND area = 'chronology' THEN 'No chronology action required.' ELSE action_if_found END AS recommended_step_7_action
+  FROM check_base JOIN check_words USING (check_id) WHERE NOT (affected = 0 AND check_id IN {words(_OPTIONAL)})"""
 
 
 def _schema_checks() -> tuple[str, str]:
@@ -776,7 +844,7 @@ def _column_profile() -> str:
             ok = f"{c} IS NOT NULL"
         parts.append(f"""SELECT '{c}' AS column_name, 'string' AS raw_dtype, count({c})::BIGINT AS non_null_count,
           (count(*) - count({c}))::BIGINT AS null_count, count(DISTINCT {c})::BIGINT AS distinct_count,
-          coalesce((SELECT string_agg(v, ' | ' ORDER BY i) FROM (SELECT {c} AS v, min(source_row_index) AS i FROM requests
+          coalesce((SELECT string_agg(v, ' | ' ORDER BY i) FROM (SELECT {c} AS v, min(row_place) AS i FROM requests
             WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY i, v LIMIT 3)), '') AS sample_values,
           '{SEMANTIC_TYPES.get(c, DEFAULT_SEMANTIC_TYPE)}' AS expected_semantic_type, {count_if(ok)} AS parseable_count,
           (count({c}) - {count_if(ok)})::BIGINT AS parse_failure_count,
@@ -785,12 +853,13 @@ def _column_profile() -> str:
 
 
 def _missingness() -> str:
-    return union(f"""SELECT '{c}' AS column_name, '{_ROLE[c]}' AS column_role, count(*)::BIGINT AS row_count,
+    return union(f"""SELECT '{c}' AS column_name, '{ROLES[c]}' AS column_role, count(*)::BIGINT AS row_count,
       count({c})::BIGINT AS non_null_count, (count(*) - count({c}))::BIGINT AS null_count,
       {ratio(f'count(*) - count({c})', 'count(*)')} AS null_rate, {count_if(f"{c} = ''")} AS empty_string_count,
       {count_if(f"{c} <> '' AND trim({c}) = ''")} AS whitespace_only_count,
       {count_if(f"lower(trim({c})) IN {words(NULL_LIKE)}")} AS null_like_string_count,
-      CASE WHEN count(*) = count({c}) THEN 'INFO' ELSE '{missing_severity(c)}' END AS missingness_severity FROM requests"""
+      CASE WHEN count(*) = count({c}) THEN 'INFO' ELSE '{missing_severity(c)}' END AS missingness_severity,
+      CASE WHEN count(*) = count({c}) THEN {text(NOTHING_MISSING)} ELSE {text(MISSING_ACTIONS[c])} END AS recommended_step_7_action FROM requests"""
                  for c in RAW_COLUMNS)
 
 
@@ -897,11 +966,11 @@ def _queries() -> dict[str, str]:
     # source audit
     q["column_requirements"] = union(
         f"SELECT '{c}' AS column_name, '{group}' AS column_group, TRUE AS is_present, '{sev}' AS severity_if_missing, "
-        f"count({c})::BIGINT AS non_null_count FROM requests" for group, columns, sev in quality.COLUMN_GROUPS for c in columns)
+        f"count({c})::BIGINT AS non_null_count FROM requests" for group, columns, sev in COLUMN_GROUPS for c in columns)
     q["missing_values"] = union(
         f"SELECT '{c}' AS column_name, all_rows::BIGINT AS total_rows, (all_rows - missing__{c})::BIGINT AS non_null_count, "
         f"missing__{c}::BIGINT AS missing_count, {pct_null(f'missing__{c}', 'all_rows')} AS missing_percentage, "
-        f"{_level(pct_null(f'missing__{c}', 'all_rows'))} AS missingness_level, {text(quality.column_role_text(c))} AS column_role FROM audit_totals"
+        f"{_level(pct_null(f'missing__{c}', 'all_rows'))} AS missingness_level, {text(', '.join(g for g, columns, _ in COLUMN_GROUPS if c in columns) or 'selected_project_field')} AS column_role FROM audit_totals"
         for c in RAW_COLUMNS)
     q["missing_patterns"] = _check_rows("pattern")
     q["timestamp_consistency"] = _check_rows("chronology")
@@ -953,10 +1022,10 @@ def _queries() -> dict[str, str]:
       severity, category, check_name, column_name, affected_count,
       CASE WHEN has_share THEN {pct_null('affected_count', _ROWS)} END AS affected_percentage
       FROM ({union(issues)}) WHERE affected_count > 0"""
-    ordered = " + ".join(f"chronology__{k}" for k, v in quality.CHRONOLOGY_SEVERITY.items() if v != "informational")
+    ordered = " + ".join(f"chronology__{k}" for k, v in CHRONOLOGY_SEVERITY.items() if v != "informational")
     findings = " + ".join(
-        [f"chronology__{k}" for k, v in quality.CHRONOLOGY_SEVERITY.items() if v == "critical_for_target"]
-        + [f"status__{k}" for k, v in quality.STATUS_SEVERITY.items() if v == "critical_for_target"]
+        [f"chronology__{k}" for k, v in CHRONOLOGY_SEVERITY.items() if v == "critical_for_target"]
+        + [f"status__{k}" for k, v in STATUS_SEVERITY.items() if v == "critical_for_target"]
         + ["missing__closed_date", "missing__due_date"])
     empty = "(missing__closed_date = all_rows)::INT + (missing__due_date = all_rows)::INT"
     repeated = ("(SELECT sum(affected_count) FROM audit_duplicates WHERE check_name IN "
@@ -1041,7 +1110,7 @@ def _queries() -> dict[str, str]:
     q["chronology_violations"] = union(
         f"SELECT unique_key, created_date AS created_date_raw, due_date AS due_date_raw, closed_date AS closed_date_raw, "
         f"resolution_action_updated_date AS resolution_action_updated_date_raw, '{k}' AS violation_type, "
-        f"'{profile.CHRONOLOGY_RULES[k][0]}' AS severity FROM typed WHERE {v}" for k, v in _CHRONOLOGY.items())
+        f"'{VIOLATIONS[k][0]}' AS severity, {text(VIOLATIONS[k][1])} AS recommended_step_7_action FROM typed WHERE {v}" for k, v in _CHRONOLOGY.items())
     q["duplicate_summary"] = _metric_rows([
         ("duplicate_full_rows", "max(coalesce((SELECT sum(n) FROM whole_rows WHERE n > 1), 0))::BIGINT"),
         ("duplicate_unique_key_groups", "count(*)::BIGINT"), ("rows_in_duplicate_key_groups", n("sum(group_rows)")),
@@ -1071,20 +1140,22 @@ def _queries() -> dict[str, str]:
       count(*)::BIGINT AS row_count, {ratio('count(*)', _ROWS)} AS row_share, {ratio('count(due_ts)', 'count(*)')} AS due_date_coverage,
       {ratio('count(closed_ts)', 'count(*)')} AS closed_date_coverage, {ratio('count(created_ts)', 'count(*)')} AS created_date_coverage,
       {count_if('due_ts < created_ts OR closed_ts < created_ts')} AS chronology_violation_count, {policy} AS step_4_policy,
-      {policy} <> 'UNEXPECTED' AS is_expected FROM typed GROUP BY status"""
+      {policy} <> 'UNEXPECTED' AS is_expected, CASE {policy} WHEN 'ALLOWED' THEN 'Preserve; apply governed status normalization only in Step 7.'
+        WHEN 'EXCLUDED' THEN 'Preserve row and keep target-ineligible under Step 4 policy.'
+        ELSE 'Obtain governance decision before mapping or target construction.' END AS recommended_step_7_action FROM typed GROUP BY status"""
     q["geo_summary"] = union(
         f"SELECT '{f}' AS field, '{m}' AS metric, {count_if(_GEO[(f, m)])} AS row_count, {ratio(count_if(_GEO[(f, m)]), 'count(*)')} AS row_rate, "
-        f"'{sev}' AS severity FROM typed" for f, m, sev in METRICS)
+        f"'{sev}' AS severity FROM typed" for f, m, sev in GEO_METRICS)
     q["geo_outliers"] = union(
         f"SELECT unique_key, '{f}' AS field, {f if f != 'coordinate_pair' else chr(39).join(['latitude || ', ',', ' || longitude'])} AS raw_value, "
         f"'{m}' AS issue_type, '{sev}' AS severity FROM typed WHERE {_GEO[(f, m)]}"
-        for f, m, sev in METRICS if m not in ("missing", "parseable"))
+        for f, m, sev in GEO_METRICS if m not in ("missing", "parseable"))
     q["target_readiness"] = union(
         f"SELECT '{x}' AS readiness_rule, {count_if(x)} AS true_count, {count_if(f'NOT {x}')} AS false_count, {count_if(_passes(x))} AS pass_count, "
         f"(count(*) - {count_if(_passes(x))})::BIGINT AS fail_count, {ratio(count_if(_passes(x)), 'count(*)')} AS pass_rate, TRUE AS provisional FROM ready"
         for x in READINESS_RULES)
     q["candidate_exclusions"] = f"SELECT candidate_exclusion_reason, count(*)::BIGINT AS row_count, {ratio('count(*)', _ROWS)} AS row_share FROM ready GROUP BY 1"
-    q["validation_checks"] = f"SELECT check_id, area, severity, status, affected_rows, {r('affected_rate')} AS affected_rate FROM checks"
+    q["validation_checks"] = f"SELECT * REPLACE ({r('affected_rate')} AS affected_rate) FROM checks"
     found = {s: f"count(*) FILTER (WHERE status <> 'PASS' AND severity = '{s.upper()}')" for s in ("critical", "error", "warning", "info")}
     q["validation_verdict"] = f"""SELECT count(*)::BIGINT AS check_count, {", ".join(f"{v}::BIGINT AS {k}_findings" for k, v in found.items())},
       CASE WHEN {found['critical']} > 0 THEN 'CRITICAL' WHEN {found['error']} > 0 THEN 'ERROR' WHEN {found['warning']} > 0 THEN 'WARNING'
@@ -1093,7 +1164,8 @@ def _queries() -> dict[str, str]:
     q["proposed_actions"] = """SELECT check_id AS issue_id, area AS validation_area,
       CASE WHEN area IN ('missingness', 'timestamp') OR check_id LIKE 'null!_like.%' ESCAPE '!' THEN split_part(check_id, '.', -1)
         WHEN area = 'geography' THEN split_part(check_id, '.', 2) WHEN area = 'status' THEN 'status' WHEN area = 'duplicate' THEN 'unique_key'
-        ELSE '' END AS source_column, affected_rows, severity,
+        ELSE '' END AS source_column, affected_rows, severity, message AS issue_description, check_name AS source_rule,
+      recommended_step_7_action AS proposed_action,
       CASE WHEN area IN ('category', 'status') THEN 'GOVERNANCE_REVIEW' ELSE 'STEP_7_RULE' END AS action_type,
       area IN ('category', 'status') AS requires_governance_approval FROM checks WHERE status <> 'PASS' AND affected_rows > 0"""
     # governed label
@@ -1292,10 +1364,10 @@ def _queries() -> dict[str, str]:
     q["key_integrity"] = f"SELECT count(*)::BIGINT AS row_count, {count_if('unique_key IS NULL')} AS null_keys, (count(unique_key) - count(DISTINCT unique_key))::BIGINT AS repeated_rows FROM requests"
     q["manifest_check"] = union(f"SELECT run_id, '{x}' AS rule, {x} AS passed FROM manifests" for x in MANIFEST_RULES)
     q["latest_run"] = f"SELECT run_id, retrieved_row_count::BIGINT AS retrieved_row_count, 'x' AS selected_agency, '2001-07-20T00:00:00+00:00' AS extraction_completion_utc FROM manifests WHERE {' AND '.join(MANIFEST_RULES)} ORDER BY run_id DESC LIMIT 1"
-    audit = {"APPROVED": "SAFE", "CONDITIONAL": "CONDITIONAL"}
+    safety = {"SAFE_FEATURE": "SAFE", "CONDITIONAL_FEATURE": "CONDITIONAL"}
     q["leakage_audit"] = union(
-        f"SELECT '{c}' AS column_name, '{role_of(c)}' AS role, {str(ROLE_POLICY[role_of(c)][2]).upper()} AS allowed_for_baseline, "
-        f"'{audit.get(ROLE_POLICY[role_of(c)][3], 'BLOCKED')}' AS leakage_status, (count(*) - count({c}))::BIGINT AS null_count FROM requests"
+        f"SELECT '{c}' AS column_name, '{ROLES[c]}' AS role, {str(ROLES[c] == 'SAFE_FEATURE').upper()} AS allowed_for_baseline, "
+        f"'{safety.get(ROLES[c], 'BLOCKED')}' AS leakage_status, (count(*) - count({c}))::BIGINT AS null_count FROM requests"
         for c in RAW_COLUMNS)
     return q
 

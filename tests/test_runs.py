@@ -8,8 +8,8 @@ from datetime import datetime, timezone
 import pytest
 
 from dueward.config import Scope
-from dueward.operators import checks, landing_checks
-from dueward.operators.silver import typed_requests
+from dueward.operators import checks, evidence, landing_checks
+from dueward.operators.silver import stored_names, typed_requests, with_placeholders
 from dueward.plans.ingest import ingest
 from dueward.plans.validate import validate
 from dueward.schemas import RAW_COLUMNS, ROW_ID
@@ -134,7 +134,8 @@ def test_schema_checks_see_the_stored_columns(requests, absent, extra, selected,
 def test_a_missing_column_is_a_finding_and_no_crash(requests):
     raw = requests([{}, {}]).drop("due_date", "latitude", "status")
     manifest = {"retrieved_row_count": 2, "selected_source_columns": list(RAW_COLUMNS)}
-    found = {r["check_id"]: r for r in checks.validation_checks(typed_requests(raw), SCOPE, manifest).collect()}
+    found = {r["check_id"]: r for r in checks.validation_checks(
+        evidence.planned(with_placeholders(typed_requests(raw)), SCOPE, SCOPE.extracted_at), SCOPE, manifest, stored=stored_names(raw)).collect()}
     assert found["schema.required_columns"]["status"] == "FAIL" and found["schema.required_columns"]["affected_rows"] == 3
     assert found["missingness.due_date"]["affected_rows"] == 2
 
