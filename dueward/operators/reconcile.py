@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dueward.functions.numbers import holds
 from dueward.functions.shape import rows_from
 from dueward.functions.text import truth
+from dueward.operators.temporal import temporal_rejections
 from dueward.schemas import require_columns
 
 # Compared columns and tolerances.
@@ -91,18 +90,21 @@ def scope_outputs_check(first: DataFrame, second: DataFrame) -> DataFrame:
         for c in needed])
 
 
-def general_rejections(general: DataFrame, temporal_rejected: DataFrame, selected: Sequence[str] = ()) -> DataFrame:
-    """General candidates that were not chosen, with their temporal reasons; each needs exactly one.
+def general_rejections(general: DataFrame, compared: DataFrame) -> DataFrame:
+    """General candidates that the temporal comparison did not choose, with its reasons; each needs exactly one.
 
     A candidate without temporal evidence fails the job.
     """
-    evidence = temporal_rejected.select(
+    evidence = temporal_rejections(compared).select(
+        F.col("start_date").cast("date").alias("start_date"), F.col("end_date").cast("date").alias("end_date"),
+        F.lit(False).alias("chosen"), "decision_status", F.col("rejection_reason").alias("rejection_reasons"))
+    chosen = compared.where(truth(F.col("selected"))).select(
         F.col("start_date").cast("date").alias("start_date"), F.col("end_date").cast("date").alias("end_date"),
-        "decision_status", F.col("rejection_reason").alias("rejection_reasons"))
-    once = evidence.groupBy("start_date", "end_date").agg(
-        F.count(F.lit(1)).alias("n"), F.first("decision_status").alias("decision_status"),
+        F.lit(True).alias("chosen"), "decision_status", F.lit("").alias("rejection_reasons"))
+    once = evidence.unionByName(chosen).groupBy("start_date", "end_date").agg(
+        F.count(F.lit(1)).alias("n"), F.max("chosen").alias("chosen"), F.first("decision_status").alias("decision_status"),
         F.first("rejection_reasons").alias("rejection_reasons"))
-    joined = general.where(~F.col("candidate_name").isin(list(selected))).join(once, ["start_date", "end_date"], "left")
+    joined = general.join(once, ["start_date", "end_date"], "left").where(~holds(F.col("chosen")))
     checked = F.when(F.col("n") == 1, F.col("decision_status")).otherwise(
         F.raise_error(F.lit("A rejected candidate needs exactly one row of temporal evidence.")).cast("string"))
     return joined.select(

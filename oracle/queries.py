@@ -14,7 +14,6 @@ from dueward.operators import (
     categories, checks, duplicates, eligibility, evidence, feasibility, geography, landing_checks, overview, profile,
     quality, readiness, reconcile, roles, scope, temporal,
 )
-from dueward.operators.silver import typed_requests
 from dueward.schemas import RAW_COLUMNS, ROW_ID
 from dueward.session import shared_folder, use_utc
 from dueward.sources import runs, store
@@ -55,10 +54,6 @@ def raw(spark: SparkSession, folder: str) -> DataFrame:
     return _plan("raw", spark, folder, lambda: service_requests(spark, folder, S.SCAN_PARTITIONS))
 
 
-def typed(spark: SparkSession, folder: str) -> DataFrame:
-    return _plan("typed", spark, folder, lambda: typed_requests(raw(spark, folder)))
-
-
 #: Folders of what was stored for (kind, application, input folder).
 _STORED: dict[tuple[str, str, str], str] = {}
 
@@ -79,10 +74,15 @@ def request_store(spark: SparkSession, folder: str) -> str:
     return _stored("store", spark, folder, lambda root: store.refresh(raw(spark, folder).drop("order_key"), root))
 
 
+def typed(spark: SparkSession, folder: str) -> DataFrame:
+    """The typed rows as the store holds them, with the month that prunes its files."""
+    return store.read(spark, request_store(spark, folder), "silver")
+
+
 def evidence_of(spark: SparkSession, folder: str) -> evidence.Evidence:
     """What the checks, the register and the profiles share, gathered once."""
     root = _stored("evidence", spark, folder, lambda root: evidence.gather(
-        typed(spark, folder).drop("order_key"), root, S.SCOPE, S.OBSERVED_AT))
+        typed(spark, folder).drop("created_month"), root, S.SCOPE, S.OBSERVED_AT))
     return evidence.stored(spark, root)
 
 
@@ -117,7 +117,11 @@ def agency_rows(spark, folder) -> DataFrame:
 
 
 def monthly(spark, folder, periods=(S.ALL_MONTHS,)) -> DataFrame:
-    return temporal.monthly_metrics(agency_rows(spark, folder), periods, S.OBSERVED_AT)
+    """Monthly metrics of some ranges, from one stored table of them all."""
+    listed = (S.ALL_MONTHS, *S.PERIODS)
+    root = _stored("monthly", spark, folder, lambda root: temporal.monthly_metrics(
+        agency_rows(spark, folder), listed, S.OBSERVED_AT).write.parquet(root))
+    return spark.read.parquet(root).where(F.col("candidate_name").isin([p.name for p in periods]))
 
 
 def evaluated(spark, folder) -> DataFrame:
@@ -415,9 +419,7 @@ _BUILD: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "decision_status", "decision_reasons", "selected"),
     "temporal_rejections": lambda s, d: temporal.temporal_rejections(compared(s, d)).select(
         "candidate_name", "rejection_reason"),
-    "rejected_candidates": lambda s, d: reconcile.general_rejections(
-        general(s, d).where(F.col("candidate_name") != F.lit(S.PERIODS[5].name)),
-        temporal.temporal_rejections(compared(s, d).withColumn("selected", F.lit(False)))),
+    "rejected_candidates": lambda s, d: reconcile.general_rejections(general(s, d), compared(s, d)),
     "regime_change": lambda s, d: temporal.regime_changes(monthly(s, d), S.ALL_MONTHS.name),
     "descriptor_yearly": lambda s, d: temporal.descriptor_yearly(agency_rows(s, d).where("created_ts is not null")),
     "scope_reconcile": lambda s, d: reconcile.scope_reconcile(general(s, d), compared(s, d), S.AGENCY),

@@ -1301,8 +1301,7 @@ def _queries() -> dict[str, str]:
     q["rejected_candidates"] = f"""SELECT g.candidate_id, candidate_name, {text(S.AGENCY)} AS agency, {day('g.start_date')} || ' to ' || {day('g.end_date')} AS date_range,
       g.complaint_type_count, g.eligible_target_count, {r('g.due_date_coverage')} AS due_date_coverage, {r('g.closed_date_coverage')} AS closed_date_coverage,
       {r('g.missed_target_rate')} AS missed_target_rate, c.decision_status, c.reason AS rejection_reasons, {r('g.scope_score')} AS scope_score
-      FROM general g JOIN (SELECT candidate_name, decision_status, {temporal_reason()} AS reason FROM compared) c USING (candidate_name)
-      WHERE candidate_name <> {text(S.PERIODS[5].name)}"""
+      FROM general g JOIN (SELECT candidate_name, decision_status, {temporal_reason()} AS reason FROM compared WHERE NOT selected) c USING (candidate_name)"""
     q["regime_change"] = f"""SELECT {day('month')} AS month, eligible_records, {r('missed_target_rate')} AS missed_target_rate, {r('step')} AS absolute_target_rate_change,
       {r('due_date_coverage')} AS due_date_coverage, {r('due_step')} AS due_coverage_change, {r('volume_step')} AS eligible_volume_change_rate
       FROM (SELECT *, abs(missed_target_rate - lag(missed_target_rate) OVER w) AS step, due_date_coverage - lag(due_date_coverage) OVER w AS due_step,
