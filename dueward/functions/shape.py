@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,11 @@ def computed_once(df: DataFrame, columns: Mapping[str, Column]) -> DataFrame:
     return df.select(*df.columns, F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
+def one_row(spark: SparkSession, counts: Mapping[str, int | None]) -> DataFrame:
+    """Counts that the driver holds as the one-row table that plans read."""
+    return spark.range(1).select(*[F.lit(v).cast("bigint").alias(k) for k, v in counts.items()])
+
+
 def whole_table():
     """A window over every row, for tables whose row count is fixed by a calendar or a list."""
     return Window.partitionBy()

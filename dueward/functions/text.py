@@ -51,6 +51,11 @@ def has_trailing_space(text: Column) -> Column:
     return text != F.rtrim(text, F.lit(WHITESPACE))
 
 
+def nested_text(text: Column) -> Column:
+    """JSON objects and arrays with their keys in order, so that equal values are equal texts; other text as it is."""
+    return F.when(text.rlike(r"^\s*[\[{]"), F.coalesce(F.to_json(F.try_parse_json(text)), text)).otherwise(text)
+
+
 def joined_reasons(pairs: Iterable[tuple[Column, str]], separator: str = " | ") -> Column:
     """Labels of the conditions that hold, in the given order."""
     labels = [F.when(F.coalesce(cond, F.lit(False)), F.lit(label)) for cond, label in pairs]

@@ -168,7 +168,7 @@ def gather(typed: DataFrame, root: str, scope: Scope, analysed_at: datetime, rul
     spark = typed.sparkSession
     seen = Observation("conditions")
     typed.observe(seen, *counters(scope, analysed_at, rules, columns)).write.mode(mode).parquet(f"{root}/typed")
-    found = seen.get
+    found = seen.get  # one row
     spark.createDataFrame([tuple(found.values())], ", ".join(f"`{n}` long" for n in found)).coalesce(1).write.mode(mode).parquet(
         f"{root}/counters")
     rows = spark.read.parquet(f"{root}/typed")

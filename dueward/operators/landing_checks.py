@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dueward.config import Scope
 from dueward.functions.numbers import holds, total
-from dueward.functions.shape import rows_from
+from dueward.functions.shape import computed_once, rows_from
 from dueward.functions.time import at
 from dueward.operators.keyed import KEY, MISSING
 from dueward.schemas import RAW_COLUMNS
@@ -97,17 +97,50 @@ def page_continuity(landed: DataFrame) -> DataFrame:
         (in_step & (is_last | (succeeded & ~short))).alias("is_continuous"))
 
 
+def key_presence(columns: Sequence[str] = RAW_COLUMNS) -> list[Column]:
+    """Per column, the landed objects that carry its key and those that carry it as an explicit null.
+
+    The record is one variant value; a path that is absent is NULL, one that holds null is a variant null.
+    """
+    found = []
+    for c in columns:
+        at_key = F.try_variant_get(F.col("variant"), f"$['{c}']", "variant")
+        found += [F.count(at_key).alias(f"{c}__keys"), F.count_if(F.is_variant_null(at_key)).alias(f"{c}__nulls")]
+    return found
+
+
+def with_variant(landed: DataFrame) -> DataFrame:
+    """``landed`` with its record as a variant, parsed once a row; NULL where the text is no JSON."""
+    return computed_once(landed, {"variant": F.try_parse_json(F.col("record"))})
+
+
+def column_presence(landed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """Objects per configured column that lack its key, send null, or send a value; one pass."""
+    return presence_of(with_variant(landed).agg(F.count(F.lit(1)).alias("objects"), *key_presence(columns)), columns)
+
+
+def presence_of(one: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """The same from a row of counts that holds ``objects`` and :func:`key_presence`."""
+    return rows_from(one, [
+        {"column_name": c, "objects_without_key": F.col("objects") - F.col(f"{c}__keys"), "explicit_nulls": F.col(f"{c}__nulls"),
+         "objects_with_key": F.col(f"{c}__keys")} for c in columns])
+
+
 def never_present_columns(landed: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Configured columns that no landed object carries, told from explicit nulls by the raw text."""
-    keys = F.json_object_keys("record")
-    one = landed.agg(*[F.count_if(F.array_contains(keys, c)).alias(c) for c in columns])
-    return rows_from(one, [{"column_name": c, "objects_with_key": F.col(c)} for c in columns]).where(
-        "objects_with_key = 0").select("column_name", F.lit("WARN").alias("status"))
+    return never_present_of(column_presence(landed, columns))
+
+
+def never_present_of(presence: DataFrame) -> DataFrame:
+    return presence.where("objects_with_key = 0").select("column_name", F.lit("WARN").alias("status"))
 
 
 def count_reconciliation(raw: DataFrame, preflight: int, postflight: int) -> DataFrame:
     """The two source counts against the rows at hand."""
-    one = raw.agg(F.count(F.lit(1)).alias("retrieved"))
+    return reconciliation_of(raw.agg(F.count(F.lit(1)).alias("retrieved")), preflight, postflight)
+
+
+def reconciliation_of(one: DataFrame, preflight: int, postflight: int) -> DataFrame:
     return one.select(
         F.lit(preflight).cast("bigint").alias("preflight_count"),
         F.lit(postflight).cast("bigint").alias("postflight_count"),
@@ -118,20 +151,31 @@ def count_reconciliation(raw: DataFrame, preflight: int, postflight: int) -> Dat
 
 # ---- one extraction ---------------------------------------------------------
 
-def _column(df: DataFrame, name: str, kind: str = "string") -> Column:
-    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+def gate_counters(scope: Scope, present: Sequence[str]) -> list[Column]:
+    """What the gates count on rows; a column that is not ``present`` counts as NULL."""
+    def known(name: str, kind: str = "string") -> Column:
+        return F.col(name) if name in present else F.lit(None).cast(kind)
+
+    created = known("created_ts", "timestamp")
+    return [
+        F.count(F.lit(1)).alias("n"),
+        F.count_if(~holds(known("agency") == scope.agency)).alias("agency_bad"),
+        F.count_if(~holds(known("complaint_type") == scope.complaint_type)).alias("type_bad"),
+        F.count_if(~holds((created >= at(scope.start)) & (created < at(scope.end_exclusive)))).alias("created_bad"),
+    ]
 
 
 def extraction_gates(typed: DataFrame, scope: Scope, *, expected: int, postflight: int, query_hash: str,
                      columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
     """Eight gates from one scan; any FAIL rejects the extraction."""
-    missing = sorted(set(columns) - set(typed.columns))
-    created = _column(typed, "created_ts", "timestamp")
-    one = typed.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if(~holds(_column(typed, "agency") == scope.agency)).alias("agency_bad"),
-        F.count_if(~holds(_column(typed, "complaint_type") == scope.complaint_type)).alias("type_bad"),
-        F.count_if(~holds((created >= at(scope.start)) & (created < at(scope.end_exclusive)))).alias("created_bad"))
+    return gates_of(typed.agg(*gate_counters(scope, typed.columns)), typed.columns, expected=expected, postflight=postflight,
+                    query_hash=query_hash, columns=columns)
+
+
+def gates_of(one: DataFrame, present: Sequence[str], *, expected: int, postflight: int, query_hash: str,
+             columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """The gates from their counter row."""
+    missing = sorted(set(columns) - set(present))
 
     def gate(name: str, passed, observed, wanted) -> dict[str, object]:
         return {"check_name": name, "status": F.when(passed if isinstance(passed, Column) else F.lit(passed), "PASS")
@@ -149,17 +193,23 @@ def extraction_gates(typed: DataFrame, scope: Scope, *, expected: int, postfligh
     ], {"observed_value": "string", "expected_value": "string"})
 
 
-def extraction_observations(typed: DataFrame) -> DataFrame:
-    """Findings kept for validation: repeats, gaps, chronology and the status vocabulary.
-
-    Keys are counted by grouping; each observed status is a row of its own.
-    """
+def observation_counters() -> list[Column]:
     created = F.col("created_ts")
     wrong = holds(F.col("due_ts") < created) | holds(F.col("closed_ts") < created)
-    counts = typed.agg(
+    return [
         F.count_if(F.col("due_date").isNull()).alias("missing_due_dates"),
         F.count_if(F.col("closed_date").isNull()).alias("missing_closed_dates"),
-        F.count_if(wrong).alias("invalid_timestamp_chronology_rows"))
+        F.count_if(wrong).alias("invalid_timestamp_chronology_rows"),
+    ]
+
+
+def extraction_observations(typed: DataFrame, counts: DataFrame | None = None) -> DataFrame:
+    """Findings kept for validation: repeats, gaps, chronology and the status vocabulary.
+
+    Keys are counted by grouping; each observed status is a row of its own. ``counts`` is the row of counters, if the
+    write of the rows has counted already.
+    """
+    counts = typed.agg(*observation_counters()) if counts is None else counts
     keys = typed.groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).agg(
         total(F.col("n") - 1).alias("duplicate_unique-key_rows"))
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from dueward.config import SAMPLE_ROWS_PER_YEAR, TIMESTAMP_COLUMNS
 from dueward.functions.numbers import ratio, share_pct, total
 from dueward.functions.shape import column_values, rows_from, whole_table
+from dueward.functions.text import nested_text
 from dueward.functions.time import iso_text, month_of
 from dueward.operators.keyed import KEY
 from dueward.operators.silver import TYPED
@@ -91,13 +92,13 @@ def yearly_sample(typed: DataFrame, per_year: int = SAMPLE_ROWS_PER_YEAR) -> Dat
 
 
 def canonical_text(df: DataFrame, column: str) -> Column:
-    """Nested values as JSON text so that they can be counted and compared."""
+    """Nested values as JSON text with keys in order, so that they can be counted and compared."""
     kind = df.schema[column].dataType
-    if isinstance(kind, (T.StructType, T.ArrayType)):
+    if isinstance(kind, T.VariantType):
         return F.to_json(F.col(column))
-    if isinstance(kind, T.MapType):
-        return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.col(column)))))
-    return F.col(column).cast("string")
+    if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
+        return F.to_json(F.to_variant_object(F.col(column)))
+    return nested_text(F.col(column).cast("string"))
 
 
 def sample_columns(sample: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:

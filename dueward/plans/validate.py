@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 
 from dueward.config import Scope, ValidationRules
 from dueward.operators import categories, checks, duplicates, evidence, geography, profile, readiness
@@ -58,19 +58,22 @@ def validate(spark: SparkSession, root: str, scope: Scope, report_root: str, *,
             raise runs.RunUnreadable(f"No successful run exists under {root}")
         run_id, extraction_date = newest["folder_run_id"], newest["extraction_date"]
     raw, manifest = runs.read_run(spark, root, extraction_date, run_id)
-    before = runs.content_fingerprint(raw).first()
+    before, written = runs.listing(spark, manifest["raw_file_path"]), runs.stored_fingerprint(spark, runs.RunPaths(root, extraction_date, run_id))
     names = stored_names(raw)
     selected = manifest["selected_source_columns"] or RAW_COLUMNS
     observed = Scope.of(scope.agency, scope.complaint_type, scope.start, scope.end,
                         manifest["extraction_completion_utc"], scope.decision_status)
     # Parsed once and stored; the write counts every condition, and the tables below read what was gathered.
-    found = evidence.gather(with_placeholders(typed_requests(with_row_id(raw))), report_root, observed, observed.extracted_at, rules,
-                            mode="overwrite")
+    # The same pass takes the fingerprint of the raw rows as they were read.
+    seen = Observation("raw rows")
+    rows = with_placeholders(typed_requests(with_row_id(raw))).observe(seen, *runs.fingerprint_sums(raw.columns))
+    found = evidence.gather(rows, report_root, observed, observed.extracted_at, rules, mode="overwrite")
     readiness.readiness_cube(found.rows, observed).write.mode("overwrite").parquet(f"{report_root}/readiness_cube")
     cube = spark.read.parquet(f"{report_root}/readiness_cube")
     schema = {"schema_validation": profile.schema_table(raw.select(*names), RAW_COLUMNS, selected)}
     write_tables(schema | evidence_tables(found, observed, rules, cube), (), report_root)
-    unchanged = runs.content_fingerprint(spark.read.parquet(manifest["raw_file_path"])).first() == before
+    unchanged = runs.listing(spark, manifest["raw_file_path"]) == before and (
+        written is None or {**seen.get, "columns": raw.columns} == written)
     checked = checks.validation_checks(
         found, observed, manifest, rules=rules, authority_path=authority_path, unchanged=unchanged, stored=names)
     write_tables({"validation_checks": checks.ordered_checks(checked)}, (), report_root)

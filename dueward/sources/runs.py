@@ -12,14 +12,14 @@ from datetime import datetime, timezone
 import json
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 from dueward.config import COMPLETION_STATUSES, DATASET_ID, FORBIDDEN_MANIFEST_KEYS, Scope
 from dueward.functions.numbers import holds
 from dueward.functions.time import is_zoned, iso_text
-from dueward.schemas import MANIFEST_SCHEMA, RAW_COLUMNS, ROW_ID
+from dueward.schemas import MANIFEST_SCHEMA, RAW_COLUMNS, ROW_ID, ROW_PLACE
 
 # Manifest contract.
 REQUIRED_TEXT = (
@@ -251,14 +251,17 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise RunExists(f"The run's folder is taken: {target}") from error
 
 
-def _agree(manifest: dict, columns: Sequence[str], stored: DataFrame) -> None:
-    """The rows read back against what the manifest states; a success manifest must agree in every count."""
+def _agree(manifest: dict, columns: Sequence[str], stored: DataFrame, seen: int) -> None:
+    """The rows read back, the rows the write saw and what the manifest states; a success manifest must agree in every count.
+
+    The count read back comes from the files' footers.
+    """
     if stored.columns != list(columns):
         raise RunUnreadable("Stored columns differ from the columns written.")
     rows = stored.count()
     stated = manifest["retrieved_row_count"]
-    if rows != stated:
-        raise RunUnreadable(f"{rows} rows were stored, the manifest states {stated}.")
+    if not rows == seen == stated:
+        raise RunUnreadable(f"{seen} rows were written, {rows} were stored, the manifest states {stated}.")
     if manifest["completion_status"] == "success" and not rows == sum(manifest["page_row_counts"]) == manifest["expected_source_count"]:
         raise RunUnreadable("A success manifest must agree with the pages and with the source's count.")
 
@@ -266,23 +269,26 @@ def _agree(manifest: dict, columns: Sequence[str], stored: DataFrame) -> None:
 def write_run(raw: DataFrame, manifest_of, query_text: str, paths: RunPaths) -> None:
     """Store a run in a staging folder of its own, read it back, and rename it into place as the last step.
 
-    ``manifest_of`` maps the stored rows to their one-row manifest. A failure removes the staging folder and nothing
+    The write itself counts the rows and takes their fingerprint, which the run keeps. ``manifest_of`` maps the stored rows to their one-row manifest. A failure removes the staging folder and nothing
     else, so two writers with equal paths leave the first run as it was.
     """
     spark = raw.sparkSession
-    columns = [c for c in RAW_COLUMNS if c in raw.columns] + ([ROW_ID] if ROW_ID in raw.columns else [])
+    columns = [c for c in (*RAW_COLUMNS, ROW_ID, ROW_PLACE) if c in raw.columns]
     if exists(spark, paths.folder):
         raise RunExists(f"The run's folder is taken: {paths.folder}")
     staging = f"{paths.root}/_staging/{paths.run_id}-{uuid.uuid4().hex}"
+    seen = Observation("rows")
     try:
-        raw.select(*columns).write.mode("errorifexists").parquet(f"{staging}/data")
+        raw.select(*columns).observe(seen, *fingerprint_sums(columns)).write.mode("errorifexists").parquet(f"{staging}/data")
         stored = spark.read.parquet(f"{staging}/data")
         fs, data = _folder(spark, f"{staging}/data")
         manifest = manifest_of(stored).withColumn(
             "raw_file_size", F.lit(fs.getContentSummary(data).getLength()).cast(MANIFEST_SCHEMA["raw_file_size"].dataType))
-        _agree(manifest.first().asDict(recursive=True), columns, stored)
-        spark.createDataFrame([(query_text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{staging}/query")
         manifest.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", "false").json(f"{staging}/manifest")
+        written = spark.read.schema(MANIFEST_SCHEMA).json(f"{staging}/manifest").first().asDict(recursive=True)
+        _agree(written, columns, stored, seen.get["row_count"])
+        for name, text in (("query", query_text), ("fingerprint", json.dumps({**seen.get, "columns": columns}))):
+            spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(f"{staging}/{name}")
         _move(spark, staging, paths.folder)
     finally:
         fs, p = _folder(spark, staging)
@@ -317,14 +323,29 @@ def file_fingerprint(spark: SparkSession, path: str) -> DataFrame:
         F.bit_xor(F.xxhash64("path", "digest")).alias("combined"))
 
 
-def content_fingerprint(df: DataFrame) -> DataFrame:
-    """Order-free fingerprint of the rows themselves, for runs of any size.
-
-    Sums, unlike exclusive-or, do not cancel for equal rows.
-    """
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in df.columns]
+def fingerprint_sums(columns: Sequence[str]) -> list[Column]:
+    """Row count and two order-free sums of row hashes; sums, unlike exclusive-or, do not cancel for equal rows."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]
     wide = "decimal(38,0)"
-    return df.agg(
+    return [
         F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.xxhash64(*values).cast(wide)).cast("string").alias("h1"),
-        F.sum(F.xxhash64(F.lit(1), *values).cast(wide)).cast("string").alias("h2"))
+        F.coalesce(F.sum(F.xxhash64(*values).cast(wide)), F.lit(0).cast(wide)).cast("string").alias("h1"),
+        F.coalesce(F.sum(F.xxhash64(F.lit(1), *values).cast(wide)), F.lit(0).cast(wide)).cast("string").alias("h2"),
+    ]
+
+
+def content_fingerprint(df: DataFrame) -> DataFrame:
+    """The fingerprint of a table's rows, for runs of any size."""
+    return df.agg(*fingerprint_sums(df.columns))
+
+
+def stored_fingerprint(spark: SparkSession, paths: RunPaths) -> dict | None:
+    """What the run's write observed; NULL for a run of an earlier layout."""
+    path = f"{paths.folder}/fingerprint"
+    return json.loads(spark.read.text(path).first()["value"]) if exists(spark, path) else None
+
+
+def listing(spark: SparkSession, path: str) -> set[tuple[str, int, int]]:
+    """Name, length and modification time of a run's data files: a file cannot change without one of them."""
+    fs, folder = _folder(spark, path)
+    return {(s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(folder)}

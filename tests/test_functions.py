@@ -77,6 +77,6 @@ def test_an_empty_status_set_is_not_the_default():
 def test_an_odd_lot_of_spellings_is_listed_row_by_row(spark):
     counts = spark.createDataFrame([("s", "Open", 3), ("s", "OPEN", 1), ("s", " Open", 2), ("s", "Shut", 9), ("s", None, 4)],
                                    "column_name string, value string, row_count long")
-    found = sorted((r["raw_variant"], r["variant_rows"], r["row_count"], r["raw_variant_count"]) for r in categories.variants_of(counts).collect())
+    found = sorted((r["raw_variant"], r["variant_rows"], r["row_count"], r["raw_variant_count"]) for r in categories.category_variants(counts).collect())
     assert found == [(" Open", 2, 6, 3), ("OPEN", 1, 6, 3), ("Open", 3, 6, 3)]
     assert tuple(categories.variant_totals(counts).first()) == (1, 6)

@@ -6,15 +6,17 @@ import tempfile
 from datetime import datetime, timezone
 
 import pytest
+from pyspark.sql import functions as F
 
 from dueward.config import Scope
+from dueward.functions.text import nested_text
 from dueward.operators import checks, evidence, landing_checks
 from dueward.operators.silver import stored_names, typed_requests, with_placeholders
 from dueward.plans.ingest import ingest
 from dueward.plans.validate import validate
-from dueward.schemas import RAW_COLUMNS, ROW_ID
+from dueward.schemas import RAW_COLUMNS, ROW_ID, ROW_PLACE
 from dueward.sources import runs
-from dueward.sources.landing import read_landed
+from dueward.sources.landing import LandingRejected, read_landed
 from dueward.sources.report_tables import VALIDATION_TABLES, run_audited, write_tables
 from dueward.sources.scope_files import ScopeRejected, approved, read_scope
 from tests.conftest import BASE
@@ -47,7 +49,7 @@ def test_ingest_once_and_only_once(spark):
     raw, manifest = runs.read_run(spark, f"{root}/runs", paths.extraction_date, paths.run_id)
     assert manifest["page_row_counts"] == [2, 1] and manifest["page_count"] == 2
     assert manifest["duplicate_unique_key_count"] == 1 and manifest["unique_key_count"] == 2
-    assert raw.columns == [*RAW_COLUMNS, ROW_ID]
+    assert raw.columns == [*RAW_COLUMNS, ROW_ID, ROW_PLACE]
     assert raw.where("unique_key = '1'").first()["status"] == " Closed "
     with pytest.raises(runs.RunExists):
         ingest(spark, f"{root}/pages", f"{root}/runs", SCOPE, overwrite=True, **kw)
@@ -70,6 +72,69 @@ def test_failed_gate_and_broken_pages_store_nothing(spark):
     assert not [d for d in (os.listdir(f"{root}/runs") if os.path.isdir(f"{root}/runs") else []) if d != "_staging"]
 
 
+def land_lines(folder, number, records, limit=1_000):
+    path = f"{folder}/page_number={number}/offset={(number - 1) * limit}/requested_limit={limit}"
+    os.makedirs(path)
+    with open(f"{path}/page.jsonl", "w") as f:
+        f.writelines(json.dumps(r) + "\n" for r in records)
+
+
+def test_large_pages_are_split_or_rejected(spark, tmp_path):
+    """A gigabyte of an array is turned away by the listing; lines are read in blocks and keep their positions."""
+    land_lines(tmp_path / "lines", 1, [{"unique_key": str(k)} for k in range(4_000)], 5_000)
+    land_lines(tmp_path / "lines", 2, [], 5_000)
+    land(tmp_path / "lines/array", [[{"unique_key": "9"}]], 5_000)
+    os.rename(tmp_path / "lines/array/page_number=1", tmp_path / "lines/page_number=3")
+    os.rename(tmp_path / "lines/page_number=3/offset=0", tmp_path / "lines/page_number=3/offset=10000")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        rows = read_landed(spark, str(tmp_path / "lines"))
+        assert rows.where("page_number = 1").select("record").rdd.getNumPartitions() > 1
+        found = {(r.page_number, r.pos): r.unique_key for r in rows.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found == {**{(1, k): str(k) for k in range(4_000)}, (3, 0): "9"}
+    path = tmp_path / "big/page_number=1/offset=0/requested_limit=10"
+    os.makedirs(path)
+    with open(path / "page.json", "w") as f:
+        f.truncate(1 << 30)
+    with pytest.raises(LandingRejected, match="1073741824 bytes"):
+        read_landed(spark, str(tmp_path / "big"))
+
+
+def test_absent_keys_nulls_and_values_are_told_apart(spark, tmp_path):
+    records = [{"unique_key": "1", "status": None}, {"unique_key": "2", "borough": {"b": 1, "a": [2]}}, {"status": "Open"}]
+    land_lines(tmp_path, 1, records)
+    found = {r.column_name: (r.objects_without_key, r.explicit_nulls, r.objects_with_key)
+             for r in landing_checks.column_presence(read_landed(spark, str(tmp_path))).collect()}
+    assert (found["unique_key"], found["status"], found["borough"], found["agency"]) == ((1, 0, 2), (1, 1, 2), (2, 0, 1), (3, 0, 0))
+    landed = read_landed(spark, str(tmp_path))
+    assert [r.t for r in landed.orderBy("pos").select(nested_text(F.col("borough")).alias("t")).collect()] == [None, '{"a":[2],"b":1}', None]
+
+
+def test_a_changed_run_is_noticed(spark, requests, tmp_path):
+    """Validation reads the raw rows once; rows that differ from those written fail the boundary check."""
+    raw = requests([{}, {}])
+    paths = runs.run_paths(spark, str(tmp_path / "runs"), SCOPE, STARTED)
+    pages = raw.selectExpr("1L AS page_number", "2L AS returned_rows").distinct()
+    runs.write_run(raw, lambda stored: runs.build_manifest(
+        stored, pages, SCOPE, paths, expected=2, started_at=STARTED, completed_at=STARTED, query_hash="h", source="t",
+        authority_path="a", counted_before=STARTED, counted_after=STARTED), "plan", paths)
+    seen = runs.stored_fingerprint(spark, paths)
+    stored = spark.read.parquet(paths.data)
+    assert {k: v for k, v in seen.items() if k != "columns"} == runs.content_fingerprint(stored).first().asDict()
+    changed = stored.withColumn("status", F.lit("Changed"))
+    changed.write.parquet(str(tmp_path / "other"))
+    for name in os.listdir(paths.data):
+        os.unlink(f"{paths.data}/{name}")
+    for name in os.listdir(tmp_path / "other"):
+        os.rename(tmp_path / "other" / name, f"{paths.data}/{name}")
+    result = validate(spark, str(tmp_path / "runs"), SCOPE, str(tmp_path / "reports"))
+    checks = {r["check_id"]: r["status"] for r in result.tables["validation_checks"].collect()}
+    assert checks["boundary.raw_immutable"] == "FAIL" and checks["schema.metadata_row_count"] == "PASS"
+
+
 def test_order_is_checked_across_chunks_and_pages(spark):
     rows = [(p, i, f"2024-01-{d:02d}", str(i)) for p, days in ((1, [1, 2, 4, 3, 5]), (2, [4, 6, 7, 8, 9])) for i, d in enumerate(days)]
     landed = spark.createDataFrame(rows, "page_number long, pos long, created_date string, unique_key string")
