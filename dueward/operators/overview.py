@@ -139,10 +139,14 @@ def table_facts(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFram
     return df.agg(F.count(F.lit(1)).alias("row_count"), F.lit(len(columns)).alias("column_count"))
 
 
-def column_inventory(df: DataFrame, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Position, name and storage type of each column."""
-    rows = [(i, c, df.schema[c].dataType.simpleString()) for i, c in enumerate(columns, 1)]
-    return df.sparkSession.createDataFrame(rows, "column_position int, column_name string, storage_type string")
+def column_inventory(df: DataFrame, counters: DataFrame | None = None, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """Position, name, storage type and filled rows of each column; ``counters`` is an audit's counter row, if there is one."""
+    if counters is None:
+        counters = df.agg(F.count(F.lit(1)).alias("all_rows"), *[F.count_if(F.col(c).isNull()).alias(f"missing__{c}") for c in columns])
+    return rows_from(counters, [
+        {"column_position": i, "column_name": c, "storage_type": df.schema[c].dataType.simpleString(),
+         "non_null_count": F.col("all_rows") - F.col(f"missing__{c}"), "missing_count": F.col(f"missing__{c}")}
+        for i, c in enumerate(columns, 1)])
 
 
 def overview_facts(typed: DataFrame) -> DataFrame:

@@ -211,11 +211,12 @@ def status_category(status: Column) -> Column:
 
 def status_categories(df: DataFrame) -> DataFrame:
     """Observed statuses by category, one row each; values no list names stay visible as unclassified."""
-    observed = df.where(F.col("status").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-    of_category = Window.partitionBy("status_category")
-    return observed.withColumn("status_category", status_category(F.col("status"))).select(
-        "status_category", F.count(F.lit(1)).over(of_category).alias("status_values"),
-        F.sum("n").over(of_category).alias("record_count"), F.col("status").alias("observed_value"), F.col("n").alias("value_count"))
+    observed = df.where(F.col("status").isNotNull()).groupBy("status").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "status_category", status_category(F.col("status")))
+    # Dirty text may make one category hold nearly all values, so totals are summed apart: four rows at most.
+    totals = observed.groupBy("status_category").agg(F.count(F.lit(1)).alias("status_values"), F.sum("n").alias("record_count"))
+    return observed.join(F.broadcast(totals), "status_category").select(
+        "status_category", "status_values", "record_count", F.col("status").alias("observed_value"), F.col("n").alias("value_count"))
 
 
 # ---- categorical audit ------------------------------------------------------

@@ -24,6 +24,4 @@ LIMITS = ScopeLimits(
 )
 SAMPLE_PER_YEAR = 1_000
 PAGE_LIMIT = 2_000
-#: The bench sets this to its number of cores; queries leave the scan as it is.
-SCAN_PARTITIONS: int | None = None
 ORDERS_PER_PAGE = 500

@@ -928,6 +928,12 @@ def _queries() -> dict[str, str]:
     q: dict[str, str] = {}
     # overview
     q["dataset_scope"] = f"SELECT count(*)::BIGINT AS row_count, {iso('min(created_ts)')} AS minimum_created_date, {iso('max(created_ts)')} AS maximum_created_date FROM typed"
+    q["column_inventory"] = union(
+        f"SELECT {i}::BIGINT AS column_position, '{c}' AS column_name, 'string' AS storage_type, count({c})::BIGINT AS non_null_count, "
+        f"(count(*) - count({c}))::BIGINT AS missing_count FROM requests" for i, c in enumerate(RAW_COLUMNS, 1))
+    q["column_presence"] = union(
+        f"SELECT '{c}' AS column_name, (count(*) - count({c}))::BIGINT AS objects_without_key, 0::BIGINT AS explicit_nulls, "
+        f"count({c})::BIGINT AS objects_with_key FROM landed" for c in RAW_COLUMNS)
     q["table_facts"] = "SELECT count(*)::BIGINT AS row_count, 18::BIGINT AS column_count FROM requests"
     for name, columns in {
         "agency": ("agency", "agency_name"), "type": ("complaint_type",), "descriptor": ("descriptor",),
@@ -1068,9 +1074,10 @@ def _queries() -> dict[str, str]:
     for key in ("complaint_type", "status", "agency"):
         q[f"coverage_by_{key}"] = _coverage(key, key)
     q["coverage_by_created_year"] = _coverage("year(created_ts)::BIGINT", "created_year")
-    q["coverage_headline"] = f"""SELECT count(*)::BIGINT AS group_count, {count_if('due_date_count > 0')} AS groups_with_due_dates,
-      {count_if('target_eligible_count > 0')} AS groups_with_eligible_records, max(due_date_coverage_pct) AS maximum_due_date_coverage_pct
-      FROM ({_coverage('complaint_type', 'complaint_type')})"""
+    for suffix, key, name in (("", "complaint_type", "complaint_type"), ("_status", "status", "status"), ("_year", "year(created_ts)::BIGINT", "created_year")):
+        q[f"coverage_headline{suffix}"] = f"""SELECT count(*)::BIGINT AS group_count, {count_if('due_date_count > 0')} AS groups_with_due_dates,
+          {count_if('target_eligible_count > 0')} AS groups_with_eligible_records, max(due_date_coverage_pct) AS maximum_due_date_coverage_pct
+          FROM ({_coverage(key, name)})"""
     q["timestamp_checks"] = union(
         f"SELECT '{name}' AS check_name, {count_if(pair)} AS evaluable_row_count, {count_if(hit)} AS matching_or_violation_count, "
         f"{pct_null(count_if(hit), count_if(pair))} AS percentage_of_evaluable_rows, "

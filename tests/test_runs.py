@@ -256,11 +256,13 @@ def test_scope_authority(spark):
         approved(Scope.of("a", "b", "2024-01-01", "2024-01-02", "2024-01-01", "REJECTED"))
 
 
-def test_failed_checks_are_logged_as_unknown(spark, requests):
+def test_failed_checks_are_logged_as_unknown(spark, requests, tmp_path):
     def broken():
         raise RuntimeError("no result")
-    results, audit = run_audited(spark, {"fine": ("x", lambda: requests([{}])), "broken": ("x", broken)})
+    root = str(tmp_path)
+    results, audit = run_audited(
+        spark, {"fine": ("x", lambda: requests([{}, {}])), "broken": ("x", broken)}, root, orders={"fine": ("unique_key",)})
     log = {r["query_name"]: (r["status"], r["row_count"]) for r in audit.collect()}
-    assert log == {"fine": ("computed", 1), "broken": ("not_computable", None)} and list(results) == ["fine"]
+    assert log == {"fine": ("computed", 2), "broken": ("not_computable", None)} and list(results) == ["fine"]
     with pytest.raises(ValueError, match="missing"):
         write_tables({}, ("a",), "/tmp/never-written")
