@@ -37,11 +37,14 @@ SEED = 20_250
 SMALL_SOURCES = 100_000
 
 
-def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source") -> DataFrame:
-    return documents_of(docs, id_column, text_column, source_column).select(
+def sizes(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+          row_column: str | None = None) -> DataFrame:
+    """A row per document; ``row_column`` names the rows, else they are numbered here. It has no part in what is drawn."""
+    return docs.select(
         F.col(id_column).alias("doc"), F.col(source_column).cast("string").alias("source"),
         F.regexp_count(text_or_empty(text_column), F.lit(WORD)).cast("long").alias("size"),
-        F.xxhash64(id_column, text_column).alias("draw"), F.monotonically_increasing_id().alias("row"))
+        F.xxhash64(id_column, text_column).alias("draw"),
+        (F.col(row_column).cast("long") if row_column else F.monotonically_increasing_id()).alias("row"))
 
 
 def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float = TOTAL, most: int = MOST) -> DataFrame:
@@ -132,15 +135,16 @@ def mixture(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, total: float =
         F.xxhash64("place", "pass", F.lit(SEED + 1)).alias("position")), found
 
 
-def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options: float) -> DataFrame:
-    """``(id, size, source_size, target, taken, n_blocks, shards)``, one row per row of ``docs``."""
-    rows = stored(sizes(docs, id_column, text_column, source_column))
+def mixed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
+          row_column: str | None = None, **options: float) -> DataFrame:
+    """``(id, size, source_size, target, taken, n_blocks, shards)``, one row per row of ``docs``; its ``row_column`` comes first."""
+    rows = stored(sizes(docs, id_column, text_column, source_column, row_column))
     draws, found = mixture(rows, **options)
     taken = draws.groupBy("row").agg(
         F.sum("words").alias("taken"), F.count("*").alias("n_blocks"), F.array_sort(F.collect_set("shard")).alias("shards"))
     named = found.withColumnRenamed("source", "s")
     return rows.join(taken, "row", "left").join(named, F.col("source").eqNullSafe(F.col("s"))).select(
-        F.col("doc").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
+        *([F.col("row").alias(row_column)] if row_column else []), F.col("doc").alias(id_column), "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"),
         F.coalesce("n_blocks", F.lit(0).cast("long")).alias("n_blocks"), F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 

@@ -68,3 +68,28 @@ def test_run_equals_the_stages_and_empty_tables_pass(spark, corpus, tmp_path):
     for name in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{folder}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_rows_are_decided_one_by_one(spark, tmp_path):
+    """Rows without an id, and rows that share one, have results of their own."""
+    schema = "doc_id long, text string, lang string, source string"
+    words = lambda k, n: " ".join(f"w{(k * 31 + j * j) % 97}x{k}" for j in range(n))
+    rows = [(None, f"{words(1, 30)} {QUESTION}"), (None, words(2, 40)), (7, f"{words(3, 30)} {QUESTION}"), (7, words(4, 11)), (7, words(5, 23)),
+            (9, words(6, 12)), (8, words(6, 12)), (None, words(6, 12)), (None, words(2, 40)), (11, None)]
+    spark.createDataFrame([(i, t, "en", f"s{k % 2}") for k, (i, t) in enumerate(rows)], schema).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, QUESTION)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: sorted((str(r.doc_id), str(r.text)) for r in df.collect())
+    want = lambda kept: sorted((str(rows[k][0]), str(rows[k][1])) for k in kept)
+    folder = str(tmp_path)
+    assert texts(corpus_pipeline.exact_dedup(spark, docs, folder)) == want((0, 1, 2, 3, 4, 6, 9))
+    assert texts(corpus_pipeline.near_dedup(spark, docs, folder)) == want((0, 1, 2, 3, 4, 6, 9))
+    assert texts(corpus_pipeline.drop_contaminated(spark, docs, folder)) == want((1, 3, 4, 5, 6, 7, 8, 9))
+    mixed = corpus_pipeline.mix(spark, docs, folder).collect()
+    assert len(mixed) == len(rows) and all(r["size"] == len((r.text or "").split()) and r.taken <= 2 * r["size"] for r in mixed)
+    for source in ("s0", "s1"):
+        own = [r for r in mixed if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and sum(r["size"] for r in own) == own[0].source_size
+    again = corpus_pipeline.mix(spark, stored(docs.repartition(3)), folder).collect()
+    key = lambda r: (str(r.doc_id), str(r.text), r.source, r.taken)
+    assert sorted(map(key, again)) == sorted(map(key, mixed))
