@@ -7,9 +7,9 @@ alignments whose slots agree count: within one shift of the item against the doc
 stands for the same value of the document, otherwise the match is chance. So a page may hold an item several times, with
 other values each time. A pair is re-parameterised if its verbatim alignments alone are not enough.
 
-Only built-in functions run. Every window of every whole text is looked up. The distinct window hashes of the benchmark
-are broadcast when their counted number is at most ``BROADCAST_WINDOWS`` (8 bytes each); beyond that the same join is
-left to a shuffle by hash. Only matched windows are carried on, so a passage that a third of all documents share costs a
+Only built-in functions run. Every window of every whole text is looked up. The distinct window hashes of the benchmark (8
+bytes each) and its windows are each broadcast when their own counted number is at most ``BROADCAST_WINDOWS``; beyond that
+the same join is left to a shuffle by hash. Only matched windows are carried on, so a passage that a third of all documents share costs a
 few rows for each of them.
 
 Windows with fewer than ``MIN_LITERALS`` other tokens than slots would match by chance as templates; they are matched with
@@ -104,9 +104,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, ru
     own_windows = W.partitionBy("item_key")
     asked = asked.withColumn("item_windows", F.count("*").over(own_windows)).withColumn(
         "item_templates", F.count_if(~F.col("exact")).over(own_windows))
-    hashes = asked.select("hash").distinct()
-    if hashes.count() <= BROADCAST_WINDOWS:
-        hashes, asked = F.broadcast(hashes), F.broadcast(asked)
+    asked = stored(asked)
+    # Both sides by their own rows: many items of one template have few hashes but many windows.
+    windows, hashes = asked.count(), asked.select("hash").distinct()
+    if windows <= BROADCAST_WINDOWS:
+        asked = F.broadcast(asked)
+    if windows <= BROADCAST_WINDOWS or hashes.count() <= BROADCAST_WINDOWS:
+        hashes = F.broadcast(hashes)
     texts = documents_of(docs, id_column, text_column).select(
         F.col(id_column).alias("doc"), F.xxhash64(id_column, text_column).alias("doc_key"), tokens(text_or_empty(text_column)).alias("tokens"))
     seen = _windows(texts, sizes).drop("exact").join(hashes, "hash", "left_semi")
