@@ -5,6 +5,11 @@ Over the whole corpus, ``p(entity | term) = texts with both / texts with the ter
 information ``log2(p(entity | term) / p(entity))`` estimate how strongly a term discloses an entity. A term that
 exceeds both thresholds, seen with the entity in enough different texts, becomes a span of kind ``term`` wherever it
 stands, in every text, with or without the entity; base spans stay as they are, and words that touch one belong to it.
+Protected are the values themselves and their parts, which many values share: the domain and the name of an address, the
+network of an IP address, the issuer of a card, the area of a phone number. A term may meet the thresholds of a frequent
+part by chance, so for parts its texts must also be unlikely enough under the part's own frequency: the Chernoff bound of
+their number, times the pairs of terms and parts that could be tried, must stay below ``FALSE_ALARMS``.
+
 ``sanitised`` generalises terms that carry digits or a capital letter and removes the others.
 
 Only built-in functions run. Terms and entities count as together anywhere in a text. All counts are over different
@@ -19,6 +24,8 @@ of a text count once as evidence. Extra columns are ignored; an empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +47,8 @@ MASKED_TERM = rf"[\p{{L}}\p{{N}}{COVERED}]+"
 MIN_TEXTS = 2
 MIN_SHARE = 0.5
 MIN_BITS = 3.0
+#: Terms that may be taken for disclosing a part by chance, in the whole corpus.
+FALSE_ALARMS = 0.01
 BROADCAST_ROWS = 1_000_000
 
 
@@ -102,6 +111,31 @@ def _base(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _protected(base: Column) -> Column:
+    """Array of (e, part): hashes of the values of a row's base spans, and of the parts that other values may share."""
+    def of_span(s: Column) -> Column:
+        value = F.substring_index(s["entity"], ":", -1)
+        net = F.concat_ws(".", F.slice(F.split(value, r"\."), 1, 2))
+        parts = F.when(s["kind"] == "email", F.array(F.concat(F.lit("domain:"), F.substring_index(value, "@", -1)),
+                                                     F.concat(F.lit("name:"), F.regexp_replace(F.substring_index(value, "@", 1), "[0-9._%+-]+", "")))
+                       ).when(s["kind"] == "ip", F.array(F.concat(F.lit("net:"), net))
+                       ).when(s["kind"] == "card", F.array(F.concat(F.lit("issuer:"), F.substring(value, 1, 6)))
+                       ).otherwise(F.array(F.concat(F.lit("area:"), F.substring(value, 1, 4))))
+        named = F.filter(parts, lambda p: p != "name:")
+        whole = F.array(F.struct(F.xxhash64(s["entity"]).alias("e"), F.lit(False).alias("part")))
+        return F.concat(whole, F.transform(named, lambda p: F.struct(F.xxhash64(p).alias("e"), F.lit(True).alias("part"))))
+
+    return F.array_distinct(F.flatten(F.transform(base, of_span)))
+
+
+def _evidence(with_both: Column, with_term: Column, with_entity: Column, count: int) -> Column:
+    """How unlikely it is, in nats, that so many of a term's texts have the entity by chance (Chernoff's bound)."""
+    share, chance = with_both / with_term, with_entity / F.lit(float(count))
+    there = share * F.ln(share / chance)
+    without = F.when(share < 1, (1 - share) * F.ln((1 - share) / (1 - chance))).otherwise(0.0)
+    return with_term * F.when(share > chance, there + without).otherwise(0.0)
+
+
 def _masked(text: Column, base: Column) -> Column:
     """The text, as long as before, with ``COVERED`` for the letters and digits of its base spans."""
     text = F.translate(text, COVERED, " ")
@@ -164,7 +198,7 @@ def _term_texts(texts: DataFrame, copies: DataFrame) -> DataFrame:
 
 
 def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_texts: int = MIN_TEXTS,
-                  min_share: float = MIN_SHARE, min_bits: float = MIN_BITS) -> DataFrame:
+                  min_share: float = MIN_SHARE, min_bits: float = MIN_BITS, false_alarms: float = FALSE_ALARMS) -> DataFrame:
     """``(id, row_key, base, terms)``: arrays of spans (start, rank, end, kind, entity), both in code points."""
     key = F.struct(F.xxhash64(id_column, "text").alias("a"), F.hash(id_column, "text").alias("b")).alias("row_key")
     texts = documents_of(docs, id_column, text_column).select(F.col(id_column), text_or_empty(text_column).alias("text"))
@@ -176,26 +210,28 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     contents = stored(rows.groupBy("content").agg(F.count("*").alias("n")))
     count = contents.count()
     copies = _small(contents.where("n > 1").select("content"))
-    entities = F.array_distinct(F.transform("base", lambda b: F.xxhash64(b["entity"])))
-    telling = stored(rows.where(F.size("base") > 0).select("content", entities.alias("entities"), "bare").dropDuplicates(["content"]))
+    telling = stored(rows.where(F.size("base") > 0).select("content", _protected(F.col("base")).alias("entities"), "bare").dropDuplicates(["content"]))
     bits = lambda share: F.log2(share * count / F.col("with_entity"))
     # No share is above 1, and none above with_entity / with_term: what misses a threshold even so leaves before the pairs are made.
     with_entity = (
-        telling.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("with_entity"))
+        telling.select(F.inline("entities")).groupBy("e", "part").agg(F.count("*").alias("with_entity"))
         .where((F.col("with_entity") >= min_texts) & (bits(F.lit(1.0)) >= min_bits)))
     held = stored(
-        telling.select("content", F.explode("entities").alias("e")).join(with_entity, "e")
-        .groupBy("content").agg(F.collect_list(F.struct("e", "with_entity")).alias("held"), F.max("with_entity").alias("most")))
+        telling.select("content", F.inline("entities")).join(with_entity, ["e", "part"])
+        .groupBy("content").agg(F.collect_list(F.struct("e", "part", "with_entity")).alias("held"), F.max("with_entity").alias("most")))
     most = held.agg(F.max("most")).first()[0] or 0
-    with_term = _term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share))
+    with_term = stored(_term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share)))
+    tried = with_term.count() * held.select(F.explode("held.e").alias("e")).distinct().count()
+    limit = math.log(max(tried, 1) / false_alarms)
     bare = telling.join(held.select("content"), "content", "left_semi").select("content", F.explode("bare").alias("t")).join(with_term, "t")
     both = (
         bare.join(held.where("most > 0"), "content").where(F.col("most") / F.col("with_term") >= min_share)
-        .select("t", "with_term", F.explode("held").alias("h")).select("t", "with_term", "h.e", "h.with_entity")
+        .select("t", "with_term", F.explode("held").alias("h")).select("t", "with_term", "h.e", "h.part", "h.with_entity")
         .where(F.col("with_entity") / F.col("with_term") >= min_share)
-        .groupBy("e", "t", "with_entity", "with_term").agg(F.count("*").alias("with_both")).where(F.col("with_both") >= min_texts))
+        .groupBy("e", "part", "t", "with_entity", "with_term").agg(F.count("*").alias("with_both")).where(F.col("with_both") >= min_texts))
     share = F.col("with_both") / F.col("with_term")
-    disclosing = stored(both.where((share >= min_share) & (bits(share) >= min_bits)).select("t").distinct())
+    sure = ~F.col("part") | (_evidence(F.col("with_both"), F.col("with_term"), F.col("with_entity"), max(count, 1)) >= limit)
+    disclosing = stored(both.where((share >= min_share) & (bits(share) >= min_bits) & sure).select("t").distinct())
     hits = stored(
         texts.select(key, F.explode(_terms(F.col("text"))).alias("t")).join(_small(disclosing), "t")
         .groupBy("row_key").agg(F.collect_set("t").alias("wanted")))
