@@ -244,10 +244,11 @@ def test_lists_are_not_read_to_their_ends(spark):
     v[:40] *= 3
     places = np.argsort(-v.T, axis=1, kind="stable")
     shard = nearest.Shard(list(range(4_000)), np.arange(4_000), places.ravel(), np.take_along_axis(v.T, places, 1).ravel(), 16)
+    queries, none = v[:20], np.full(20, -np.inf)
+    got = shard.top(queries, np.arange(20), none, 5)
     for k in range(20):
-        got = shard.top(v[k], k, -np.inf, 5)
         scores = v @ v[k]
         scores[k] = -np.inf
-        assert got == [(int(scores[p]), int(p)) for p in np.lexsort((np.arange(4_000), -scores))[:5]]
-        assert shard.top(v[k], k, float(got[-1][0]), 5) == got
+        assert got[k] == [(int(scores[p]), int(p)) for p in np.lexsort((np.arange(4_000), -scores))[:5]]
+    assert shard.top(queries, np.arange(20), np.array([float(own[-1][0]) for own in got]), 5) == got
     assert shard.cells_read < 0.8 * 40 * v.size
