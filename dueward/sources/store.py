@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,7 @@ from dueward.functions.numbers import total
 from dueward.operators import scope
 from dueward.operators.keyed import KEY, present_hash
 from dueward.operators.silver import ROWS_PER_FILE, by_creation_month, read_by_month, stored_names, write_silver
-from dueward.sources.runs import _folder, exists
+from dueward.sources.runs import _folder, discard_folder
 
 MONTHLY = ("gold", "counters", "keys")
 STATE = ("agency", "agency_name", "created_month", "key_hash", "n", "lowest", "highest")
@@ -54,14 +55,18 @@ def monthly_counters(silver: DataFrame) -> DataFrame:
 MAKE = {"gold": scope.scope_monthly, "counters": monthly_counters, "keys": key_states}
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
+def row_hashes(columns: Sequence[str]) -> dict[str, Column]:
+    """Two 64-bit hashes of a row's source columns."""
+    values = [F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in columns]
+    return {"_h1": F.xxhash64(*values), "_h2": F.xxhash64(F.lit(1), *values)}
+
+
+def fingerprints(hashed: DataFrame) -> DataFrame:
     """Rows and two order-free sums of row hashes per month; sums do not cancel for equal rows."""
-    values = [F.coalesce(F.col(c).cast("string"), F.lit("<NA>")) for c in stored_names(rows)]
     wide = "decimal(38,0)"
-    return rows.groupBy("created_month").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.sum(F.xxhash64(*values).cast(wide)).cast("string").alias("h1"),
-        F.sum(F.xxhash64(F.lit(1), *values).cast(wide)).cast("string").alias("h2"))
+    return hashed.groupBy("created_month").agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum(F.col("_h1").cast(wide)).cast("string").alias("h1"),
+        F.sum(F.col("_h2").cast(wide)).cast("string").alias("h2"))
 
 
 # ---- reading ----------------------------------------------------------------
@@ -102,16 +107,29 @@ def in_listed(months: Sequence[date | None]) -> Column:
 # ---- writing ----------------------------------------------------------------
 
 def refresh(raw: DataFrame, root: str, *, rows_per_file: int = ROWS_PER_FILE) -> list[date | None]:
-    """Take in a snapshot; returns the months that were rewritten or removed, an empty list if nothing changed."""
+    """Take in a snapshot; returns the months that were rewritten or removed, an empty list if nothing changed.
+
+    The snapshot is computed and parsed once, into a staging table; its hashes there tell which months differ.
+    """
     spark = raw.sparkSession
-    version = _version(spark, root)
-    rows = by_creation_month(raw)
+    staging = f"{root}/_staging/{uuid.uuid4().hex}"
+    try:
+        rows = by_creation_month(raw)
+        rows.withColumns(row_hashes(stored_names(rows))).write.parquet(staging)
+        return _take_in(spark.read.parquet(staging), root, rows_per_file)
+    finally:
+        discard_folder(spark, staging)
+
+
+def _take_in(rows: DataFrame, root: str, rows_per_file: int) -> list[date | None]:
+    spark, version = rows.sparkSession, _version(rows.sparkSession, root)
     now = {r.created_month: r for r in fingerprints(rows).collect()}  # as many rows as the calendar has months
     then = {r.created_month: r for r in read_months(spark, root).collect()} if version else {}
     changed = [m for m, r in now.items() if m not in then or tuple(then[m]) != tuple(r)]
     gone = [m for m in then if m not in now]
     if version and not changed and not gone:
         return []
+    rows = rows.drop("_h1", "_h2")
     if changed or not version:
         own = rows.where(in_listed(changed)) if version else rows
         write_silver(own, f"{root}/silver", mode="overwrite", rows_per_file=rows_per_file, rows=sum(now[m].row_count for m in changed))
@@ -129,10 +147,8 @@ def refresh(raw: DataFrame, root: str, *, rows_per_file: int = ROWS_PER_FILE) ->
     _repeated(read(spark, root, "keys"), old, [*changed, *gone]).write.mode("overwrite").parquet(f"{root}/repeated/{version + 1}")
     spark.createDataFrame([tuple(r) for r in now.values()], "created_month date, row_count long, h1 string, h2 string").coalesce(1).write.mode(
         "overwrite").parquet(f"{root}/months/{version + 1}")
-    for n in range(max(version - 1, 0), version):  # readers of the last state may still be at it; the one before goes
-        for table in ("repeated", "months"):
-            fs, path = _folder(spark, f"{root}/{table}/{n}")
-            fs.delete(path, True)
+    for table in ("repeated", "months"):  # readers of the last state may still be at it; the one before goes
+        discard_folder(spark, f"{root}/{table}/{version - 1}")
     return sorted([*changed, *gone], key=lambda m: (m is not None, m or date.min))
 
 
