@@ -5,6 +5,9 @@ all rows is one sketch per task. A line whose estimate is far above the threshol
 within the sketch's error of the threshold get an exact count of distinct sites. A line is compared without leading,
 trailing and repeated white space; blank lines stay and are never counted.
 
+Texts are split once into a stored table of line hashes, which the sketches, the exact counts and the removal read. For the
+removal the boilerplate lines stand once for each of ``SALTS`` parts of the rows, so a very common line is many join keys.
+
 Null texts count as empty; a null site is a site of its own. Rows are told apart by (id, text): equal rows lose the same
 lines. Extra columns are ignored; an empty table gives an empty result.
 """
@@ -16,10 +19,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dueward.llm.common import documents_of, text_or_empty
+from dueward.llm.common import documents_of, stored, text_or_empty
 
 MIN_SITES = 5
 LOG_BUCKETS = 10
+SALTS = 16
 
 
 def tidy(line: Column) -> Column:
@@ -45,9 +49,10 @@ def without_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, id_column:
         F.xxhash64(id_column, text_column).alias("k1"), F.hash(id_column, text_column).alias("k2"))
     split = F.split("text", "\n", -1)
     lines = rows.select("k1", "k2", F.xxhash64("site", F.col("site").isNull()).alias("site"), F.explode(F.array_distinct(split)).alias("line"))
-    lines = lines.withColumn("line", tidy(F.col("line"))).where("line <> ''").withColumn("line", F.xxhash64("line"))
-    gone = boilerplate(lines.select("line", "site"), min_sites)
-    cut = lines.join(gone, "line", "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
+    lines = stored(lines.withColumn("line", tidy(F.col("line"))).where("line <> ''").withColumn("line", F.xxhash64("line")))
+    gone = boilerplate(lines.select("line", "site"), min_sites).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = lines.select("k1", "k2", "line", F.pmod("k2", F.lit(SALTS)).alias("salt"))
+    cut = salted.join(gone, ["line", "salt"], "left_semi").groupBy("k1", "k2").agg(F.collect_set("line").alias("gone"))
     kept = F.filter(split, lambda x: ~F.coalesce(F.array_contains("gone", F.xxhash64(tidy(x))), F.lit(False)))
     return rows.join(cut, ["k1", "k2"], "left").withColumn("kept", kept).select(
         F.col("id").alias(id_column), F.size(split).cast("long").alias("n_lines"),
