@@ -113,6 +113,19 @@ def test_files_are_bounded_and_months_pruned(spark, requests, tmp_path):
     assert pruned.count() == 40
 
 
+def test_a_refresh_shuffles_neither_whole_rows_nor_key_rows(spark, requests, tmp_path, monkeypatch):
+    root, written = str(tmp_path), []
+    monkeypatch.setattr(store, "by_creation_month", lambda raw: written.append(by_creation_month(raw)) or written[-1])
+    store.refresh(requests(SNAPSHOT), root, rows_per_file=4)
+    assert "Exchange" not in written[0]._jdf.queryExecution().executedPlan().toString()
+    silver = store.read(spark, root, "silver")
+    assert max(r["count"] for r in silver.groupBy(F.input_file_name()).count().collect()) <= 4
+    assert "Exchange" not in store.MAKE["keys"](silver)._jdf.queryExecution().executedPlan().toString()
+    assert store.read(spark, root, "keys").count() == len(SNAPSHOT)
+    assert not [f for f in files(f"{root}/_staging")]
+    compare(spark, root, requests(SNAPSHOT))
+
+
 def test_sketches_merge_over_months(spark, requests, tmp_path):
     root = str(tmp_path)
     store.refresh(requests(SNAPSHOT + [{"agency": "NONE", "unique_key": None}]), root)
