@@ -48,6 +48,25 @@ def test_gathered_evidence_equals_the_planned(gathered, requests_module):
         assert sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect())), name
 
 
+def test_stored_rows_are_not_stored_again(spark, gathered, requests_module, tmp_path):
+    root, at = str(tmp_path / "evidence"), str(tmp_path / "rows")
+    typed_requests(requests_module(ROWS)).write.parquet(at)
+    again = evidence.gather(spark.read.parquet(at), root, SCOPE, NOW, rows_stored=True)
+    assert not os.path.exists(f"{root}/typed")
+    for name in ("counters", "cells", "keys"):
+        a, b = getattr(gathered, name), getattr(again, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), name
+
+
+def test_wide_counts_are_compiled_and_keys_shuffle_one_material_hash(gathered):
+    plan = evidence.counted(gathered.rows, evidence.counters(SCOPE, NOW))._jdf.queryExecution().executedPlan().toString()
+    partial = [line for line in plan.splitlines() if "partial_count" in line]
+    assert len(partial) > 1 and all(line.count("partial_count") <= 60 for line in partial)
+    keys = evidence.key_groups(gathered.rows)._jdf.queryExecution().executedPlan().toString()
+    partial = next(line for line in keys.splitlines() if "partial_min" in line)
+    assert partial.count("partial_min") == 9  # the place, seven audited columns, and one hash of all material columns
+
+
 def test_no_raw_text_of_a_profile_is_shuffled(gathered):
     plan = evidence.cells(gathered.rows, texts=())._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan or "first_place" in plan

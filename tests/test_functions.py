@@ -80,3 +80,16 @@ def test_an_odd_lot_of_spellings_is_listed_row_by_row(spark):
     found = sorted((r["raw_variant"], r["variant_rows"], r["row_count"], r["raw_variant_count"]) for r in categories.category_variants(counts).collect())
     assert found == [(" Open", 2, 6, 3), ("OPEN", 1, 6, 3), ("Open", 3, 6, 3)]
     assert tuple(categories.variant_totals(counts).first()) == (1, 6)
+
+
+def test_blank_and_null_like_texts_equal_the_plain_rules(spark):
+    words = ("null", "N/A", " none ", "-", "?")
+    texts = [None, "", " ", "\t\u3000", "\x1c", "\x7f", "null", " NULL ", "\u00a0n/a", "n/a\u2003", "N/A", "none", "nonesuch", "-", "?", "-?",
+             "\u00e9", "\u212a", "a long text", " a long text", "\x00", "\u0130"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    t = F.col("t")
+    plain = text.fold(t).isin([w.strip().lower() for w in words])
+    for r in df.select(t, text.is_blank(t).alias("b"), ((t != "") & (text.strip(t) == "")).alias("b2"),
+                       text.is_null_like(t, words).alias("n"), plain.alias("n2")).collect():
+        assert (bool(r.b), bool(r.n), r.t is None) == (bool(r.b2), bool(r.n2), r.b is None), r
+    assert "CASE WHEN" in df.select(text.is_null_like(t, words))._jdf.queryExecution().optimizedPlan().toString()
