@@ -7,11 +7,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from dueward.config import Period, ScopeLimits
-from dueward.operators import scope
+from dueward.operators import keyed, scope
 from dueward.operators.silver import by_creation_month, in_months, read_silver, typed_requests, write_silver
 from dueward.plans.select import SELECTION_TABLES, complete_months, select_scope
 from dueward.schemas import ROW_ID
 from dueward.sources import store
+from oracle.sample_tables import service_requests
 from tests.conftest import rows_of
 
 AT = datetime(2024, 6, 1, tzinfo=timezone.utc)
@@ -126,6 +127,44 @@ def test_a_refresh_shuffles_neither_whole_rows_nor_key_rows(spark, requests, tmp
     compare(spark, root, requests(SNAPSHOT))
 
 
+def test_rows_of_repeated_keys_are_picked_where_they_are(spark, requests, tmp_path, monkeypatch):
+    root, threshold = str(tmp_path / "store"), "spark.sql.autoBroadcastJoinThreshold"
+    store.refresh(requests(SNAPSHOT), root)
+    spark.conf.set(threshold, "-1")  # as if the optimizer knew no size
+    try:
+        found = store._repeated(store.read(spark, root, "keys"), None, [])
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and rows_of(found, *store.STATE) == rows_of(store.read_repeated(spark, root), *store.STATE)
+    finally:
+        spark.conf.unset(threshold)
+    monkeypatch.setattr(keyed, "FILTER_BITS", 1)  # a filter that holds every hash
+    full = store._repeated(store.read(spark, root, "keys"), None, [])
+    assert rows_of(full, *store.STATE) == rows_of(store.read_repeated(spark, root), *store.STATE)
+    hashes = [r.k1 for r in store.repeated_hashes(spark, root).collect()]
+    assert len(hashes) == 3 and None not in hashes  # '1-3', '2-1' and 'bad'
+
+
+def test_a_filter_holds_every_hash_and_few_others(spark):
+    hashed = spark.range(40_000).select((F.col("id") % 2 == 0).alias("inside"), F.xxhash64("id").alias("h"))
+    found = keyed.hash_filter(hashed.where("inside"), "h")
+    looked = keyed.with_held(hashed.unionByName(spark.createDataFrame([(False, None)], "inside boolean, h long")), F.col("h"), found, "held")
+    assert looked.columns == ["inside", "h", "held"] and looked.count() == 40_001
+    counts = looked.groupBy("inside").agg(F.count_if("held").alias("n"), F.count_if(F.col("h").isNull() & F.col("held")).alias("nulls"))
+    by = {r.inside: (r.n, r.nulls) for r in counts.collect()}
+    assert by[True] == (20_000, 0) and by[False][0] < 20 and by[False][1] == 0
+
+
+def test_the_sample_lines_do_not_move_for_customers(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        plan = service_requests(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(threshold)
+    depth = {k: next(line.index("Join") for line in plan.splitlines() if "Join" in line and k in line) for k in ("l_orderkey", "o_custkey")}
+    assert depth["o_custkey"] > depth["l_orderkey"]
+
+
 def test_sketches_merge_over_months(spark, requests, tmp_path):
     root = str(tmp_path)
     store.refresh(requests(SNAPSHOT + [{"agency": "NONE", "unique_key": None}]), root)
