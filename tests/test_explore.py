@@ -11,6 +11,7 @@ from dueward.config import Scope
 from dueward.operators import evidence, overview, quality
 from dueward.operators.silver import typed_requests
 from dueward.plans import explore
+from dueward.schemas import RAW_COLUMNS
 from dueward.sources.report_tables import AUDIT_TABLES, FEASIBILITY_TABLES, OVERVIEW_TABLES, write_ordered
 
 SCOPE = Scope.of("DSNY", "Graffiti", "2024-01-01", "2024-12-31", "2025-06-01T00:00:00Z")
@@ -64,6 +65,26 @@ def test_keys_shuffle_one_material_hash(gathered):
     assert partial.count("partial_min") == 9  # the place, seven audited columns, and one hash of all material columns
 
 
+def test_rows_whose_key_is_their_own_form_one_group(spark, gathered, requests_module, tmp_path):
+    root, at = str(tmp_path / "evidence"), str(tmp_path / "rows")
+    typed_requests(requests_module([*ROWS, {"unique_key": None}, {"unique_key": "x", "status": "Open"}])).write.parquet(at)
+    rows = spark.read.parquet(at)
+    # A hash more than needed changes nothing.
+    several = rows.where("unique_key = 'x' OR status = 'open'").select(evidence.key_hash().alias("k1")).distinct()
+    again = evidence.gather(rows, root, SCOPE, NOW, rows_stored=True, several=several)
+    groups = spark.read.parquet(f"{root}/key_groups")
+    assert sorted((r.alone, r.n) for r in groups.collect()) == [(False, 1), (False, 2), (False, 3), (True, rows.count() - 6)]
+    every = evidence.key_groups(rows)
+    assert again.keys.collect() == evidence.key_totals(every).collect()
+    plain = evidence.cells(rows, RAW_COLUMNS)
+    assert sorted(map(str, again.cells.select("column_name", "n").collect())) == sorted(map(str, plain.select("column_name", "n").collect()))
+    key = "column_name = 'unique_key'"
+    assert sorted(map(str, again.cells.where(key).select(*plain.columns).collect())) == sorted(map(str, plain.where(key).select(
+        "column_name", "h1", "value", "n", "readable", "first_place").collect()))
+    with_hashes = evidence.key_groups(rows, evidence.filter_of(evidence.repeated_hashes(rows)))
+    assert with_hashes.count() == 3 and every.count() == rows.count() - 3
+
+
 def test_no_raw_text_of_a_profile_is_shuffled(gathered):
     plan = evidence.cells(gathered.rows, texts=())._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan or "first_place" in plan
