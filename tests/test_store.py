@@ -146,6 +146,44 @@ def test_rows_of_repeated_keys_are_picked_where_they_are(spark, requests, tmp_pa
     assert len(hashes) == 3 and None not in hashes  # '1-3', '2-1' and 'bad'
 
 
+def test_a_first_run_keeps_its_filter(spark, requests, tmp_path):
+    root = str(tmp_path)
+
+    def held():
+        hashes = store.repeated_hashes(spark, root)
+        return {r.k1 for r in keyed.with_held(hashes, F.col("k1"), store.repeated_filter(spark, root), "held").where("held").collect()}
+
+    store.refresh(requests(SNAPSHOT), root)
+    assert "Exchange" not in store.repeated_filter(spark, root)._jdf.queryExecution().executedPlan().toString()
+    assert held() == {r.k1 for r in store.repeated_hashes(spark, root).collect()} and len(held()) == 3
+    store.refresh(requests(SNAPSHOT + [{"unique_key": "1-7", "created_date": "2024-02-20"}]), root)
+    assert held() == {r.k1 for r in store.repeated_hashes(spark, root).collect()} and len(held()) == 4
+
+
+def test_rows_are_alike_only_within_a_state(spark, requests, tmp_path):
+    root, copy = str(tmp_path), {"unique_key": "copy", "created_date": "2024-02-05T10:00:00.000"}
+    three = [{"unique_key": "three", "created_date": "2024-02-05T10:00:00.000", "status": s} for s in ("Open", "Closed", "Open")]
+    two = [{**three[0], "unique_key": "two"}, {**three[1], "unique_key": "two"}]
+    store.refresh(requests([*SNAPSHOT, copy, copy, *three, *two]), root)
+    found = {r.k1 for r in store.alike_hashes(spark, root).collect()}
+    # two rows that differ are no copies, of three some may be
+    assert found == {r.h for r in spark.createDataFrame([("2-1",), ("copy",), ("three",)], "k string").select(F.xxhash64("k").alias("h")).collect()}
+
+
+def test_many_small_files_make_few_tasks(spark, requests, tmp_path):
+    root, conf = str(tmp_path), "spark.sql.files.openCostInBytes"
+    store.refresh(requests(month_of_year(1, 300) + month_of_year(2, 300)), root, rows_per_file=5)
+    spark.conf.set(conf, str(128 << 20))  # a task per file
+    try:
+        rows = store.read_rows(spark, root)
+        assert store.read(spark, root, "silver").rdd.getNumPartitions() >= 120
+        assert rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and rows.count() == 600
+        plan = in_months(rows, date(2024, 2, 1), date(2024, 2, 29)).select("status")._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(created_month" in plan and "ReadSchema: struct<status:string>" in plan
+    finally:
+        spark.conf.unset(conf)
+
+
 def test_a_filter_holds_every_hash_and_few_others(spark):
     hashed = spark.range(40_000).select((F.col("id") % 2 == 0).alias("inside"), F.xxhash64("id").alias("h"))
     found = keyed.hash_filter(hashed.where("inside"), "h")
@@ -167,6 +205,23 @@ def test_the_sample_lines_do_not_move_for_customers(spark):
     assert depth["o_custkey"] > depth["l_orderkey"]
 
 
+def test_the_sample_lines_carry_one_text_of_their_part(spark):
+    threshold = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(threshold, "-1")
+    try:
+        raw = service_requests(spark, "/root/testdata/sf0.001")
+        plan = raw._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset(threshold)
+    lines = plan[plan.index("Join"):].splitlines()  # below the last join
+    assert [line for line in lines if "l_orderkey" in line and "p_texts" in line]
+    assert not [line for line in lines if "l_orderkey" in line and "p_name" in line]
+    parts = spark.read.parquet("/root/testdata/sf0.001/part.parquet").select("p_type", "p_brand", "p_name").distinct()
+    assert raw.select("complaint_type", "descriptor", "location_type").exceptAll(raw.select(
+        "complaint_type", "descriptor", "location_type").join(parts, (F.col("complaint_type") == F.col("p_type")) & (
+            F.col("descriptor") == F.col("p_brand")) & (F.col("location_type") == F.col("p_name")), "left_semi")).count() == 0
+
+
 def test_sketches_merge_over_months(spark, requests, tmp_path):
     root = str(tmp_path)
     store.refresh(requests(SNAPSHOT + [{"agency": "NONE", "unique_key": None}]), root)
