@@ -85,6 +85,20 @@ def test_rows_whose_key_is_their_own_form_one_group(spark, gathered, requests_mo
     assert with_hashes.count() == 3 and every.count() == rows.count() - 3
 
 
+def test_whole_rows_are_compared_under_keys_that_may_have_equal_ones(spark, requests_module, tmp_path):
+    at = str(tmp_path / "rows")
+    rows = [*ROWS, {"unique_key": "copy"}, {"unique_key": "copy"}, {"unique_key": "far"}, {"unique_key": "far", "status": "Open"}]
+    typed_requests(requests_module(rows)).write.parquet(at)
+    rows = spark.read.parquet(at)
+    alike = rows.where("unique_key IN ('x', 'copy')").select(evidence.key_hash().alias("k1")).distinct()
+    every = evidence.gather(rows, str(tmp_path / "every"), SCOPE, NOW, rows_stored=True)
+    held = spark.read.parquet(str(tmp_path / "every" / "several"))
+    fewer = evidence.gather(rows, str(tmp_path / "fewer"), SCOPE, NOW, rows_stored=True, held=held, alike=alike)
+    for name in ("counters", "cells", "keys"):
+        a, b = getattr(every, name), getattr(fewer, name)
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), name
+
+
 def test_no_raw_text_of_a_profile_is_shuffled(gathered):
     plan = evidence.cells(gathered.rows, texts=())._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate" not in plan or "first_place" in plan
