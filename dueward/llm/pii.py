@@ -16,7 +16,9 @@ Only built-in functions run. Terms and entities count as together anywhere in a
 texts and are pre-aggregated before they are shuffled, by 64-bit hashes of terms, so an entity or term with a third of all
 rows is one counter per task. A text makes a row for each pair of an entity and a term whose counts alone can still
 meet the thresholds. The hashes of repeated texts, the disclosing terms and the rows with a disclosing term are each
-broadcast when they are at most ``BROADCAST_ROWS``; beyond that the same joins shuffle the texts.
+broadcast when they are at most ``BROADCAST_ROWS``; beyond that the same joins shuffle the texts. The rows with their base
+spans and the rows with a disclosing term are written to the shared folder; what only leads to the disclosing terms stays on
+the executors' disks meanwhile, so small partitions make no small files.
 
 Null texts count as empty and have no span. Rows are told apart by (id, text): equal rows get equal results, and copies
 of a text count once as evidence. Extra columns are ignored; an empty table gives an empty result.
@@ -29,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dueward.llm.common import documents_of, stored, text_or_empty
+from dueward.llm.common import documents_of, held_on_disk, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 # The contract's patterns, written so that a failed run of characters is not tried again from inside.
@@ -182,7 +184,7 @@ def _terms(text: Column) -> Column:
 
 
 def _small(df: DataFrame) -> DataFrame:
-    """A stored table, to be broadcast if it is small enough."""
+    """A table that is stored or held, to be broadcast if it is small enough."""
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
@@ -207,20 +209,20 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .select(
             id_column, key, F.xxhash64("text").alias("content"), "base",
             F.when(F.size("base") > 0, _bare_terms(_masked(F.col("text"), F.col("base")))).alias("bare")))
-    contents = stored(rows.groupBy("content").agg(F.count("*").alias("n")))
+    contents = held_on_disk(rows.groupBy("content").agg(F.count("*").alias("n")))
     count = contents.count()
     copies = _small(contents.where("n > 1").select("content"))
-    telling = stored(rows.where(F.size("base") > 0).select("content", _protected(F.col("base")).alias("entities"), "bare").dropDuplicates(["content"]))
+    telling = held_on_disk(rows.where(F.size("base") > 0).select("content", _protected(F.col("base")).alias("entities"), "bare").dropDuplicates(["content"]))
     bits = lambda share: F.log2(share * count / F.col("with_entity"))
     # No share is above 1, and none above with_entity / with_term: what misses a threshold even so leaves before the pairs are made.
     with_entity = (
         telling.select(F.inline("entities")).groupBy("e", "part").agg(F.count("*").alias("with_entity"))
         .where((F.col("with_entity") >= min_texts) & (bits(F.lit(1.0)) >= min_bits)))
-    held = stored(
+    held = held_on_disk(
         telling.select("content", F.inline("entities")).join(with_entity, ["e", "part"])
         .groupBy("content").agg(F.collect_list(F.struct("e", "part", "with_entity")).alias("held"), F.max("with_entity").alias("most")))
     most = held.agg(F.max("most")).first()[0] or 0
-    with_term = stored(_term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share)))
+    with_term = held_on_disk(_term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share)))
     tried = with_term.count() * held.select(F.explode("held.e").alias("e")).distinct().count()
     limit = math.log(max(tried, 1) / false_alarms)
     bare = telling.join(held.select("content"), "content", "left_semi").select("content", F.explode("bare").alias("t")).join(with_term, "t")
@@ -231,10 +233,12 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .groupBy("e", "part", "t", "with_entity", "with_term").agg(F.count("*").alias("with_both")).where(F.col("with_both") >= min_texts))
     share = F.col("with_both") / F.col("with_term")
     sure = ~F.col("part") | (_evidence(F.col("with_both"), F.col("with_term"), F.col("with_entity"), max(count, 1)) >= limit)
-    disclosing = stored(both.where((share >= min_share) & (bits(share) >= min_bits) & sure).select("t").distinct())
+    disclosing = held_on_disk(both.where((share >= min_share) & (bits(share) >= min_bits) & sure).select("t").distinct())
     hits = stored(
         texts.select(key, F.explode(_terms(F.col("text"))).alias("t")).join(_small(disclosing), "t")
         .groupBy("row_key").agg(F.collect_set("t").alias("wanted")))
+    for table in (disclosing, with_term, held, telling, contents):
+        table.unpersist()
     found = (
         texts.select("text", key).join(_small(hits), "row_key").withColumn("masked", _masked(F.col("text"), _base(F.col("text"))))
         .select("row_key", _tagged(F.col("masked"), F.col("wanted")).alias("terms")).dropDuplicates(["row_key"]))

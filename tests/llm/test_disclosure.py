@@ -8,6 +8,7 @@ from collections import Counter
 import pytest
 
 from dueward.llm import pii
+from dueward.llm.common import stored
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 
@@ -83,3 +84,27 @@ def test_without_the_bound_chance_words_would_pass(docs_of, planted):
 
 def test_an_empty_table_has_no_spans(docs_of):
     assert pii.digest(pii.personal_data(docs_of([]))).collect() == []
+
+
+def test_what_leads_to_the_terms_writes_no_files(spark, docs_of, planted, monkeypatch):
+    files, kept = [], spark.sparkContext._jsc.getPersistentRDDs().size()
+    many = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in many}
+
+    def counted(df):
+        table = stored(df)
+        files.append(len(table.inputFiles()))
+        return table
+
+    monkeypatch.setattr(pii, "stored", counted)
+    try:
+        for k, v in many.items():
+            spark.conf.set(k, v)
+        found = tagged(docs_of(planted))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert {"zyxproj", "kryptonym"} <= found
+    assert len(files) == 2  # the rows by input task, the rows with a term
+    assert files[0] <= 3 and files[1] <= 20
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
