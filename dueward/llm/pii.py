@@ -15,7 +15,7 @@ their number, times the pairs of terms and parts that could be tried, must stay
 Only built-in functions run. Terms and entities count as together anywhere in a text. All counts are over different
 texts and are pre-aggregated before they are shuffled, by 64-bit hashes of terms, so an entity or term with a third of all
 rows is one counter per task. A text makes a row for each pair of an entity and a term whose counts alone can still
-meet the thresholds. The hashes of repeated texts, the disclosing terms and the rows with a disclosing term are each
+meet the thresholds. The hashes of repeated texts, the entities, the disclosing terms and the rows with a disclosing term are each
 broadcast when they are at most ``BROADCAST_ROWS``; beyond that the same joins shuffle the texts. The rows with their base
 spans and the rows with a disclosing term are written to the shared folder; what only leads to the disclosing terms stays on
 the executors' disks meanwhile, so small partitions make no small files.
@@ -215,11 +215,11 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     telling = held_on_disk(rows.where(F.size("base") > 0).select("content", _protected(F.col("base")).alias("entities"), "bare").dropDuplicates(["content"]))
     bits = lambda share: F.log2(share * count / F.col("with_entity"))
     # No share is above 1, and none above with_entity / with_term: what misses a threshold even so leaves before the pairs are made.
-    with_entity = (
+    with_entity = held_on_disk(
         telling.select(F.inline("entities")).groupBy("e", "part").agg(F.count("*").alias("with_entity"))
         .where((F.col("with_entity") >= min_texts) & (bits(F.lit(1.0)) >= min_bits)))
     held = held_on_disk(
-        telling.select("content", F.inline("entities")).join(with_entity, ["e", "part"])
+        telling.select("content", F.inline("entities")).join(_small(with_entity), ["e", "part"])
         .groupBy("content").agg(F.collect_list(F.struct("e", "part", "with_entity")).alias("held"), F.max("with_entity").alias("most")))
     most = held.agg(F.max("most")).first()[0] or 0
     with_term = held_on_disk(_term_texts(texts, copies).where((F.col("with_term") >= min_texts) & (most / F.col("with_term") >= min_share)))
@@ -237,7 +237,7 @@ def personal_data(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     hits = stored(
         texts.select(key, F.explode(_terms(F.col("text"))).alias("t")).join(_small(disclosing), "t")
         .groupBy("row_key").agg(F.collect_set("t").alias("wanted")))
-    for table in (disclosing, with_term, held, telling, contents):
+    for table in (disclosing, with_term, held, with_entity, telling, contents):
         table.unpersist()
     found = (
         texts.select("text", key).join(_small(hits), "row_key").withColumn("masked", _masked(F.col("text"), _base(F.col("text"))))
