@@ -2,9 +2,12 @@
 
 Documents are read once: each gives its length and the counts of its terms that some query has (a fixed-size bitmap of
 term hashes decides; whatever else slips through is removed by the exact join with the queries' terms). They are dealt by
-a hash into shards of about ``SHARD_DOCUMENTS``. The index of a block of queries holds, per shard, a list per term
+a hash into shards of about ``SHARD_DOCUMENTS``, or fewer where these have more than ``SHARD_ENTRIES`` terms of queries.
+The index of a block of queries holds, per shard, a list per term
 (documents and impacts, with the largest impact) and a list per term pair of a query: the documents that hold both, and
 the largest joint impact there. A query's terms are paired by falling weight, so that pairs are of like, rare terms.
+A shard's index is made and searched by one task, which holds one shard at a time, and the pairs of as many queries as have
+``ENTRIES_AT_ONCE`` entries; it is never a row of a table, since such a row is as large as the shard.
 
 In a shard, a pair adds at most the largest of its joint maximum and its terms' own maxima: no document outside the
 intersection has both. Units (pairs or single terms) are sorted by that bound. Those whose bounds together stay below the
@@ -24,7 +27,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LENGTH_SHARE = 90
 
 SHARD_DOCUMENTS = 8_192
+#: Entries of a shard's term lists, on average, and of the pair lists that are held at a time.
+SHARD_ENTRIES = ENTRIES_AT_ONCE = 1 << 20
+#: Documents whose counts leave a task together.
+DOCUMENTS_AT_ONCE = 512
 TERMS_AT_ONCE = 200_000
 #: Bits of the bitmap that picks the queries' terms out of the documents; two megabytes whatever the queries.
 BITMAP = 1 << 24
@@ -76,7 +83,7 @@ def term_counts(table: DataFrame, id_column: str, text_column: str, bitmap: np.n
             h = zlib.crc32(term.encode()) % BITMAP
             return term if bitmap is None or bitmap[h >> 3] >> (h & 7) & 1 else ""
 
-        for batch in batches:
+        for batch in (whole.slice(k, DOCUMENTS_AT_ONCE) for whole in batches for k in range(0, whole.num_rows, DOCUMENTS_AT_ONCE)):
             sizes, terms, tfs = [], [], []
             for text in batch.column("text"):
                 words = find(text.as_py() or "")
@@ -145,69 +152,96 @@ class Block:
         self.pairs = sorted({u for units in self.units.values() for u in units if len(u) == 2})
 
 
-def build_index(counts: DataFrame, block: Block, n: int, total: int, shards: int) -> DataFrame:
-    """The block's index: a row per shard with the lists of its terms and of its pairs, impacts included."""
-    terms, weights, pairs = block.terms, np.array(block.weights, dtype=np.int64), block.pairs
+def term_lists(group: pa.Table, block: Block, n: int, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A shard's terms of the block, where their lists end, and the lists: places in the shard and impacts."""
+    terms, weights = block.terms, np.array(block.weights, dtype=np.int64)
+    size = group.column("n").to_numpy()
+    norm = np.array([100 - LENGTH_SHARE + LENGTH_SHARE * int(k) * n // max(total, 1) for k in size], dtype=np.int64)
+    held = group.column("terms").combine_chunks()
+    offsets = held.offsets.to_numpy()
+    names = held.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
+    number = np.array([terms.get(t, -1) for t in names.dictionary.to_pylist()], dtype=np.int64)
+    term = number[names.indices.to_numpy()] if len(names) else np.empty(0, dtype=np.int64)
+    tf = group.column("tfs").combine_chunks().flatten().to_numpy().astype(np.int64)
+    place = np.repeat(np.arange(len(size), dtype=np.int32), np.diff(offsets))
+    kept = term >= 0
+    term, tf, place = term[kept], tf[kept], place[kept]
+    impact = weights[term] * ((1_000_000_000 * tf) // (1_000 * tf + 8 * norm[place])) if len(term) else np.empty(0, dtype=np.int64)
+    order = np.lexsort((place, term))
+    term, place, impact = term[order], place[order], impact[order]
+    own, first = np.unique(term, return_index=True)
+    return own, np.append(first[1:], len(term)), place, impact
+
+
+def dealt(counts: DataFrame, shards: int) -> DataFrame:
+    """The documents with terms, by shard."""
+    return counts.where("n > 0").select(F.pmod(F.xxhash64("row"), F.lit(max(1, shards))).alias("shard"), "row", "id", "n", "terms", "tfs")
+
 
+def build_index(counts: DataFrame, block: Block, n: int, total: int, shards: int) -> DataFrame:
+    """The block's index as a table, to look at: a row per shard with the lists of its terms and of its pairs, impacts included."""
     def build(group: pa.Table) -> pa.Table:
-        size = group.column("n").to_numpy()
-        norm = np.array([100 - LENGTH_SHARE + LENGTH_SHARE * int(k) * n // max(total, 1) for k in size], dtype=np.int64)
-        held = group.column("terms").combine_chunks()
-        offsets = held.offsets.to_numpy()
-        names = held.values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode()
-        number = np.array([terms.get(t, -1) for t in names.dictionary.to_pylist()], dtype=np.int64)
-        term = number[names.indices.to_numpy()] if len(names) else np.empty(0, dtype=np.int64)
-        tf = group.column("tfs").combine_chunks().flatten().to_numpy().astype(np.int64)
-        place = np.repeat(np.arange(len(size)), np.diff(offsets))
-        kept = term >= 0
-        term, tf, place = term[kept], tf[kept], place[kept]
-        impact = weights[term] * ((1_000_000_000 * tf) // (1_000 * tf + 8 * norm[place])) if len(term) else np.empty(0, dtype=np.int64)
-        order = np.lexsort((place, term))
-        term, place, impact = term[order], place[order], impact[order]
-        own, first = np.unique(term, return_index=True)
-        ends = np.append(first[1:], len(term))
-        at = {int(t): (a, b) for t, a, b in zip(own, first, ends)}
-        found, joint, pair_ends, pair_places, pair_impacts, filled = [], [], [], [], [], 0
-        for k, (a, b) in enumerate(pairs):
-            if a in at and b in at:
-                (a0, a1), (b0, b1) = at[a], at[b]
-                both, in_a, in_b = np.intersect1d(place[a0:a1], place[b0:b1], assume_unique=True, return_indices=True)
-                if len(both):
-                    sums = impact[a0:a1][in_a] + impact[b0:b1][in_b]
-                    filled += len(both)
-                    found.append(k)
-                    joint.append(int(sums.max()))
-                    pair_ends.append(filled)
-                    pair_places.append(both)
-                    pair_impacts.append(sums)
-        row = [group.column("shard")[0].as_py(), group.column("id").to_pylist(), group.column("row").to_numpy(), own, ends, place, impact,
-               found, joint, pair_ends, np.concatenate(pair_places or [np.empty(0, dtype=np.int64)]),
-               np.concatenate(pair_impacts or [np.empty(0, dtype=np.int64)])]
+        ids, rows = group.column("id").to_pylist(), group.column("row").to_numpy()
+        own, ends, place, impact = term_lists(group, block, n, total)
+        shard = Shard(ids, rows, own, ends, place, impact)
+        shard.hold(block.pairs)
+        number = {pair: k for k, pair in enumerate(block.pairs)}
+        joint, places, sums = zip(*shard.pairs.values()) if shard.pairs else ((), (), ())
+        row = [group.column("shard")[0].as_py(), ids, rows, own, ends, place, impact, [number[p] for p in shard.pairs], list(joint),
+               np.cumsum([len(x) for x in places], dtype=np.int64), np.concatenate([np.empty(0, dtype=np.int32), *places]),
+               np.concatenate([np.empty(0, dtype=np.int64), *sums])]
         long, short = pa.list_(pa.int64()), pa.list_(pa.int32())
         return pa.Table.from_arrays([pa.array([x], type=t) for x, t in zip(row, (
             pa.int64(), long, long, short, short, short, long, short, long, short, short, long))],
             names=[f.split()[0] for f in INDEX.split(", ")])
 
-    dealt = counts.where("n > 0").select(F.pmod(F.xxhash64("row"), F.lit(max(1, shards))).alias("shard"), "row", "id", "n", "terms", "tfs")
-    return dealt.groupBy("shard").applyInArrow(build, INDEX)
+    return dealt(counts, shards).groupBy("shard").applyInArrow(build, INDEX)
 
 
 class Shard:
     """One shard's lists. ``read`` counts the list entries that searches have merged or looked up."""
 
-    def __init__(self, ids, rows, terms, ends, places, impacts, pairs, joint, pair_ends, pair_places, pair_impacts, pair_names):
+    def __init__(self, ids, rows, terms, ends, places, impacts, pairs=(), joint=(), pair_ends=(), pair_places=(), pair_impacts=(), pair_names=()):
         self.n, self.rows = len(rows), rows
         self.ids = np.array([2**63 - 1 if k is None else k for k in ids], dtype=np.int64)
         self.named = np.array([k is not None for k in ids])
         starts = np.append(0, ends[:-1])
         self.lists = {int(t): (places[a:b], impacts[a:b]) for t, a, b in zip(terms, starts, ends)}
         self.most = {t: int(own.max()) for t, (_, own) in self.lists.items()}
-        starts = np.append(0, pair_ends[:-1])
+        starts = [0, *pair_ends[:-1]]
         self.pairs = {pair_names[k]: (int(m), pair_places[a:b], pair_impacts[a:b])
                       for k, m, a, b in zip(pairs, joint, starts, pair_ends)}
         self.scores = np.zeros(self.n, dtype=np.int64)
         self.read = 0
 
+    def hold(self, pairs: Iterable[tuple[int, int]]) -> None:
+        """Make the lists of these pairs, in place of any others."""
+        self.pairs = {}
+        for a, b in pairs:
+            if a in self.lists and b in self.lists:
+                (in_a, own_a), (in_b, own_b) = self.lists[a], self.lists[b]
+                both, at_a, at_b = np.intersect1d(in_a, in_b, assume_unique=True, return_indices=True)
+                if len(both):
+                    sums = own_a[at_a] + own_b[at_b]
+                    self.pairs[a, b] = int(sums.max()), both, sums
+
+    def parts(self, units: dict[int, list[tuple[int, ...]]], entries: int) -> Iterator[dict[int, list[tuple[int, ...]]]]:
+        """The queries in parts, for each of which the lists of its pairs are held: of at most so many entries, or of one query."""
+        part, held, seen = {}, 0, set()
+        for query, own in units.items():
+            new = {u for u in own if len(u) == 2 and u not in seen}
+            more = sum(min(len(self.lists[t][0]) if t in self.lists else 0 for t in u) for u in new)
+            if part and held + more > entries:
+                self.hold(sorted(seen))
+                yield part
+                part, held, seen = {}, 0, set()
+                new = {u for u in own if len(u) == 2}
+                more = sum(min(len(self.lists[t][0]) if t in self.lists else 0 for t in u) for u in new)
+            part[query] = own
+            held, seen = held + more, seen | new
+        self.hold(sorted(seen))
+        yield part
+
     def bound(self, unit: tuple[int, ...], paired: bool) -> int:
         """The most that a unit adds to a document of this shard."""
         own = [self.most.get(t, 0) for t in unit]
@@ -266,39 +300,37 @@ class Shard:
         return [(int(own[o]), int(hit[o])) for o in order if own[o] > 0 and own[o] >= floor]
 
 
-def search(index: DataFrame, block: Block, floors: dict[int, int], k: int) -> DataFrame:
-    """``FOUND`` rows: each shard's best for each query of the block."""
-    units, pairs = block.units, block.pairs
+def search(documents: DataFrame, block: Block, n: int, total: int, floors: dict[int, int], k: int, entries: int = ENTRIES_AT_ONCE) -> DataFrame:
+    """``FOUND`` rows: each shard's best for each query of the block, from an index that the shard's task makes and drops."""
+    units = block.units
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for s in range(batch.num_rows):
-                arrays = [batch.column(c)[s].values.to_numpy(zero_copy_only=False) for c in (
-                    "rows", "terms", "ends", "places", "impacts", "pairs", "joint", "pair_ends", "pair_places", "pair_impacts")]
-                shard = Shard(batch.column("ids")[s].as_py(), *arrays, pairs)
-                out = [(query, int(shard.ids[p]) if shard.named[p] else None, int(shard.rows[p]), score)
-                       for query, own in units.items() for score, p in shard.top(own, floors.get(query, 0), k)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in zip(*out)], names=["query", "id", "row", "score"])
+    def found(group: pa.Table) -> pa.Table:
+        shard = Shard(group.column("id").to_pylist(), group.column("row").to_numpy(), *term_lists(group, block, n, total))
+        out = [(query, int(shard.ids[p]) if shard.named[p] else None, int(shard.rows[p]), score)
+               for part in shard.parts(units, entries) for query, own in part.items() for score, p in shard.top(own, floors.get(query, 0), k)]
+        columns = zip(*out) if out else ([],) * 4
+        return pa.Table.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["query", "id", "row", "score"])
 
-    return index.mapInArrow(found, FOUND)
+    return documents.groupBy("shard").applyInArrow(found, FOUND)
 
 
 def ranked_search(docs: DataFrame, queries: DataFrame, k: int = 10, doc_id: str = "doc_id", query_id: str = "item_id", text_column: str = "text",
-                  shard_documents: int = SHARD_DOCUMENTS, terms_at_once: int = TERMS_AT_ONCE) -> DataFrame:
+                  shard_documents: int = SHARD_DOCUMENTS, terms_at_once: int = TERMS_AT_ONCE,
+                  shard_entries: int = SHARD_ENTRIES) -> DataFrame:
     """``(query_id, rank, doc_id, score)``: the ``k`` documents with the highest score above 0 for each query row."""
     items = stored(term_counts(queries, query_id, text_column))
     asked = items.select(F.col("row").alias("query"), F.explode("terms").alias("term"))
     counts = stored(term_counts(docs, doc_id, text_column, term_bitmap(asked)))
     weighted, n, total = weighted_terms(counts, asked)
-    shards = -(-n // shard_documents)
+    entries = weighted.select("term", "df").distinct().agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    shards = max(-(-n // shard_documents), -(-entries // shard_entries))
+    documents = dealt(counts, shards)
     blocks = -(-weighted.count() // terms_at_once)
     found = None
     for number in range(blocks):
         own = weighted.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == number).select("query", "term", "w").orderBy("query", "term")
         block = Block(list(zip(*(c.to_pylist() for c in own.toArrow().columns))))
-        index = stored(build_index(counts, block, n, total, shards))
-        part = two_waves(index, shards, lambda shard, floors, block=block: search(shard, block, floors, k), k)
+        part = two_waves(documents, shards, lambda own, floors, block=block: search(own, block, n, total, floors, k), k)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], FOUND)

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from dueward.llm import lexical, nearest, spelling
+from dueward.llm import lexical, nearest, spelling, topk
 from dueward.llm.common import stored
 from tests.llm.conftest import CLASHES, EDGE_TEXTS
 
@@ -203,6 +203,47 @@ def test_pair_bounds_hold_and_read_less_than_single_maxima(spark, docs_of):
     assert read[True] < read[False]
 
 
+def test_no_stored_row_is_as_large_as_a_shard(spark, docs_of, library, monkeypatch):
+    docs, items = library
+    longest = []
+
+    def watched(df):
+        kept = stored(df)
+        for c, kind in kept.dtypes:
+            if kind.startswith("array"):
+                longest.append((kept.agg(F.max(F.size(c))).first()[0] or 0, c))
+        return kept
+
+    for module in (lexical, topk):
+        monkeypatch.setattr(module, "stored", watched)
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = lexical.ranked_search(docs_of(docs), asked, shard_documents=200).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == ranks_by_hand(docs, items)
+    assert longest and max(longest)[0] <= 121, max(longest)  # the terms of a document
+
+
+def test_shards_of_few_entries_equal_brute_force(spark, docs_of, library):
+    docs, items = library
+    asked = spark.createDataFrame(items, "item_id long, text string")
+    rows = lexical.ranked_search(docs_of(docs), asked, shard_entries=1_000).collect()
+    assert sorted((tuple(r) for r in rows), key=str) == ranks_by_hand(docs, items)
+
+
+def test_pairs_are_held_for_a_part_of_the_queries(spark, docs_of, library):
+    docs, items = library
+    for block, shard in shards_for(spark, docs_of(docs), items):
+        want = {query: shard.top(own, 0, 3) for query, own in block.units.items()}
+        every, parts = dict(shard.pairs), 0
+        for part in shard.parts(block.units, 400):
+            own = {u for units in part.values() for u in units}
+            assert {p: m for p, (m, _, _) in shard.pairs.items()} == {p: m for p, (m, _, _) in every.items() if p in own}
+            assert len(part) == 1 or sum(len(places) for _, places, _ in shard.pairs.values()) <= 400
+            for query, units in part.items():
+                assert shard.top(units, 0, 3) == want.pop(query)
+            parts += 1
+        assert not want and parts > 3
+
+
 # ---- exact top-k ------------------------------------------------------------
 
 VECTORS = "vec_id long, embedding array<double>, label int"
