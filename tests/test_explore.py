@@ -59,6 +59,24 @@ def test_stored_rows_are_not_stored_again(spark, gathered, requests_module, tmp_
         assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), name
 
 
+def test_what_is_missing_is_asked_where_values_are_grouped(spark, requests_module, tmp_path):
+    root, at = str(tmp_path / "evidence"), str(tmp_path / "rows")
+    odd = [None, "", " ", "\u3000", "null", " N/A ", "Unknown", "nonesuch", "-", "91", "nan", "9e1", "unknown\u00a0"]
+    rows = [{c: odd[(i + k) % len(odd)] for k, c in enumerate(RAW_COLUMNS)} for i in range(2 * len(odd))]
+    typed_requests(requests_module([*ROWS, *rows, rows[0]])).write.parquet(at)
+    rows = spark.read.parquet(at)
+    again = evidence.gather(rows, root, SCOPE, NOW, rows_stored=True)
+    every = rows.agg(*evidence.counters(SCOPE, NOW))
+    assert again.counters.columns == every.columns and again.counters.collect() == every.collect()
+    assert again.counters.first()["latitude__null_like"] > 0 and again.counters.first()["unique_key__blank"] > 0
+    # one expression for all columns beside the key, and one reading of each coordinate
+    cells = evidence.cells(rows, words=("none", "nan"))._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < cells.count("lower(") <= 2
+    values = spark.read.schema("kind int, n long, column_name string").parquet(f"{root}/cells")
+    plan = evidence.counted(rows, values, SCOPE, NOW)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("as double") == 4  # a reading tells NaN from a number, so it names its cast twice
+
+
 def test_keys_shuffle_one_material_hash(gathered):
     keys = evidence.key_groups(gathered.rows)._jdf.queryExecution().executedPlan().toString()
     partial = next(line for line in keys.splitlines() if "partial_min" in line)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from dueward.config import Period
 from dueward.functions import numbers, text, time
-from dueward.operators import categories, eligibility, reconcile
+from dueward.operators import categories, eligibility, reconcile, scope
+from oracle import sample_tables
 
 
 def one(spark, column, **values):
@@ -93,3 +94,17 @@ def test_blank_and_null_like_texts_equal_the_plain_rules(spark):
                        text.is_null_like(t, words).alias("n"), plain.alias("n2")).collect():
         assert (bool(r.b), bool(r.n), r.t is None) == (bool(r.b2), bool(r.n2), r.b is None), r
     assert "CASE WHEN" in df.select(text.is_null_like(t, words))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_packed_texts_come_back(spark):
+    rows = [("a", "b", "c"), (None, "b", "c,\u00e9"), ("a,1", None, ""), ("", "", None), ("\U0001f600\u00e9", "x" * 200, "7,8,"), (None, None, None)]
+    df = spark.createDataFrame(rows, "p string, q string, r string").select(sample_tables._packed("p", "q", "r").alias("t"))
+    assert [tuple(r) for r in df.select(*sample_tables._unpacked("t", "p", "q", "r")).collect()] == rows
+
+
+def test_only_unreadable_times_are_stripped(spark):
+    df = spark.createDataFrame([], ", ".join(f"{c} string" for c in ("unique_key", "created_date", "closed_date", "due_date")) + ", "
+                               + ", ".join(f"{c} timestamp" for c in ("created_ts", "closed_ts", "due_ts")))
+    plan = df.agg(*scope.diagnostic_counters())._jdf.queryExecution().analyzed().toString()
+    for c in ("created", "closed", "due"):
+        assert 0 <= plan.find(f"isnull({c}_ts") < plan.find(f"trim({c}_date"), plan
