@@ -1,6 +1,7 @@
 """Overview, audit and feasibility tables on files, and tables stored in order."""
 
 import os
+import re
 from datetime import datetime, timezone
 
 import pyarrow.parquet as pq
@@ -77,6 +78,19 @@ def test_what_is_missing_is_asked_where_values_are_grouped(spark, requests_modul
     assert plan.count("as double") == 4  # a reading tells NaN from a number, so it names its cast twice
 
 
+def test_scans_of_rows_are_small_enough_to_be_compiled(spark, gathered, capsys):
+    values = spark.createDataFrame([], "kind int, n long, column_name string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for scan in (evidence.counted(gathered.rows, values, SCOPE, NOW), evidence.cells(gathered.rows, words=("none", "nan")),
+                     evidence.key_groups(gathered.rows)):
+            scan.explain("codegen")
+            sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+            assert sizes and max(sizes) < 8_000, sizes  # larger methods are interpreted
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_keys_shuffle_one_material_hash(gathered):
     keys = evidence.key_groups(gathered.rows)._jdf.queryExecution().executedPlan().toString()
     partial = next(line for line in keys.splitlines() if "partial_min" in line)
